@@ -32,31 +32,37 @@ def scaled(vectors: list, scale: int = 1024) -> tuple[list[int], list[list[int]]
 
 
 def threshold_top(matrix: np.ndarray, order: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores of the best k rows of a block but the query's own, ties to smaller ids. order[d]: rows by rising component d."""
-    used = np.flatnonzero(query)
-    n = len(matrix)
-    lists = [order[d] if query[d] < 0 else order[d][::-1] for d in used]
+    """Ids and scores of the best k rows of a block but the query's own, ties to smaller ids. order[d]: rows by rising component d. Depth grows by half each time."""
+    up, down, n = np.flatnonzero(query > 0), np.flatnonzero(query < 0), len(matrix)
     seen = ids == own
-    best, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    weights = query[used]
-    if not len(used):
-        rest = np.sort(ids[~seen])[:k]
-        return rest, np.zeros(len(rest), np.int64)
-    for depth in range(0, n, step):
+    left = n - int(seen.sum())
+    best, scores = np.zeros(0, np.int64), np.zeros(0, matrix.dtype)
+    depth = 0
+    while left:
+        end = min(n, depth + step)
         fresh = np.zeros(n, bool)
-        for x in lists:
-            fresh[x[depth : depth + step]] = True
+        fresh[order[up, n - end : n - depth]] = True
+        fresh[order[down, depth:end]] = True
+        if not len(up) and not len(down):
+            fresh[:] = True
         fresh = np.flatnonzero(fresh & ~seen)
         seen[fresh] = True
-        best = np.concatenate((best, ids[fresh]))
-        scores = np.concatenate((scores, matrix[fresh] @ query))
+        left -= len(fresh)
+        new = matrix[fresh] @ query
+        if len(best) == k:
+            good = new >= scores[-1]
+            fresh, new = fresh[good], new[good]
+        elif len(new) > 8 * k:
+            good = new >= np.partition(new, len(new) - k)[len(new) - k]
+            fresh, new = fresh[good], new[good]
+        best, scores = np.concatenate((best, ids[fresh])), np.concatenate((scores, new))
         keep = np.lexsort((best, -scores))[:k]
         best, scores = best[keep], scores[keep]
-        last = min(depth + step, n) - 1
-        bound = sum(int(w) * int(matrix[x[last], d]) for w, x, d in zip(weights, lists, used, strict=True))
+        bound = matrix[order[up, n - end], up] @ query[up] + matrix[order[down, end - 1], down] @ query[down]
         if len(best) == k and scores[-1] > bound:
             break
-    return best, scores
+        depth, step = end, step + step // 2
+    return best, scores.astype(np.int64)
 
 
 def top_products(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, rows_a_block: int = 8192, queries_a_block: int = 64) -> DataFrame:
@@ -103,7 +109,10 @@ def top_products(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
             matrix = np.frombuffer(b.column("matrix")[0].as_py(), np.int64).reshape(-1, width)
             order = np.frombuffer(b.column("lists")[0].as_py(), np.int32).reshape(width, -1)
             asked_ids = np.frombuffer(a.column("ids")[0].as_py(), np.int64)
-            for query, q in zip(asked_ids.tolist(), np.frombuffer(a.column("matrix")[0].as_py(), np.int64).reshape(-1, width), strict=True):
+            questions = np.frombuffer(a.column("matrix")[0].as_py(), np.int64).reshape(-1, width)
+            if max(np.abs(matrix).max(initial=0), np.abs(questions).max(initial=0)) < math.sqrt(2**53 / width):
+                matrix, questions = matrix.astype(np.float64), questions.astype(np.float64)  # sums of these products are exact
+            for query, q in zip(asked_ids.tolist(), questions, strict=True):
                 best, scores = threshold_top(matrix, order, ids, q, query, k)
                 out += zip([query] * len(best), best.tolist(), scores.tolist(), strict=True)
         return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
