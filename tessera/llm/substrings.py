@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, free_shuffles, small_batches
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -86,7 +86,7 @@ class Pack:
         return at[(left >= size) & (self.words[self.doc] >= least)]
 
 
-def pack_texts(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = 1 << 20) -> DataFrame:
+def pack_texts(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int = 2 << 20) -> DataFrame:
     """Checkpointed rows (pack, words, blob); a text longer than pack_bytes is a pack of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -185,6 +185,16 @@ class Candidates:
         return self.at[self.order[gone]]
 
 
+def planes(sorted_values: np.ndarray) -> bytes:
+    """Rising 32-bit values as differences, byte by byte of all: high bytes are mostly zero and compress away."""
+    return np.ascontiguousarray(np.diff(sorted_values, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.cumsum(steps, dtype=np.uint32)
+
+
 def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
@@ -198,7 +208,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     equal if 96 bits of two independent hashes are.
     """
     block = window // 2
-    packs = pack_texts(docs, id_col, text_col)
+    with small_batches(docs.sparkSession):
+        packs = pack_texts(docs, id_col, text_col)
     total = packs.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // probes_a_part))
 
@@ -208,10 +219,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for k in range(batch.num_rows):
                 probes = Probes(Pack(batch.column(1)[k].as_py(), of_bytes), parts, block, window, of_blocks)
                 own = batch.column(0)[k].as_py()
-                yield _batch(["part", "pack", "hashes", "flags"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], [(p, own, probes.keys[s:e].astype(np.uint32).tobytes(), probes.flags[s:e].tobytes()) for p, s, e in by_part((probes.keys >> _U(32)).astype(np.int64))])
+                yield _batch(["part", "pack", "hashes", "flags"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], [(p, own, planes(probes.keys[s:e].astype(np.uint32)), probes.flags[s:e].tobytes()) for p, s, e in by_part((probes.keys >> _U(32)).astype(np.int64))])
 
     def answer(table: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+        hashes = [from_planes(x) for x in table.column("hashes").to_pylist()]
         every = np.concatenate(hashes)
         flags = np.frombuffer(b"".join(table.column("flags").to_pylist()), np.uint8)
         order = np.argsort(every)
@@ -226,6 +237,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     sent = packs.select("pack", "blob").mapInArrow(probe, "part int, pack long, hashes binary, flags binary")
     masks = cut(sent.groupBy("part").applyInArrow(answer, "pack long, part int, mask binary"))
+    free_shuffles(packs.sparkSession)
     gathered = lambda df, name: df.groupBy("pack").agg(F.collect_list(F.struct("part", "mask")).alias(name))  # noqa: E731  a mask a part at most
     hit_packs = packs.select("pack", "blob").join(gathered(masks, "hits").hint("shuffle_hash"), "pack")
 
@@ -253,6 +265,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     around = hit_packs.mapInArrow(windows, "part int, pack long, a binary, b binary, least binary")
     gone = cut(around.groupBy("part").applyInArrow(earlier, "pack long, part int, mask binary"))
+    free_shuffles(packs.sparkSession)
     ready = packs.select("pack", "blob").join(gathered(masks, "hits").hint("shuffle_hash"), "pack", "left").join(gathered(gone, "gone").hint("shuffle_hash"), "pack", "left").select("blob", "hits", "gone")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
