@@ -9,6 +9,7 @@ and only tails leave padding, less than 1/64 of a sequence.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,45 +19,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, small_batches
 
 END_ID, LEAST = 2, 64
 
 
+#: A letter beside ASCII punctuation but the apostrophe: the tokenizer always parts them. Before
+#: punctuation only letters whose normal or lower form can't end in a mark.
+_SIDES = [r"([\p{Ll}A-Z])([!-&(-/:-@\[-`{-~])", r"([!-&(-/:-@\[-`{-~])(\pL)"]
+
+
 class Encoder:
-    """Encodes whole texts word by word; the tokenizer never joins across white space, so words are encoded once and looked up after that."""
+    """Encodes whole texts word by word; the tokenizer never joins across white space, nor letters with punctuation, and folds case, so distinct words are encoded once and looked up after that."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already, and threads cost memory
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for word, k in vocabulary.items() if word.endswith("</w>")]] = True
         self.most_words = most_words
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.first, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                ids, k = found.ids, len(self.known)
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-                if k >= len(self.first):
-                    self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size))
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.first[k], self.size[k] = self.used, len(ids)
-                self.known[word], self.used = k, self.used + len(ids)
+        """Words of letters go many at a time, as each ends where a token closes a word; where the count doesn't tally, one by one."""
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() else other).append(w)
+        runs = [plain[at : at + 256] for at in range(0, len(plain), 256)]
+        order, ids, sizes = [], [self.ids], [self.size]
+        for run, found in zip(runs, self._encoded([" ".join(run) for run in runs]), strict=True):
+            ends = np.flatnonzero(self.closes[found]) + 1
+            if len(ends) != len(run):
+                other += run
+                continue
+            order += run
+            ids.append(found)
+            sizes.append(np.diff(ends, prepend=0))
+        for at in range(0, len(other), 1024):
+            each = self._encoded(other[at : at + 1024])
+            order += other[at : at + 1024]
+            ids += each
+            sizes.append(np.array([len(x) for x in each], np.int64))
+        known = len(self.known)
+        self.known.update(zip(order, range(known, known + len(order)), strict=True))
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+        self.first = np.cumsum(self.size) - self.size
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and each text's end in them."""
         if len(self.known) > self.most_words:
             self.clear()
-        words = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        for pattern in _SIDES:
+            texts = pc.replace_substring_regex(texts, pattern, r"\1 \2")
+        words = pc.ascii_split_whitespace(pc.ascii_lower(texts))
         coded = words.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         self._learn([w for w in distinct if w not in self.known])
@@ -90,7 +117,7 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for whole in batches:
             at = 0
             while at < whole.num_rows:
-                n = min(1024, whole.num_rows - at)
+                n = min(512, whole.num_rows - at)
                 batch, at = whole.slice(at, n), at + n
                 ids, ends = encode(batch.column(1))
                 rows, kept, begin = [], [], 0
@@ -117,7 +144,8 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     is packed first-fit by falling length in one task. Repeated rows and rows with equal ids are
     documents of their own; an empty table gives no rows; a null id stays null.
     """
-    each = cut(cut_documents(docs, path, id_col, text_col, capacity, with_ids))
+    with small_batches(docs.sparkSession):
+        each = cut(cut_documents(docs, path, id_col, text_col, capacity, with_ids))
     spread = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     buckets = max(1, -(-each.count() // rows_a_bucket))
     each = each.withColumn("bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)))
