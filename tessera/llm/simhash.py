@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import components, cut
+from tessera.llm.common import components, cut, small_batches
 
 
 def text_fingerprint(text: bytes | None, shingle_words: int = 4, seed: int = 42) -> int:
@@ -150,7 +150,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have fingerprint zero and link like any other. Rows with the same id are
     one vertex. A null id keeps its fingerprint; its component_id is null. Extra columns are not read.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, shingle_words))
+    with small_batches(docs.sparkSession):
+        fps = cut(fingerprints(docs, id_col, text_col, shingle_words))
     groups = components(fingerprint_links(fps, radius, tile_rows))
     out = fps.join(groups, "id", "left")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "id").alias("component_id"))
