@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 #: Canonical URLs (host and path) that the registered query lists beside its rules.
 LISTED = ["tionsh.example.net/en/41230", "tionsh.example.net/en/175588/", "blog.thernt.example.net/en/45446", "m.ththed.example.net/fr/15139.html", "www.example.net/"]
-FILTER_BITS_A_KEY, FILTER_BYTES = 16, 8 << 10
+FILTER_BITS_A_KEY, FILTER_BYTES, BROADCAST_KEYS = 16, 8 << 10, 50_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -39,7 +39,8 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col:
     URLs, host and path; a page that no rule fits is blocked if it is listed and else allowed. Rules and
     listed URLs are keys of one blocked Bloom filter of 64-bit blocks with four bits a key. A page has
     few possible keys (host suffixes times the rules' path lengths, of which there may be 256 at most);
-    those that pass the filter go to a hash join on the key, which removes false positives. The filter
+    those that pass the filter go to a hash join on the key, which removes false positives; the list is
+    broadcast while it has at most 50,000 keys. The filter
     is sent with the plan while it has at most 8 kB (4,096 keys) and joined by its block number beyond. Distinct
     addresses are judged once, so a hot host or URL is aggregated before it is joined.
     """
@@ -69,7 +70,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col:
     else:
         probes = addresses.select("host", "path", F.explode(possible).alias("key")).withColumn("block", _block(F.col("key"), n_blocks))
         hits = probes.join(filter_blocks, "block").where(F.col("mask").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("host", "path", "key")
-    exact = hits.join(table.hint("shuffle_hash"), "key")
+    exact = hits.join(F.broadcast(table) if facts["n"] <= BROADCAST_KEYS else table, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("best"))
     judged = parsed.join(best, ["host", "path"], "left")
     return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
