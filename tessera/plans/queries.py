@@ -38,26 +38,26 @@ def _has(column: str, *words: str) -> str:
     return " AND ".join(f"len(list_filter({_TOKENS.format(column)}, lambda t: starts_with(t, '{w}'))) > 0" for w in words)
 
 
-@query(f"""SELECT p_partkey AS id, p_name AS title, {_TIER.format('p_name', 'br')} AS score FROM part
-WHERE {_has('p_name', 'br')} AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) ORDER BY score, lower(p_name), p_partkey LIMIT 40""")
+@query(f"""SELECT p_partkey AS id, p_name AS title, {_TIER.format('p_name', 'bl')} AS score FROM part
+WHERE {_has('p_name', 'bl')} AND EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) ORDER BY score, lower(p_name), p_partkey LIMIT 40""")
 def search_prefix(t: Tables) -> DataFrame:
     parts = t["part"].join(t["lineitem"].select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
-    return search.best(search.prefix_hits(parts, "p_partkey", "p_name", "br")).select("id", "title", "score")
+    return search.best(search.prefix_hits(parts, "p_partkey", "p_name", "bl")).select("id", "title", "score")
 
 
-@query(P + f"""SELECT track_id, title FROM tracks WHERE {_has('title', 'b', 'p')} ORDER BY title, track_id LIMIT 50""")
+@query(P + f"""SELECT track_id, title FROM tracks WHERE {_has('title', 's', 'b')} ORDER BY title, track_id LIMIT 50""")
 def search_tracks_page(t: Tables) -> DataFrame:
-    return search.track_search(t.tracks, "B p", "title", "title", "track_id").select("track_id", "title")
+    return search.track_search(t.tracks, "S b", "title", "title", "track_id").select("track_id", "title")
 
 
 @query(P + f""", s AS (SELECT * FROM tracks WHERE track_id IN (SELECT track_id FROM saved)),
-a AS (SELECT artist_id AS id, name AS title, {_TIER.format('name', 'supplier 1')} AS score FROM artists WHERE {_has('name', 'supplier', '1')}
+a AS (SELECT artist_id AS id, name AS title, {_TIER.format('name', 'supplier 0000')} AS score FROM artists WHERE {_has('name', 'supplier', '0000')}
   AND artist_id IN (SELECT artist_id FROM credits JOIN saved USING (track_id)) ORDER BY score, lower(name), id LIMIT 40),
-b0 AS (SELECT album_id AS id, title, {_TIER.format('title', 'supplier 1')} AS score FROM albums WHERE {_has('title', 'supplier', '1')} AND album_id IN (SELECT album_id FROM s) ORDER BY score, lower(title), id LIMIT 40),
+b0 AS (SELECT album_id AS id, title, {_TIER.format('title', 'supplier 0000')} AS score FROM albums WHERE {_has('title', 'supplier', '0000')} AND album_id IN (SELECT album_id FROM s) ORDER BY score, lower(title), id LIMIT 40),
 ax AS (SELECT id FROM a ORDER BY score, lower(title), id LIMIT 16), bx AS (SELECT id FROM b0 ORDER BY score, lower(title), id LIMIT 16),
 atr AS (SELECT * FROM s WHERE track_id IN (SELECT track_id FROM credits WHERE artist_id IN (SELECT id FROM ax))),
 bc AS (SELECT id, title, score FROM b0 UNION ALL SELECT album_id, title, 4 FROM albums WHERE album_id IN (SELECT album_id FROM atr)),
-sc AS (SELECT track_id AS id, title, {_TIER.format('title', 'supplier 1')} AS score FROM s WHERE {_has('title', 'supplier', '1')} UNION ALL SELECT track_id, title, 4 FROM atr UNION ALL SELECT track_id, title, 4 FROM s WHERE album_id IN (SELECT id FROM bx)),
+sc AS (SELECT track_id AS id, title, {_TIER.format('title', 'supplier 0000')} AS score FROM s WHERE {_has('title', 'supplier', '0000')} UNION ALL SELECT track_id, title, 4 FROM atr UNION ALL SELECT track_id, title, 4 FROM s WHERE album_id IN (SELECT id FROM bx)),
 bb AS (SELECT id, min(title) AS title, min(score) AS score FROM bc GROUP BY id ORDER BY score, lower(min(title)), id LIMIT 40),
 ss AS (SELECT id, min(title) AS title, min(score) AS score FROM sc GROUP BY id ORDER BY score, lower(min(title)), id LIMIT 40)
 SELECT 'artist' AS section, id::VARCHAR AS id, title, score FROM a UNION ALL SELECT 'album', id::VARCHAR, title, score FROM bb UNION ALL SELECT 'song', id::VARCHAR, title, score FROM ss""")
@@ -65,7 +65,7 @@ def search_sections(t: Tables) -> DataFrame:
     saved = sets.having(t.tracks, t.saved, ["track_id"])
     artists = t.artists.join(t.credits.join(t.saved, "track_id", "left_semi").select("artist_id").distinct(), "artist_id", "left_semi")
     albums = t.albums.join(saved.select("album_id"), "album_id", "left_semi")
-    return search.sections(artists, albums, saved, t.credits, "Supplier 1")
+    return search.sections(artists, albums, saved, t.credits, "Supplier 0000")
 
 
 @query("""WITH h AS (SELECT page_id AS ordinal, CASE page_id % 3 WHEN 0 THEN 'song' WHEN 1 THEN 'album' ELSE 'artist' END AS kind, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages),
