@@ -42,7 +42,7 @@ def best_duration(observations: DataFrame, key: str, duration: str, exact: str,
 
 def year_key(year: Column) -> Column:
     """Text that sorts later years first and unknown ones last."""
-    return F.coalesce(F.format_string("%012d", F.lit(999999).cast("long") - year.cast("long")), F.lit("999999999999"))
+    return F.when(year.isNotNull(), F.format_string("%012d", F.lit(999999).cast("long") - year.cast("long"))).otherwise("999999999999")
 
 
 def album_key(year: Column, title: Column) -> Column:

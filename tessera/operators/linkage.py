@@ -57,10 +57,13 @@ def artists(queries: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def albums(queries: DataFrame, candidates: DataFrame, composed: bool = True) -> DataFrame:
     """queries (query_id, title, complete), candidates (query_id, candidate_id, title, primary_type): equal titles, else titles without a format suffix, else close ones. More than one of the best kind, or an incomplete page, is ambiguous."""
-    pairs = candidates.select("query_id", "candidate_id", F.col("title").alias("c_title"), F.lower("primary_type").alias("kind")).join(queries, "query_id")
-    own, other = text.normalize_album_title(F.col("title"), composed), text.normalize_album_title(F.col("c_title"), composed)
-    variant = F.exists(text.album_title_variants(F.col("title"), composed), lambda v: (v["title"] == other) & (~v["requires_ep"] | (F.col("kind") == "ep")) & (~v["requires_album"] | (F.col("kind") == "album")))
-    rank = F.when(own == other, 1).when(variant, 2).when(text.close_album_title(F.col("title"), F.col("c_title"), composed), 3)
+    form = lambda df: df.withColumn("title", text.nfc("title")) if composed else df
+    asked = form(queries).select("*", text.normalize_album_title(F.col("title"), False).alias("own"))
+    offered = form(candidates).select("query_id", "candidate_id", F.col("title").alias("c_title"), F.lower("primary_type").alias("kind"), text.normalize_album_title(F.col("title"), False).alias("other"))
+    pairs = offered.join(asked, "query_id")
+    own, other = F.col("own"), F.col("other")
+    variant = F.exists(text.album_title_variants(F.col("title"), False), lambda v: (v["title"] == other) & (~v["requires_ep"] | (F.col("kind") == "ep")) & (~v["requires_album"] | (F.col("kind") == "album")))
+    rank = F.when(own == other, 1).when(variant, 2).when(text.close_album_title(F.col("title"), F.col("c_title"), False), 3)
     ranked = pairs.withColumn("rank", rank).where("rank is not null").withColumn("best", F.min("rank").over(Window.partitionBy("query_id"))).where("rank = best")
     g = ranked.groupBy("query_id").agg(F.countDistinct("candidate_id").alias("n"), F.min("candidate_id").alias("winner"), F.min("rank").alias("rank"))
     out = queries.select("query_id", "complete").join(g, "query_id", "left")
