@@ -45,13 +45,19 @@ def trusted_overlap(a: Column, b: Column) -> Column:
     return ~credit_conflict(a, b) & F.exists(a, lambda x: (x["kind"] == "artist") & (x["external_id"] != "") & F.array_contains(b, x))
 
 
+def keyed(credits: Column) -> Column:
+    """Credits with comparison keys for names. Select this first where credits are compared several times."""
+    return F.transform(credits, lambda c: F.struct(_key(c["name"]).alias("name"), c["identities"].alias("identities")))
+
+
 def same_artist(a: Column, b: Column) -> Column:
-    named = (F.trim(a["name"]) != "") & (_key(a["name"]) == _key(b["name"]))
-    return ~credit_conflict(a["identities"], b["identities"]) & (F.arrays_overlap(a["identities"], b["identities"]) | named)
+    """Two keyed credits: an identity in common or the same name, and no conflict."""
+    named = (a["name"] != "") & (a["name"] == b["name"])
+    return (named | F.arrays_overlap(a["identities"], b["identities"])) & ~credit_conflict(a["identities"], b["identities"])
 
 
 def compare_credits(a: Column, b: Column) -> Column:
-    """unspecified, contradictory, equivalent, incomplete (one omits credits) or different_additional."""
+    """Of keyed credits: unspecified, contradictory, equivalent, incomplete (one omits credits) or different_additional."""
     every = lambda x, y: F.forall(x, lambda p: F.exists(y, lambda q: same_artist(p, q)))
     extra = lambda x, y: F.filter(F.slice(x, 2, 1000), lambda p: ~F.exists(y, lambda q: same_artist(p, q)))
     clash = F.exists(extra(a, b), lambda p: F.exists(extra(b, a), lambda q: credit_conflict(p["identities"], q["identities"])))

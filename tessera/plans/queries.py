@@ -489,7 +489,7 @@ def credit_comparison(t: Tables) -> DataFrame:
         return ids.select("l_orderkey", credit.alias(name))
 
     both = side("l_linenumber <= 2", "a").join(side("l_linenumber >= 2", "b"), "l_orderkey")
-    return both.select("l_orderkey", cr.compare_credits(F.col("a"), F.col("b")).alias("outcome"))
+    return both.select("l_orderkey", cr.compare_credits(cr.keyed(F.col("a")), cr.keyed(F.col("b"))).alias("outcome"))
 
 
 @query("""WITH i AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey % 7)) AS a, list_sort(list(DISTINCT l_partkey % 7)) AS b FROM lineitem GROUP BY 1)
@@ -684,3 +684,158 @@ def playback_route(t: Tables) -> DataFrame:
 def json_fields(t: Tables) -> DataFrame:
     k = F.from_json("props", "k bigint")["k"]
     return t["events"].select("event_id", k.alias("k")).where("k % 2 = 0")
+
+
+# Songs, programmes and catalogue upkeep.
+
+
+def _credit(name: str):
+    return F.array(F.struct(F.col(name).cast("string").alias("name"), F.lit("").alias("join_phrase"), F.array().cast(f"array<{cr.IDENTITY}>").alias("identities")))
+
+
+def _song_pairs(t: Tables) -> DataFrame:
+    base = t.tracks.join(t["orders"].select(F.col("o_orderkey").alias("album_id"), F.date_format("o_orderdate", "yyyy-MM").alias("date")), "album_id")
+    a = base.select("album_id", F.col("track_id").alias("subject"), "title", F.col("flag").alias("artist"), F.col("status").alias("album"), "number", (F.col("qty") * 1000).cast("long").alias("duration_ms"), "date", (F.col("copies") < 3).alias("complete"))
+    b = base.select("album_id", F.col("track_id").alias("candidate_id"), F.upper("title").alias("c_title"), F.col("flag").alias("c_artist"), F.col("status").alias("c_album"), F.when(F.col("track_id") % 2 == 0, F.col("number")).otherwise(0).alias("c_number"), (F.col("qty") * 1000 + 500).cast("long").alias("c_duration_ms"), F.when(F.col("track_id") % 3 == 0, F.lit("2001-01")).otherwise(F.col("date")).alias("c_date"))
+    pairs = a.join(b, "album_id").withColumns({"artists": _credit("artist"), "c_artists": _credit("c_artist"), "disc": F.lit(1), "c_disc": F.lit(1)})
+    return pairs.drop("album_id", "artist", "c_artist")
+
+
+_PAIRS = P + """, x AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS d FROM tracks JOIN orders ON o_orderkey = album_id),
+pairs AS (SELECT a.track_id AS s, b.track_id AS c, a.title = b.title AS t, a.flag = b.flag AS p, a.status = b.status AS al, a.number AS n, CASE WHEN b.track_id % 2 = 0 THEN b.number ELSE 0 END AS cn, abs(a.qty * 1000 - b.qty * 1000 - 500) AS gap, a.qty AS qa, b.qty AS qb,
+  CASE WHEN b.track_id % 3 = 0 THEN CASE WHEN a.d[1:4] <> '2001' THEN 0 WHEN a.d = '2001-01' THEN 2 ELSE 1 END ELSE 2 END AS da, a.copies < 3 AS complete FROM x a JOIN x b ON a.album_id = b.album_id),
+f AS (SELECT *, NOT (t AND p AND al) OR (n > 0 AND cn > 0 AND n <> cn) AS bad FROM pairs), g AS (SELECT *, max(CASE WHEN NOT bad THEN da END) OVER (PARTITION BY s) AS best FROM f)
+"""
+
+
+@query(_PAIRS + "SELECT s AS subject, c AS candidate_id, CASE WHEN bad THEN 'infeasible' WHEN da = 0 OR da < best THEN 'alternate' ELSE 'preferred' END AS class FROM g")
+def song_feasibility(t: Tables) -> DataFrame:
+    from tessera.operators import songs
+
+    return songs.feasible(songs.evidence(_song_pairs(t))).select("subject", "candidate_id", "class")
+
+
+@query(_PAIRS + """, ok AS (SELECT *, (n = cn)::INT AS e5 FROM g WHERE NOT bad AND gap <= 10000),
+w AS (SELECT * FROM ok a WHERE NOT EXISTS (SELECT 1 FROM ok b WHERE b.s = a.s AND b.c <> a.c AND b.e5 > a.e5 AND b.da >= a.da)),
+u AS (SELECT s, count(DISTINCT c) AS k, min(c) AS winner FROM w GROUP BY s)
+SELECT g.s AS subject, CASE WHEN k = 1 AND min(complete) THEN 'unique' WHEN max(t AND p) THEN 'needs_selection' ELSE 'no_match' END AS outcome, CASE WHEN k = 1 AND min(complete) THEN winner END AS candidate_id FROM g LEFT JOIN u USING (s) GROUP BY g.s, k, winner""")
+def song_assessment(t: Tables) -> DataFrame:
+    from tessera.operators import songs
+
+    return songs.assessed(_song_pairs(t))
+
+
+@query(_PAIRS + """, v AS (SELECT * FROM pairs WHERE p AND gap <= 10000 AND t), m AS (SELECT s, c % 4 AS r, min(c) AS c, max(qb) - min(qb) AS spread, count(*) AS n FROM v GROUP BY 1, 2),
+k AS (SELECT s, sum(CASE WHEN spread * 1000 <= 100 THEN 1 ELSE n END) AS k, min(c) AS winner FROM m GROUP BY s)
+SELECT q.s AS subject, CASE WHEN NOT complete THEN 'needs_selection' WHEN k IS NULL THEN 'no_match' WHEN k = 1 THEN 'unique' ELSE 'needs_selection' END AS outcome, CASE WHEN complete AND k = 1 THEN winner END AS candidate_id
+FROM (SELECT s, min(complete) AS complete FROM pairs GROUP BY s) q LEFT JOIN k USING (s)""")
+def song_playable(t: Tables) -> DataFrame:
+    from tessera.operators import songs
+
+    return songs.playable(_song_pairs(t).withColumn("recording", F.col("candidate_id") % 4))
+
+
+def _program_checks(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    from tessera.operators import programs
+
+    local = t.tracks.select(F.col("album_id").alias("group"), F.col("track_id").alias("track"), "title", "disc", "number", (F.col("qty") * 1000).alias("duration_ms"))
+    listed = t.tracks.select(F.col("album_id").alias("group"), F.explode(F.array(F.lit(0), F.lit(1))).alias("program"), F.col("title").alias("p_title"), F.col("disc").alias("p_disc"), F.col("number").alias("p_number"), F.col("qty").alias("p_qty"), "flag")
+    listed = listed.withColumns({"p_title": F.when((F.col("program") == 1) & (F.col("p_number") % 3 == 0), "other").otherwise(F.col("p_title")), "p_index": F.col("p_number") - 1, "p_duration_ms": F.col("p_qty") * 1000 + F.when((F.col("program") == 1) & (F.col("flag") == "R"), 5000).otherwise(0)})
+    pairs = local.join(listed, "group").withColumns({"exact_title": F.col("title") == F.col("p_title"), "near_title": F.lit(False), "trusted": F.lit(False), "identity_conflict": F.lit(False), "credit": F.lit("equivalent")})
+    tracks = local.select("group", F.explode(F.array(F.lit(0), F.lit(1))).alias("program"), "track")
+    return programs.inspected(pairs), tracks, tracks.select("group", "program").distinct().withColumn("complete", F.col("group") % 5 != 0)
+
+
+_PROGRAMS = P + """, lo AS (SELECT album_id AS g, track_id AS tr, title, disc, number, qty * 1000 AS ms FROM tracks),
+li AS (SELECT album_id AS g, program, CASE WHEN program = 1 AND number % 3 = 0 THEN 'other' ELSE title END AS pt, disc AS pd, number AS pn, qty * 1000 + CASE WHEN program = 1 AND flag = 'R' THEN 5000 ELSE 0 END AS pms FROM tracks, (VALUES (0), (1)) v(program)),
+ch AS (SELECT lo.g, program, tr, (number = pn AND disc = pd) OR (disc = 1 AND number = pn) AS pos, abs(ms - pms) > 3000 AS mis FROM lo JOIN li ON lo.g = li.g AND title = pt),
+mp AS (SELECT * FROM (SELECT *, max(pos) OVER (PARTITION BY g, program, tr) AS p FROM ch) WHERE pos OR NOT p),
+one AS (SELECT g, program, tr, any_value(pos) AS pos, any_value(mis) AS mis FROM mp GROUP BY 1, 2, 3 HAVING count(*) = 1),
+ag AS (SELECT lo.g, v.program, lo.tr, CASE WHEN pos IS NULL THEN 0 WHEN pos THEN 3 ELSE 1 END AS agreement, coalesce(mis, false) AS mismatch, coalesce(pos, false) AS exact_place FROM lo CROSS JOIN (VALUES (0), (1)) v(program) LEFT JOIN one ON one.g = lo.g AND one.tr = lo.tr AND one.program = v.program)
+"""
+
+
+@query(_PROGRAMS + "SELECT g AS \"group\", program, tr AS track, agreement, mismatch, exact_place FROM ag")
+def program_agreements(t: Tables) -> DataFrame:
+    from tessera.operators import programs
+
+    checks, tracks, _ = _program_checks(t)
+    return programs.agreements(checks, tracks).drop("conflict")
+
+
+@query(_PROGRAMS + """, fi AS (SELECT g, program, sum(mismatch::INT) AS mi, sum(exact_place::INT) AS ex FROM ag WHERE g % 5 <> 0 GROUP BY 1, 2)
+SELECT g AS "group", program FROM fi a WHERE NOT EXISTS (SELECT 1 FROM fi b WHERE b.g = a.g AND b.program <> a.program AND b.ex >= 3 AND b.ex > a.ex AND b.mi <= a.mi
+  AND NOT EXISTS (SELECT 1 FROM ag x JOIN ag y ON x.g = y.g AND x.tr = y.tr WHERE x.g = a.g AND x.program = a.program AND y.program = b.program AND y.agreement < x.agreement))""")
+def program_selection(t: Tables) -> DataFrame:
+    from tessera.operators import programs
+
+    checks, tracks, known = _program_checks(t)
+    return programs.selected(programs.agreements(checks, tracks), known)
+
+
+@query("""WITH r AS (SELECT l_partkey AS track, CASE WHEN l_tax > 0.02 THEN l_suppkey % 2 END AS recording, l_linenumber <> 4 AS complete, l_quantity > 1 AS context, l_discount < 0.1 AS artist, l_quantity = 50 AS version, l_quantity = 49 AS duration FROM lineitem WHERE l_partkey % 3 = 0),
+g AS (SELECT track, list_sort(list(DISTINCT recording) FILTER (recording IS NOT NULL)) AS ids, max(complete AND recording IS NULL) AS lacks, sum(complete::INT) AS support, max(NOT complete) AS sampled, min(NOT complete OR context) AS context, min(NOT complete OR artist) AS artist, max(complete AND version) AS version, max(complete AND duration) AS duration FROM r GROUP BY 1),
+c AS (SELECT track, ids, CASE WHEN track % 2 = 0 AND len(list_filter(coalesce(ids, []), lambda i: i <> 1)) > 0 THEN 'conflicting_identity' WHEN coalesce(len(ids), 0) > 1 OR lacks THEN 'recording_ambiguous' WHEN support = 0 THEN CASE WHEN sampled THEN 'incomplete_evidence' ELSE 'no_correspondence' END WHEN NOT context THEN 'insufficient_context' WHEN NOT artist THEN 'artist_untrusted'
+  WHEN version THEN 'version_uncertain' WHEN duration THEN 'duration_conflict' WHEN coalesce(len(ids), 0) <> 1 THEN 'recording_ambiguous' WHEN track % 2 = 0 THEN 'already_known' ELSE 'supported' END AS certainty FROM g)
+SELECT track, certainty, CASE WHEN certainty IN ('supported', 'already_known') THEN ids[1] END AS recording FROM c""")
+def recording_certainty(t: Tables) -> DataFrame:
+    from tessera.operators import programs
+
+    rows = t["lineitem"].where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("track"), F.when(F.col("l_tax") > 0.02, F.col("l_suppkey") % 2).alias("recording"), (F.col("l_linenumber") != 4).alias("complete"), (F.col("l_quantity") > 1).alias("context"), (F.col("l_discount") < 0.1).alias("artist_trusted"), (F.col("l_quantity") == 50).alias("version"), (F.col("l_quantity") == 49).alias("duration"), F.lit(False).alias("conflict"), F.when(F.col("l_partkey") % 2 == 0, F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("known"))
+    return programs.recording_certainty(rows)
+
+
+@query(P + "SELECT count(*) AS saved_tracks, coalesce(max(flag = 'R'), false) AS has_local_sources FROM tracks WHERE status = 'F' AND track_id IN (SELECT track_id FROM credits WHERE artist_id = 3)")
+def removal_preview(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    return catalog.removal_preview(t.credits.where("artist_id = 3"), t.saved, t.available, "track_id")
+
+
+@query(P + "SELECT track_id FROM saved WHERE track_id NOT IN (SELECT track_id FROM credits WHERE artist_id = 3) UNION SELECT track_id FROM available WHERE track_id NOT IN (SELECT track_id FROM ignored)")
+def removal_and_restore(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    left = catalog.removed(t.saved, t.credits.where("artist_id = 3"), "track_id")
+    sources = t.tracks.select("track_id", F.col("track_id").alias("source_id"), (F.col("flag") == "R").alias("available"))
+    return catalog.restored(left, sources, t.ignored.withColumnRenamed("track_id", "source_id"), "track_id", "source_id")
+
+
+@query(P + """SELECT DISTINCT disc, number FROM tracks WHERE album_id < 40 AND ((disc, number) IN (SELECT disc, number FROM tracks WHERE album_id = 7 AND status = 'F') OR title IN (SELECT title FROM tracks WHERE status = 'F' AND qty > 48 AND album_id < 900))""")
+def saved_positions(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    wanted = t.tracks.where("album_id < 40").select("disc", "number", F.col("title").alias("external_id"))
+    known = t.tracks.where("qty > 48 and album_id < 900").select("track_id", F.col("title").alias("external_id"))
+    return catalog.saved_positions(wanted, t.tracks.where("album_id = 7"), t.saved, known)
+
+
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS o, CASE l_linenumber % 2 WHEN 0 THEN 'p' ELSE 'q' END AS provider, l_partkey AS e FROM lineitem WHERE l_partkey % 10 = 0), p AS (SELECT DISTINCT a.o AS x, b.o AS y FROM i a JOIN i b ON a.provider = b.provider AND a.e = b.e AND a.o > b.o),
+n AS (SELECT o, provider, list(e) AS ids FROM i GROUP BY 1, 2), v AS (SELECT x, y FROM p JOIN n a ON a.o = x JOIN n b ON b.o = y AND a.provider = b.provider WHERE len(list_intersect(a.ids, b.ids)) = 0)
+SELECT x AS owner, min(y) AS "into" FROM p WHERE (x, y) NOT IN (SELECT x, y FROM v) GROUP BY x""")
+def merge_with_veto(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    ids = t["lineitem"].where("l_partkey % 10 = 0").select(F.col("l_suppkey").alias("owner"), F.when(F.col("l_linenumber") % 2 == 0, "p").otherwise("q").alias("provider"), F.lit("artist").alias("kind"), F.col("l_partkey").alias("external_id")).distinct()
+    return catalog.mergeable(ids, "owner")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS subject, l_linenumber AS priority, min('p' || l_linenumber) AS provider, min(CASE l_returnflag WHEN 'R' THEN 'success' WHEN 'A' THEN 'deferred' ELSE 'error' END) AS state, min(l_tax) > 0.07 AS pinned FROM lineitem GROUP BY 1, 2),
+b AS (SELECT a.* FROM a LEFT JOIN (SELECT subject, min(priority) AS pin FROM a WHERE pinned GROUP BY 1) USING (subject) WHERE pin IS NULL OR priority = pin)
+SELECT subject, coalesce(arg_min(provider, priority) FILTER (state = 'success'), arg_max(provider, priority)) AS provider, coalesce(arg_min(state, priority) FILTER (state = 'success'), arg_max(state, priority)) AS state, max(state = 'deferred') AS retry FROM b GROUP BY subject""")
+def provider_fallback(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    state = F.when(F.col("l_returnflag") == "R", "success").when(F.col("l_returnflag") == "A", "deferred").otherwise("error")
+    rows = t["lineitem"].groupBy(F.col("l_orderkey").alias("subject"), F.col("l_linenumber").alias("priority")).agg(F.min(F.concat(F.lit("p"), F.col("l_linenumber").cast("string"))).alias("provider"), F.min(state).alias("state"), (F.min("l_tax") > 0.07).alias("pinned"))
+    return catalog.fallback(rows, "subject")
+
+
+@query("""WITH m AS (SELECT l_partkey AS track_id, l_orderkey AS external_id FROM lineitem WHERE l_returnflag = 'R'), d AS (SELECT l_partkey AS track_id, l_orderkey AS external_id FROM lineitem WHERE l_returnflag = 'A'), a AS (SELECT l_partkey AS track_id, l_orderkey AS external_id FROM lineitem),
+u AS (SELECT * FROM m UNION ALL SELECT * FROM d WHERE track_id NOT IN (SELECT track_id FROM m) UNION ALL SELECT * FROM a WHERE track_id NOT IN (SELECT track_id FROM m) AND track_id NOT IN (SELECT track_id FROM d))
+SELECT external_id, min(track_id) AS track_id FROM u GROUP BY external_id HAVING count(DISTINCT track_id) = 1""")
+def trusted_identities(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    rows = t["lineitem"].select(F.col("l_partkey").alias("track_id"), F.col("l_orderkey").alias("external_id"), "l_returnflag")
+    return catalog.trusted_tracks(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag = 'A'").drop("l_returnflag"), rows.drop("l_returnflag"))
