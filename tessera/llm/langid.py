@@ -7,12 +7,12 @@ read whole, in training and in prediction.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +28,6 @@ FAMILIES = {
     "indic": ["bn", "gu", "hi", "mr", "ne", "pa", "ur"],
 }
 BITS = 12
-_LETTER = re.compile(r"[^\W\d_]")
 #: ASCII other than letters, and all controls, count as spaces.
 _CLEAN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -44,7 +43,7 @@ def trigram_codes(data: bytes) -> np.ndarray:
 
 def cleaned(text: str | None) -> bytes:
     """Lower-cased UTF-8 between single spaces; empty if the text is null or has no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return b""
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_CLEAN).split()) + b" "
 
@@ -68,7 +67,7 @@ class Model:
     def __init__(self, features: np.ndarray, langs: list[str]) -> None:
         self.langs = sorted(set(langs))
         self.families = sorted({family(x) for x in self.langs})
-        scale = 1 / (features.std(axis=0) + 1e-4)
+        scale = 1 / (features.std(axis=0) + 1e-4) if len(features) else np.ones(features.shape[1], np.float32)
         x = features * scale
         norm = max(1e-9, float(np.median(np.linalg.norm(x, axis=1)))) if len(x) else 1.0
         x = (x / norm).astype(np.float32)
@@ -117,8 +116,7 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = 500, folds: int = 5) -> Model:
-    """Fits on at most docs_a_language documents of each language, those with the smallest hashes of their ids, of the folds that aren't held out. Languages are few: their list comes to the driver."""
-    spark = docs.sparkSession
+    """Fits on at most docs_a_language documents of each language, those with the smallest hashes of their ids, of the folds that aren't held out. The sample (16 kB a document) is fitted in one task; the driver gets the weights and the list of languages, which are few."""
     key = F.xxhash64(F.col(id_col).cast("string"))
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
     counts = {r[0]: r[1] for r in taught.groupBy(lang_col).count().collect()}
@@ -135,10 +133,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             rows = [np.bincount(trigram_codes(c), minlength=1 << BITS).astype(np.float32) / max(1, len(c) - 2) if len(c := cleaned(t)) > 2 else np.zeros(1 << BITS, np.float32) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["key", "lang", "f"])
 
-    got = sample.mapInArrow(run, "key long, lang string, f binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["key"], r["f"]))
-    assert spark is not None
-    return Model(np.array([np.frombuffer(r["f"], np.float32) for r in got]).reshape(len(got), 1 << BITS), [r["lang"] for r in got])
+    def train(table: pa.Table) -> pa.Table:
+        got = sorted(table.to_pylist(), key=lambda r: (r["lang"], r["key"], r["f"]))
+        model = Model(np.array([np.frombuffer(r["f"], np.float32) for r in got]).reshape(len(got), 1 << BITS), [r["lang"] for r in got])
+        return pa.table({"model": pa.array([cloudpickle.dumps(model)], pa.binary())})
+
+    fitted = sample.mapInArrow(run, "key long, lang string, f binary").groupBy().applyInArrow(train, "model binary").collect()
+    return cloudpickle.loads(fitted[0][0]) if fitted else Model(np.zeros((0, 1 << BITS), np.float32), [])
 
 
 def fold(id_col: str, folds: int = 5):
