@@ -1,7 +1,8 @@
 """Song resolution: which provider occurrence, if any, is a given track.
 
 Pairs have subject, candidate_id and, for the track and with c_ for the candidate: title, artists (array of
-credits), album, disc, number, duration_ms, date (text); complete says whether the subject's page held all.
+credits), album, disc, number, duration_ms, date (text), and the forms that prepared() adds to either side
+before the join; complete says whether the subject's page held all.
 Titles must be in NFC, as lambdas can't hold the conversion.
 """
 
@@ -21,37 +22,39 @@ def _names(artists: Column) -> Column:
     return F.transform(artists, lambda a: a["name"])
 
 
-def with_title_relation(df: DataFrame, a: str, a_artists: str, b: str, b_artists: str, name: str = "title_relation") -> DataFrame:
-    """Adds agrees, contradictory (version words differ) or uncorroborated; featured credits that the artists explain don't count. Each form of a title is a column of its own first, so it is made once."""
-    sides = (("__x", a, a_artists), ("__y", b, b_artists))
-    df = df.withColumns({k: cr.musical_title(F.col(t), _names(F.col(n))) for k, t, n in sides})
-    df = df.withColumns({f"{k}p": text.presentation_title(F.col(k)) for k, *_ in sides})
-    brackets = lambda s: F.regexp_replace(text.normalize_album_title(s, False), r"\s+(?=[\[\]{}()/])|(?<=[\[\]{}()/])\s+", "")
-    df = df.withColumns({f"{k}b": brackets(F.col(f"{k}p")) for k, *_ in sides} | {f"{k}w": F.trim(F.regexp_replace(F.lower(k), f"[^{text.ALNUM}]+", " ")) for k, *_ in sides} | {f"{k}m": text.comparison_title(F.col(k), False) for k, *_ in sides})
-    bracketed = (F.col("__xp").rlike(r"[\[\]{}]") | F.col("__yp").rlike(r"[\[\]{}]")) & (F.col("__xb") != F.col("__yb"))
-    m, n = F.col("__xm"), F.col("__ym")
-    agrees = (m != "") & ((m == n) | ((F.trim("__x") != "") & (F.col("__xw") == F.col("__yw"))) | (text.numeric_title(m) == text.numeric_title(n)))
-    relation = F.when(bracketed, "uncorroborated").when(agrees, "agrees").when(text.track_qualifiers(m) != text.track_qualifiers(n), "contradictory").otherwise("uncorroborated")
-    return df.withColumn(name, relation).drop(*[f"{k}{e}" for k, *_ in sides for e in ("", "p", "b", "w", "m")])
+def prepared(tracks: DataFrame, prefix: str = "") -> DataFrame:
+    """Adds the forms that comparisons use to tracks or candidates (title, artists, album, date, each with the prefix), before they are paired, so that a form is made once a row and not once a pair."""
+    c = lambda name: F.col(prefix + name)
+    new = lambda **made: {f"{prefix}_{k}": v for k, v in made.items()}
+    brackets = lambda x: F.regexp_replace(text.normalize_album_title(x, False), r"\s+(?=[\[\]{}()/])|(?<=[\[\]{}()/])\s+", "")
+    df = tracks.withColumns(new(musical=cr.musical_title(c("title"), _names(c("artists")))))
+    df = df.withColumns(new(shown=text.presentation_title(c("_musical")), words=F.trim(F.regexp_replace(F.lower(c("_musical")), f"[^{text.ALNUM}]+", " ")), compared=text.comparison_title(c("_musical"), False)))
+    return df.withColumns(new(
+        brackets=F.when(c("_shown").rlike(r"[\[\]{}]"), brackets(c("_shown"))), bare=brackets(c("_shown")), number=text.numeric_title(c("_compared")), qualifiers=text.track_qualifiers(c("_compared")),
+        keyed=cr.keyed(c("artists")), key=text.normalize_album_title(c("title"), False), album_key=text.normalize_album_title(c("album"), False), base=playable_base(c("title")), day=dates.parse_date(c("date"))))
 
 
-def _exact(a: Column, b: Column) -> Column:
-    return (F.trim(a) != "") & (text.normalize_album_title(a, False) == text.normalize_album_title(b, False))
+def title_relation(c: str = "c_") -> Column:
+    """Of prepared pairs: agrees, contradictory (version words differ) or uncorroborated; featured credits that the artists explain don't count."""
+    m, n = F.col("_compared"), F.col(f"{c}_compared")
+    bracketed = (F.col("_brackets").isNotNull() | F.col(f"{c}_brackets").isNotNull()) & (F.col("_bare") != F.col(f"{c}_bare"))
+    worded = (F.trim("_musical") != "") & (F.col("_words") == F.col(f"{c}_words"))
+    agrees = (m != "") & ((m == n) | worded | (F.col("_number") == F.col(f"{c}_number")))
+    return F.when(bracketed, "uncorroborated").when(agrees, "agrees").when(F.col("_qualifiers") != F.col(f"{c}_qualifiers"), "contradictory").otherwise("uncorroborated")
 
 
 def evidence(pairs: DataFrame) -> DataFrame:
-    """Adds same_title, primary, credit, same_album, position_differs, date_agreement, credits_ok, duration_ok."""
-    pairs = with_title_relation(pairs, "title", "artists", "c_title", "c_artists")
-    pairs = pairs.withColumns({"__a": cr.keyed(F.col("artists")), "__b": cr.keyed(F.col("c_artists")), "__d": dates.parse_date(F.col("date")), "__e": dates.parse_date(F.col("c_date"))})
+    """Adds to prepared pairs: same_title, primary, credit, same_album, position_differs, date_agreement, credits_ok, duration_ok."""
     differs = lambda a, b: F.coalesce((F.col(a) > 0) & (F.col(b) > 0) & (F.col(a) != F.col(b)), F.lit(False))
+    a, b = F.col("_keyed"), F.col("c__keyed")
     out = pairs.withColumns({
-        "same_title": F.col("title_relation") == "agrees",
-        "primary": F.coalesce(cr.same_artist(F.get("__a", F.lit(0)), F.get("__b", F.lit(0))), F.lit(False)), "credit": cr.compare_credits(F.col("__a"), F.col("__b")),
-        "same_album": _exact(F.col("album"), F.col("c_album")), "position_differs": differs("disc", "c_disc") | differs("number", "c_number"),
-        "date_agreement": dates.date_agreement(F.col("__d"), F.col("__e")), "dated": F.col("__d").isNotNull(),
+        "same_title": title_relation() == "agrees",
+        "primary": F.coalesce(cr.same_artist(F.get(a, F.lit(0)), F.get(b, F.lit(0))), F.lit(False)), "credit": cr.compare_credits(a, b),
+        "same_album": (F.trim("album") != "") & (F.col("_album_key") == F.col("c__album_key")), "position_differs": differs("disc", "c_disc") | differs("number", "c_number"),
+        "date_agreement": dates.date_agreement(F.col("_day"), F.col("c__day")), "dated": F.col("_day").isNotNull(),
         "duration_ok": within(F.nullif("duration_ms", F.lit(0)), F.nullif("c_duration_ms", F.lit(0)), PROVIDER_MS),
     })
-    return out.withColumn("credits_ok", F.col("primary") & (F.col("credit") == "equivalent")).drop("__a", "__b", "__d", "__e", "title_relation")
+    return out.withColumn("credits_ok", F.col("primary") & (F.col("credit") == "equivalent"))
 
 
 def feasible(rows: DataFrame) -> DataFrame:
@@ -96,8 +99,8 @@ def playable_base(title: Column) -> Column:
 
 def playable(pairs: DataFrame) -> DataFrame:
     """(subject, outcome, candidate_id): the best playable candidate by exact title and equivalent credits. Equals with a shared recording (column recording) and length within 100 ms count as one; others are left to select."""
-    rows = evidence(pairs).where(F.col("primary") & ~F.col("credit").isin("contradictory", "different_additional") & F.col("duration_ok") & (F.col("same_title") | (playable_base(F.col("title")) == playable_base(F.col("c_title")))))
-    score = F.struct(_exact(F.col("title"), F.col("c_title")).alias("t"), F.col("credits_ok").alias("c"))
+    rows = evidence(pairs).where(F.col("primary") & ~F.col("credit").isin("contradictory", "different_additional") & F.col("duration_ok") & (F.col("same_title") | (F.col("_base") == F.col("c__base"))))
+    score = F.struct(((F.trim("title") != "") & (F.col("_key") == F.col("c__key"))).alias("t"), F.col("credits_ok").alias("c"))
     top = rows.withColumn("score", score).withColumn("best", F.max("score").over(Window.partitionBy("subject"))).where("score = best")
     merged = top.groupBy("subject", F.coalesce("recording", "candidate_id").alias("r")).agg(F.min("candidate_id").alias("candidate_id"), F.max("c_duration_ms").alias("hi"), F.min("c_duration_ms").alias("lo"), F.count("*").alias("n"))
     one = merged.withColumn("k", F.when(F.col("hi") - F.col("lo") <= PLAYABLE_MS, 1).otherwise(F.col("n")))

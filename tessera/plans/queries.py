@@ -694,11 +694,12 @@ def _credit(name: str):
 
 
 def _song_pairs(t: Tables) -> DataFrame:
-    base = t.tracks.join(t["orders"].select(F.col("o_orderkey").alias("album_id"), F.date_format("o_orderdate", "yyyy-MM").alias("date")), "album_id")
-    a = base.select("album_id", F.col("track_id").alias("subject"), "title", F.col("flag").alias("artist"), F.col("status").alias("album"), "number", (F.col("qty") * 1000).cast("long").alias("duration_ms"), "date", (F.col("copies") < 3).alias("complete"))
-    b = base.select("album_id", F.col("track_id").alias("candidate_id"), F.upper("title").alias("c_title"), F.col("flag").alias("c_artist"), F.col("status").alias("c_album"), F.when(F.col("track_id") % 2 == 0, F.col("number")).otherwise(0).alias("c_number"), (F.col("qty") * 1000 + 500).cast("long").alias("c_duration_ms"), F.when(F.col("track_id") % 3 == 0, F.lit("2001-01")).otherwise(F.col("date")).alias("c_date"))
-    pairs = a.join(b, "album_id").withColumns({"artists": _credit("artist"), "c_artists": _credit("c_artist"), "disc": F.lit(1), "c_disc": F.lit(1)})
-    return pairs.drop("album_id", "artist", "c_artist")
+    from tessera.operators import songs
+
+    base = t.tracks.join(t["orders"].select(F.col("o_orderkey").alias("album_id"), F.date_format("o_orderdate", "yyyy-MM").alias("day")), "album_id")
+    a = base.select("album_id", F.col("track_id").alias("subject"), "title", _credit("flag").alias("artists"), F.col("status").alias("album"), F.lit(1).alias("disc"), "number", (F.col("qty") * 1000).cast("long").alias("duration_ms"), F.col("day").alias("date"), (F.col("copies") < 3).alias("complete"))
+    b = base.select("album_id", F.col("track_id").alias("candidate_id"), F.upper("title").alias("c_title"), _credit("flag").alias("c_artists"), F.col("status").alias("c_album"), F.lit(1).alias("c_disc"), F.when(F.col("track_id") % 2 == 0, F.col("number")).otherwise(0).alias("c_number"), (F.col("qty") * 1000 + 500).cast("long").alias("c_duration_ms"), F.when(F.col("track_id") % 3 == 0, F.lit("2001-01")).otherwise(F.col("day")).alias("c_date"))
+    return songs.prepared(a).join(songs.prepared(b, "c_"), "album_id").drop("album_id")
 
 
 _PAIRS = P + """, x AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS d FROM tracks JOIN orders ON o_orderkey = album_id),
