@@ -840,3 +840,95 @@ def trusted_identities(t: Tables) -> DataFrame:
 
     rows = t["lineitem"].select(F.col("l_partkey").alias("track_id"), F.col("l_orderkey").alias("external_id"), "l_returnflag")
     return catalog.trusted_tracks(rows.where("l_returnflag = 'R'").drop("l_returnflag"), rows.where("l_returnflag = 'A'").drop("l_returnflag"), rows.drop("l_returnflag"))
+
+
+# Editions.
+
+
+@query(P + """, c AS (SELECT album_id, CASE WHEN copies > 2 THEN 'contradictory' WHEN qty > 48 THEN 'exact_edition' WHEN qty > 40 THEN 'content_equivalent' WHEN qty > 30 THEN 'album_only' WHEN qty < 5 THEN 'contradictory' ELSE 'insufficient' END AS kind, flag = 'R' AS ei, album_id % 6 <> 0 AS complete FROM tracks),
+g AS (SELECT album_id, sum((kind = 'exact_edition')::INT) AS ex, sum((kind = 'content_equivalent')::INT) AS co, sum((kind <> 'contradictory')::INT) AS op, sum((kind = 'album_only')::INT) AS ao, sum((kind = 'contradictory' AND ei)::INT) AS bl, min(complete) AS complete FROM c GROUP BY 1)
+SELECT album_id AS album, CASE WHEN bl > 0 THEN 'contradictory' WHEN ex > 1 THEN 'ambiguous' WHEN ex = 1 THEN 'exact_edition' WHEN co > 1 THEN 'ambiguous' WHEN co = 1 AND complete AND op = 1 THEN 'content_equivalent' WHEN co = 1 THEN 'ambiguous' WHEN ao > 0 THEN 'album_only' WHEN op = 0 THEN 'contradictory' ELSE 'insufficient_evidence' END AS assessment FROM g""")
+def edition_assessment(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    kind = F.when(F.col("copies") > 2, "contradictory").when(F.col("qty") > 48, "exact_edition").when(F.col("qty") > 40, "content_equivalent").when(F.col("qty") > 30, "album_only").when(F.col("qty") < 5, "contradictory").otherwise("insufficient")
+    return editions.editions(t.tracks.select(F.col("album_id").alias("album"), F.col("track_id").alias("candidate"), kind.alias("kind"), (F.col("flag") == "R").alias("exact_identity"), (F.col("album_id") % 6 != 0).alias("complete")))
+
+
+@query(P + """, p AS (SELECT album_id AS g, number % 2 AS c, qty > 2 AS complete, qty < 10 OR copies > 1 OR number % 3 = 2 OR flag = 'A' AND status = 'O' AS rej, number % 3 = 0 AS whole FROM tracks)
+SELECT g AS "group", c AS candidate, CASE WHEN NOT min(complete) THEN 'uncertain' WHEN max(NOT rej AND whole) THEN 'supported' WHEN max(NOT rej) THEN 'uncertain' ELSE 'rejected' END AS fit FROM p GROUP BY 1, 2""")
+def representation_fit(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    rows = t.tracks.select(F.col("album_id").alias("group"), (F.col("number") % 2).alias("candidate"), F.col("track_id").alias("program"), (F.col("qty") > 2).alias("complete"), F.col("qty").alias("tracks"), F.lit(10).alias("required"), F.when(F.col("copies") > 1, 1).otherwise(0).alias("conflicts"), (F.col("number") % 3).alias("unmatched"), F.when((F.col("flag") == "A") & (F.col("status") == "O"), 2).otherwise(0).alias("mismatches"), F.lit(5).alias("local"))
+    return editions.representation_fit(rows)
+
+
+@query(P + """SELECT track_id AS candidate_id, row_number() OVER (PARTITION BY album_id ORDER BY CASE WHEN qty > 40 THEN 2 WHEN qty < 10 THEN 0 ELSE 1 END DESC, flag = 'R' DESC, CASE number WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 0 END DESC, number % 4 DESC, copies, disc, track_id)::INT AS place FROM tracks""")
+def candidate_ranking(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    rows = t.tracks.select("album_id", F.col("track_id").alias("candidate_id"), F.when(F.col("qty") > 40, "accepted").when(F.col("qty") < 10, "rejected").otherwise("review").alias("decision"), (F.col("flag") == "R").alias("artist_accepted"), F.when(F.col("number") == 1, "exact").when(F.col("number") == 2, "minor_typo").otherwise("conflict").alias("title_class"), (F.col("number") % 4).alias("anchors"), F.col("copies").alias("warnings"), F.col("disc").alias("reasons"))
+    return editions.ranked_report(rows, "album_id").select("candidate_id", "place")
+
+
+@query(P + """SELECT track_id, CASE WHEN copies > 3 THEN NULL WHEN qty = 1 THEN 'manually_excluded' WHEN qty = 2 THEN 'invalid_candidate_identity' WHEN qty = 3 THEN 'recording_identity_conflict' WHEN qty = 4 THEN 'trusted_identity_conflict' WHEN qty = 5 THEN 'existing_provider_association' WHEN qty > 45 THEN NULL
+WHEN number = 1 AND flag <> 'A' THEN 'competing_playable' WHEN number = 2 THEN 'structural_conflict' WHEN number = 3 THEN 'duration_threshold' WHEN flag = 'A' THEN 'incomplete_candidate_page' WHEN number = 4 THEN 'stronger_candidate' WHEN copies > 1 THEN 'competing_candidates' WHEN status = 'O' THEN 'artist_credit_incomplete' END AS blocker FROM tracks""")
+def evaluation_gates(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    q, n = F.col("qty"), F.col("number")
+    rows = t.tracks.select("track_id", (F.col("copies") > 3).alias("trusted_here"), (q == 1).alias("excluded"), (q == 2).alias("invalid_identity"), (q == 3).alias("recording_conflict"), (q == 4).alias("trusted_conflict"), (q == 5).alias("existing"), (q > 45).alias("accepted"), (n == 1).alias("playable"), (F.col("flag") != "A").alias("page_complete"), F.when(n == 2, 1).otherwise(0).alias("reasons"), F.lit("x").alias("album"), (n != 3).alias("duration_ok"), (n == 4).alias("dominated"), F.col("copies").alias("plausible"), (F.col("status") != "O").alias("credits_ok"))
+    return editions.evaluation(rows).select("track_id", "blocker")
+
+
+@query(P + """, x AS (SELECT *, CASE WHEN number % 2 = 0 THEN title END AS rt, abs(qty - 25) AS gap FROM tracks)
+SELECT track_id, (CASE WHEN flag = 'R' THEN false ELSE copies > 1 END) OR (gap > 3 AND NOT (flag <> 'R' AND copies = 1)) AS contradiction,
+NOT ((CASE WHEN flag = 'R' THEN false ELSE copies > 1 END) OR (gap > 3 AND NOT (flag <> 'R' AND copies = 1))) AND ((flag <> 'R' AND copies = 1) OR (rt IS NOT NULL AND status = 'F')) AS supported FROM x""")
+def edition_track_reports(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    rows = t.tracks.select("track_id", "title", F.when(F.col("number") % 2 == 0, F.upper("title")).alias("c_title"), F.lit("a").alias("artist"), F.when(F.col("status") == "F", "A").otherwise("b").alias("c_artist"), F.lit("r1").alias("recording"), F.when(F.col("flag") != "R", F.when(F.col("copies") > 1, "r2").otherwise("r1")).alias("c_recording"), F.lit("").alias("isrc"), F.lit("i").alias("c_isrc"), (F.col("qty") * 1000).alias("duration_ms"), F.lit(25000).alias("c_duration_ms"))
+    return editions.track_reports(rows).select("track_id", "contradiction", "supported")
+
+
+@query(TITLES + f"""SELECT id, CASE WHEN ({_TOKENS.format('a')} = {_TOKENS.format('b')}) THEN 'same words' ELSE 'other words' END AS words FROM titles""")
+def title_words(t: Tables) -> DataFrame:
+    same = text.search_tokens(F.col("a")) == text.search_tokens(F.col("b"))
+    return t.titles.select("id", F.when(same, "same words").otherwise("other words").alias("words"))
+
+
+@query()
+def title_edition_classes(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    rows = t.titles.select("id", text.nfc("a").alias("a"), text.nfc("b").alias("b"), F.concat(text.nfc("a"), F.lit(" (2011 Remastered Edition)")).alias("c"))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return rows.select("id", editions.title_class(a, b, F.lit("EP")).alias("class"), editions.playable_edition_pair(a, c).alias("edition"), editions.title_query_variant(c).alias("variant"))
+
+
+@query(P + """SELECT flag AS known, status AS candidate, bool_or(flag = status) AS same, count(*) AS n FROM tracks GROUP BY 1, 2""")
+def release_types(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    same = editions.release_type_compatible(F.col("flag"), F.col("status"), F.lit(False))
+    return t.tracks.groupBy(F.col("flag").alias("known"), F.col("status").alias("candidate")).agg(F.max(same).alias("same"), F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT l_partkey % 7 AS program, l_orderkey AS i, CASE WHEN l_suppkey % 3 = 0 THEN 'r' || l_suppkey % 50 END AS r, CASE WHEN l_suppkey % 3 = 1 THEN 'i' || l_suppkey % 40 END AS d, l_quantity, l_linenumber FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber = 1)
+SELECT CASE WHEN r IS NOT NULL THEN 'r|' || r WHEN d IS NOT NULL THEN 'i|' || d ELSE 'n|' || program || '|' || i END AS key, count(DISTINCT program) AS programs, min(l_quantity) AS duration_ms FROM x GROUP BY 1""")
+def consolidated_candidates(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    s = F.col("l_suppkey")
+    none = F.array().cast("array<string>")
+    rows = t["lineitem"].where("l_orderkey < 2000 and l_linenumber = 1").select((F.col("l_partkey") % 7).alias("program"), F.col("l_orderkey").alias("index"), F.when(s % 3 == 0, F.array(F.concat(F.lit("r"), (s % 50).cast("string")))).otherwise(none).alias("recordings"), F.when(s % 3 == 1, F.array(F.concat(F.lit("i"), (s % 40).cast("string")))).otherwise(none).alias("identities"), F.lit("t").alias("title"), F.col("l_quantity").alias("duration_ms"), F.lit(1).alias("disc"), F.lit(1).alias("number"))
+    return editions.consolidated(rows).select("key", "programs", "duration_ms")
+
+
+@query("SELECT l_quantity, round(greatest(0.0, least(1.0, l_quantity / 50 * power(10, -l_linenumber / 20.0))), 6) AS gain, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def gains(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    rows = t["lineitem"].select("l_quantity", F.round(editions.gain(F.col("l_quantity") / 50, -F.col("l_linenumber").cast("double")), 6).alias("gain"))
+    return rows.groupBy("l_quantity", "gain").agg(F.count("*").alias("n"))

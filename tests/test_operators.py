@@ -182,3 +182,16 @@ def test_sections(spark, words):
     got = {(r.section, r.id): r.score for r in search.sections(artists, albums, tracks, credit, words).collect()}
     assert ("artist", "1") in got and got["song", "1"] == 4 and got["album", "1"] == 4 and ("song", "3") not in got
     assert got["song", "2"] == (1 if "-" not in words else 2)
+
+
+def test_edition_titles(spark):
+    from tessera.operators import editions
+
+    rows = [("Album", "album", "", "exact"), ("Album EP", "Album", "EP", "release_type_suffix"), ("Album EP", "Album", "Album", "type_conflict"), ("Al-bum", "Al bum", "", "typography"), ("Albums", "Album", "", "minor_typo"), ("Album (Live)", "Album", "", "version_conflict"), ("Album", "Other", "", "conflict")]
+    df = spark.createDataFrame(rows, "a string, b string, k string, want string")
+    assert all(r.got == r.want for r in df.select("want", editions.title_class(F.col("a"), F.col("b"), F.col("k")).alias("got")).collect())
+    pairs = [("Song", "Song (2011 Remastered)", True), ("Song - Deluxe Edition", "Song", True), ("Song", "Song", False), ("Song", "Song (Live)", False), ("Song (Remastered) (20th Anniversary Edition)", "Song", True), ("Deluxe", "Song", False)]
+    df = spark.createDataFrame(pairs, "a string, b string, want boolean")
+    assert all(r.got == r.want for r in df.select("want", editions.playable_edition_pair(F.col("a"), F.col("b")).alias("got")).collect())
+    df = spark.createDataFrame([("A/B", "A / B"), ("Song (Remastered)", "Song"), ("Song (Live)", None)], "a string, want string")
+    assert all(r.got == r.want for r in df.select("want", editions.title_query_variant(F.col("a")).alias("got")).collect())
