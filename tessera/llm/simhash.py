@@ -158,7 +158,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs without the rows that are not the first of their group; of rows with the same id all stay or go together."""
+    """docs without the rows whose id is not the smallest of its group; of rows with the same id all stay or go together, and rows without an id stay."""
     groups = simhash_groups(docs, id_col, text_col, radius)
-    keep = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(gone, id_col, "left_anti")

@@ -34,7 +34,7 @@ def mixed(rows):
         sizes[s] = sizes.get(s, 0) + len(words(t))
     targets = brute_targets(sizes)
     out, seen = [], dict.fromkeys(sizes, 0)
-    for d, t, s in sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), len(words(r[1])))):
+    for d, t, s in sorted(rows, key=lambda r: (hashlib.md5(("" if r[0] is None else str(r[0])).encode()).hexdigest(), len(words(r[1])))):
         n, budget = len(words(t)), math.floor(targets[s])
         epochs = budget // sizes[s] if sizes[s] else 0
         part = max(0, min(n, budget - epochs * sizes[s] - seen[s]))
@@ -45,6 +45,10 @@ def mixed(rows):
     return out
 
 
+def pairs(docs):
+    return sorted((str(r.doc_id), r.text) for r in docs.collect())
+
+
 def test_stages_against_brute_force(spark, rows, folder):
     docs = documents(spark, rows)
     stages = dict(corpus_pipeline.STAGES)
@@ -58,24 +62,24 @@ def test_stages_against_brute_force(spark, rows, folder):
 
     docs = stages["simhash"](spark, docs, folder)
     label = brute(kept)
-    unique = [r for r in kept if r[0] is not None and label[r[0]] == r[0]]
-    assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted((d, t) for d, t, *_ in unique)
+    unique = [r for r in kept if r[0] is None or label[r[0]] == r[0]]
+    assert pairs(docs) == sorted((str(d), t) for d, t, *_ in unique)
     assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
 
     docs = stages["secrets"](spark, docs, folder)
     clean = [(d, t.replace(TOKEN, "<secret>"), s) for d, t, _, s in unique]
-    assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted((d, t) for d, t, _ in clean)
+    assert pairs(docs) == sorted((str(d), t) for d, t, _ in clean)
 
     docs = stages["mixing"](spark, docs, folder)
     taken = mixed(clean)
-    assert sorted((r.doc_id, r.text) for r in docs.collect()) == sorted((d, t) for d, t, _ in taken)
+    assert pairs(docs) == sorted((str(d), t) for d, t, _ in taken)
 
     tokenizer = Tokenizer.from_file(vocabulary())
     tokenizer.encode_special_tokens = True
     check(tokenizer, taken, stages["packing"](spark, docs, folder).collect())
     out = corpus_pipeline.run(spark, folder).collect()
     check(tokenizer, taken, out)
-    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in out) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in stages["packing"](spark, docs, folder).collect())
+    assert sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in out) == sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in stages["packing"](spark, docs, folder).collect())
 
 
 def test_empty(spark, tmp_path):
