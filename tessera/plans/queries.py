@@ -932,3 +932,122 @@ def gains(t: Tables) -> DataFrame:
 
     rows = t["lineitem"].select("l_quantity", F.round(editions.gain(F.col("l_quantity") / 50, -F.col("l_linenumber").cast("double")), 6).alias("gain"))
     return rows.groupBy("l_quantity", "gain").agg(F.count("*").alias("n"))
+
+
+# The library's own lists.
+
+
+@query(P + "SELECT track_id AS id FROM visible WHERE track_id IN (SELECT track_id FROM credits WHERE artist_id IN (4, 5))")
+def target_artists(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    return library.targets(t.catalogue, "artists", [4, 5])
+
+
+@query(P + "SELECT c.conv_id * 10 + c.turn AS id FROM conversations c JOIN tracks ON track_id = c.conv_id * 10 + c.turn WHERE c.conv_id IN (1, 2, 3, 5, 8)")
+def target_lists(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    entries = t["conversations"].select(F.col("conv_id").alias("list_id"), F.col("turn").alias("position"), (F.col("conv_id") * 10 + F.col("turn")).alias("track_id"))
+    return library.targets(t.catalogue, "lists", [1, 2, 3, 5, 8], entries)
+
+
+@query("""WITH k AS (SELECT conv_id, turn, role FROM conversations WHERE role <> 'assistant' OR turn = 3)
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS new_position, turn = 2 AS is_start FROM k""")
+def playback_program(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    rows = t["conversations"].select("conv_id", "turn", (F.col("conv_id") * 100 + F.col("turn")).alias("key"), F.lit(2).alias("start"), "role")
+    out = library.playback(rows, rows.where("role = 'assistant'"), rows.where("turn = 3"), "conv_id", "turn", "key", "start")
+    return out.select("conv_id", "turn", "new_position", "is_start")
+
+
+@query(P + "SELECT count(*) AS saved, sum((qty = 50)::BIGINT)::BIGINT AS marked, count(*) - sum((flag = 'R')::BIGINT)::BIGINT - sum((qty = 50)::BIGINT)::BIGINT AS unresolved FROM tracks WHERE status = 'F'")
+def unresolved_counts(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    return library.unresolved_counts(t.saved, t.available, t.tracks.where("qty = 50"), "track_id")
+
+
+@query("SELECT page_id FROM pages WHERE page_id > 100 AND page_id % 3 <> 0 AND url NOT LIKE '%/fr/%' ORDER BY page_id LIMIT 50")
+def discovery_candidates(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    pages = t["pages"].select("page_id", "url")
+    return library.discovery_candidates(pages, pages.where("page_id % 3 = 0"), pages.where("url like '%/fr/%'"), "page_id", 100).select("page_id")
+
+
+@query(P + """, c AS (SELECT l_orderkey AS s, 'occurrence' AS scope, l_partkey % 500 AS e, l_tax < 0.08 AS ok FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'album', l_partkey % 400, true FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'R'),
+o AS (SELECT DISTINCT p_partkey % 500 AS e, p_size AS tr, p_size % 3 AS al FROM part WHERE p_partkey % 500 = p_partkey), a AS (SELECT DISTINCT p_partkey % 400 AS e, p_size % 3 AS al FROM part WHERE p_partkey % 400 = p_partkey),
+bad AS (SELECT DISTINCT s FROM (SELECT s, scope FROM c GROUP BY s, scope HAVING count(DISTINCT e) > 1 OR NOT min(ok))),
+d AS (SELECT s, min(tr) AS tr, min(al) AS al FROM c JOIN o USING (e) WHERE scope = 'occurrence' AND s NOT IN (SELECT s FROM bad) GROUP BY s HAVING count(DISTINCT tr) = 1),
+w AS (SELECT s, count(DISTINCT al) AS m, min(al) AS al FROM c JOIN a USING (e) WHERE scope = 'album' AND s NOT IN (SELECT s FROM bad) GROUP BY s)
+SELECT d.s AS source_id, d.tr AS track_id FROM d LEFT JOIN w ON w.s = d.s WHERE m IS NULL OR (m = 1 AND w.al = d.al)""")
+def local_attachment(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    line, part = t["lineitem"], t["part"]
+    claims = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("source_id"), F.lit("occurrence").alias("scope"), (F.col("l_partkey") % 500).alias("external_id"), (F.col("l_tax") < 0.08).alias("valid"))
+    claims = claims.unionByName(line.where("l_linenumber = 2 and l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_id"), F.lit("album").alias("scope"), (F.col("l_partkey") % 400).alias("external_id"), F.lit(True).alias("valid")))
+    occurrences = part.where("p_partkey % 500 = p_partkey").select(F.col("p_partkey").alias("external_id"), F.col("p_size").alias("track_id"), (F.col("p_size") % 3).alias("album_id"))
+    albums = part.where("p_partkey % 400 = p_partkey").select(F.col("p_partkey").alias("external_id"), (F.col("p_size") % 3).alias("album_id"))
+    return library.attached(claims, occurrences, albums)
+
+
+@query("""WITH a AS (SELECT c_custkey AS artist_id, c_nationkey AS directory, c_mktsegment AS name, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 2 + (c_nationkey = 3)::INT END AS e FROM customer),
+x AS (SELECT directory, name FROM a WHERE e IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT e) > 1)
+SELECT artist_id, min(artist_id) OVER (PARTITION BY directory, name) AS canonical FROM a WHERE (directory, name) NOT IN (SELECT directory, name FROM x)""")
+def artist_consolidation(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    e = F.when(F.col("c_custkey") % 5 == 0, F.col("c_custkey") % 2 + (F.col("c_nationkey") == 3).cast("int"))
+    return library.same_context(t["customer"].select(F.col("c_custkey").alias("artist_id"), F.col("c_nationkey").alias("directory"), F.col("c_mktsegment").alias("name"), F.lit("p").alias("provider"), e.alias("external_id")))
+
+
+@query(P + """, s AS (SELECT l_orderkey * 10 + l_linenumber AS track_id, count(DISTINCT l_suppkey % 4) AS n, min('S' || l_suppkey % 4) AS names FROM lineitem GROUP BY 1), x AS (SELECT t.track_id, t.album_id, CASE WHEN t.number % 3 = 0 THEN 's1' ELSE ' ' END AS own, s.n, s.names, 'S ' || t.album_id % 4 AS a FROM tracks t LEFT JOIN s USING (track_id)),
+c AS (SELECT *, CASE WHEN trim(own) <> '' THEN own WHEN n = 1 THEN names END AS credit FROM x)
+SELECT track_id, credit, coalesce(lower(credit) = lower(replace(a, ' ', '')), false) AS from_album, trim(own) = '' AND n > 1 AS conflict FROM c""")
+def credit_fallback(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    sources = t["lineitem"].select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("track_id"), F.col("l_suppkey").alias("source_id"), F.concat(F.lit("S"), (F.col("l_suppkey") % 4).cast("string")).alias("names"))
+    albums = t.albums.select("album_id", F.concat(F.lit("S"), (F.col("album_id") % 4).cast("string")).alias("names"))
+    rows = t.tracks.select("track_id", "album_id", F.when(F.col("number") % 3 == 0, "s1").otherwise(" ").alias("own"))
+    return library.credit_fallback(rows, "own", sources, albums)
+
+
+@query("""SELECT o_orderkey AS album_id, o_custkey % 7 <> (SELECT o_custkey % 7 FROM orders WHERE o_orderkey = 5) AS blocked FROM (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey <> 5 ORDER BY o_orderkey LIMIT 20)""")
+def rename_matches(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    albums = t["orders"].select(F.col("o_orderkey").alias("album_id"), F.col("o_orderpriority").alias("title"))
+    ids = t["orders"].select(F.col("o_orderkey").alias("album_id"), F.lit("p").alias("provider"), F.lit("album").alias("kind"), (F.col("o_custkey") % 7).alias("external_id"))
+    return library.rename_matches(albums, F.lit(5), F.lit("1-urgent"), ids)
+
+
+@query("""SELECT s_suppkey AS list_id, s_name AS name, s_nationkey = 7 AS same_source FROM supplier WHERE lower(s_name) = 'supplier#000000003' OR s_nationkey = 7""")
+def import_conflicts(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    lists = t["supplier"].select(F.col("s_suppkey").alias("list_id"), F.col("s_name").alias("name"))
+    sources = t["supplier"].select(F.col("s_suppkey").alias("list_id"), F.lit("p").alias("provider"), F.col("s_nationkey").cast("string").alias("external_id"))
+    return library.import_conflicts(lists, sources, "p", "7", " SUPPLIER#000000003 ")
+
+
+@query(P + """, e AS (SELECT title, genre AS credit, album_id AS release_id, track_id FROM tracks WHERE album_id < 60), g AS (SELECT title, credit FROM e GROUP BY 1, 2 HAVING count(DISTINCT release_id) = 1 AND count(*) <= 200)
+SELECT release_id, track_id FROM e JOIN g USING (title, credit) WHERE title LIKE '%bolt'""")
+def local_match_candidates(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    editions = t.tracks.where("album_id < 60").select("title", F.col("genre").alias("credit"), F.col("album_id").alias("release_id"), "track_id")
+    return library.local_match_candidates(editions.where("title like '%bolt'"), editions)
+
+
+@query("""WITH p AS (SELECT l_orderkey AS q, l_suppkey AS a, l_returnflag = 'R' AS ex, CASE WHEN l_quantity > 40 THEN 'matched' WHEN l_quantity > 35 THEN 'ambiguous' ELSE 'none' END AS o, l_linenumber < 7 AS c FROM lineitem)
+SELECT q AS query_id, CASE WHEN min(c) AND sum((o <> 'none')::INT) = 1 AND max(o = 'matched' AND ex) THEN 'matched' ELSE 'ambiguous' END AS outcome, CASE WHEN min(c) AND sum((o <> 'none')::INT) = 1 AND max(o = 'matched' AND ex) THEN min(CASE WHEN o <> 'none' THEN a END) END AS artist_id FROM p GROUP BY q""")
+def artist_corroboration(t: Tables) -> DataFrame:
+    from tessera.operators import library
+
+    outcome = F.when(F.col("l_quantity") > 40, "matched").when(F.col("l_quantity") > 35, "ambiguous").otherwise("none")
+    rows = t["lineitem"].select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("artist_id"), (F.col("l_returnflag") == "R").alias("exact_name"), outcome.alias("album_outcome"), (F.col("l_linenumber") < 7).alias("complete"))
+    return library.corroborated(rows)
