@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names, or one of its own where that is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
@@ -17,11 +18,11 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b", seed: str = "seed", most_rounds: int = 100) -> DataFrame:
     """(seed, node) for all nodes reachable from each seed, itself included. Frontiers grow one step a round."""
-    both = _cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    known = frontier = _cut(seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node")).distinct())
+    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
+    known = frontier = cut(seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node")).distinct())
     for _ in range(most_rounds):
         step = frontier.join(both, F.col("node") == F.col("x")).select("seed", F.col("y").alias("node")).distinct()
-        frontier = _cut(step.join(known, ["seed", "node"], "left_anti"))
+        frontier = cut(step.join(known, ["seed", "node"], "left_anti"))
         if frontier.isEmpty():
             return known
         known = known.union(frontier)
@@ -30,13 +31,13 @@ def reachable(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b", se
 
 def canonical(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """(id, canonical): each vertex of an edge with the smallest id of its component, by smallest neighbour and pointer jumping."""
-    both = _cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    label = _cut(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("canonical")))
+    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
+    label = cut(both.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m")).select("id", F.least("id", "m").alias("canonical")))
     for _ in range(most_rounds):
         offered = both.join(label.select(F.col("id").alias("y"), "canonical"), "y").groupBy(F.col("x").alias("id")).agg(F.min("canonical").alias("offer"))
         hooked = label.join(offered, "id").select("id", F.col("canonical").alias("old"), F.least("canonical", "offer").alias("c"))
         jumped = hooked.join(hooked.select(F.col("id").alias("c"), F.col("c").alias("cc")), "c").select("id", "old", F.col("cc").alias("canonical"))
-        new = _cut(jumped)
+        new = cut(jumped)
         if new.where("old <> canonical").isEmpty():
             return new.select("id", "canonical")
         label = new.select("id", "canonical")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import keyset
+from tessera.operators.graph import cut
 
 
 def ordinals(entries: DataFrame, list_col: str, position: str) -> DataFrame:
@@ -16,8 +17,8 @@ def ordinals(entries: DataFrame, list_col: str, position: str) -> DataFrame:
 
 
 def overall(entries: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
-    """Adds overall, from 1 over all lists in the given order. Rows are range-partitioned and counted, and each range numbers its own rows after those before it, so no task holds all rows."""
-    ranged = entries.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id())
+    """Adds overall, from 1 over all lists in the given order. Rows are range-partitioned and counted, and each range numbers its own rows after those before it, so no task holds all rows. The ranges are checkpointed: Spark samples their bounds, and counts and rows must see the same ones."""
+    ranged = cut(entries.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     numbered = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))

@@ -68,6 +68,9 @@ def test_lists_with_repeats_and_gaps(spark):
     moves = spark.createDataFrame([("p", 3, 1)], "list string, from_ordinal int, to_ordinal int")
     assert [(r.position, r.ordinal) for r in playlists.moved(entries, "list", "position", moves).where("list = 'p'").orderBy("position").collect()] == [(0, 2), (5, 3), (9, 1)]
     assert [r.overall for r in playlists.overall(entries, ["list", "position"], 3).orderBy("list", "position").collect()] == [1, 2, 3, 4]
+    many = spark.range(5000).selectExpr("id % 7 as list", "hash(id) as position", "id")
+    got = playlists.overall(many, ["list", "position", "id"], 16).orderBy("list", "position", "id").select("overall").collect()
+    assert [r.overall for r in got] == list(range(1, 5001))
     swapped = entries.withColumn("position", F.when(F.col("item") == "y", 20).otherwise(F.col("position")))
     one, two = (playlists.revision(e, "list", "position", "item").where("list = 'p'").first().revision for e in (entries, swapped))
     assert one != two
