@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import gc
 import tempfile
 
@@ -30,16 +29,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000):
-    """Holds Arrow batches to so many rows while what is cut inside runs, so that batches of long texts stay small."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Holds the session's Arrow batches to 8 MB, from Spark's 64 MB, so that long texts and packs stay small in Python workers. It stays set, as plans run later."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > most:
+        spark.conf.set(name, f"{most}b")
 
 
 def free_shuffles(spark: SparkSession) -> None:

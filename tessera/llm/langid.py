@@ -16,6 +16,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import bound_batches
+
 #: Families of language codes. A code that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ["af", "da", "de", "en", "fo", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"],
@@ -117,6 +119,7 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = 500, folds: int = 5) -> Model:
     """Fits on at most docs_a_language documents of each language, those with the smallest hashes of their ids, of the folds that aren't held out. The sample (16 kB a document) is fitted in one task; the driver gets the weights and the list of languages, which are few."""
+    bound_batches(docs.sparkSession)
     key = F.xxhash64(F.col(id_col).cast("string"))
     taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
     counts = {r[0]: r[1] for r in taught.groupBy(lang_col).count().collect()}

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, small_batches
+from tessera.llm.common import bound_batches, cut
 
 END_ID, LEAST = 2, 64
 
@@ -144,8 +144,8 @@ def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     is packed first-fit by falling length in one task. Repeated rows and rows with equal ids are
     documents of their own; an empty table gives no rows; a null id stays null.
     """
-    with small_batches(docs.sparkSession):
-        each = cut(cut_documents(docs, path, id_col, text_col, capacity, with_ids))
+    bound_batches(docs.sparkSession)
+    each = cut(cut_documents(docs, path, id_col, text_col, capacity, with_ids))
     spread = ["doc_id", "start", "ids_crc32", "doc_tokens"]
     buckets = max(1, -(-each.count() // rows_a_bucket))
     each = each.withColumn("bucket", F.pmod(F.xxhash64(*spread), F.lit(buckets)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import components, cut, small_batches
+from tessera.llm.common import bound_batches, components, cut
 
 
 def text_fingerprint(text: bytes | None, shingle_words: int = 4, seed: int = 42) -> int:
@@ -140,7 +140,9 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, tile_rows: int = 16384) -
         x, y = forest(fp[0], fp[1] if len(fp) > 1 else None, radius)
         return pa.table({"a": ids[x], "b": ids[y]})
 
-    near = left.unionByName(right).groupBy("pair").applyInArrow(compare, "a long, b long")
+    n_pairs = sum(units[i][3] * units[j][3] for i, j, _ in pairs)
+    tasks = min(n_pairs, max(spark.sparkContext.defaultParallelism, n_pairs * tile_rows**2 // 10**10))  # by comparisons, some seconds each, not by bytes
+    near = left.unionByName(right).repartition(tasks, "pair").groupBy("pair").applyInArrow(compare, "a long, b long")
     return near.union(same)
 
 
@@ -150,8 +152,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts have fingerprint zero and link like any other. Rows with the same id are
     one vertex. A null id keeps its fingerprint; its component_id is null. Extra columns are not read.
     """
-    with small_batches(docs.sparkSession):
-        fps = cut(fingerprints(docs, id_col, text_col, shingle_words))
+    bound_batches(docs.sparkSession)
+    fps = cut(fingerprints(docs, id_col, text_col, shingle_words))
     groups = components(fingerprint_links(fps, radius, tile_rows))
     out = fps.join(groups, "id", "left")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "id").alias("component_id"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, free_shuffles, small_batches
+from tessera.llm.common import bound_batches, cut, free_shuffles
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -208,8 +208,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     equal if 96 bits of two independent hashes are.
     """
     block = window // 2
-    with small_batches(docs.sparkSession):
-        packs = pack_texts(docs, id_col, text_col)
+    bound_batches(docs.sparkSession)
+    packs = pack_texts(docs, id_col, text_col)
     total = packs.agg(F.sum("size")).first()[0] or 0
     parts = max(1, -(-total // probes_a_part))
 
@@ -236,7 +236,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.Table.from_batches([_batch(["pack", "part", "mask"], [pa.int64(), pa.int32(), pa.binary()], out)])
 
     sent = packs.select("pack", "blob").mapInArrow(probe, "part int, pack long, hashes binary, flags binary")
-    masks = cut(sent.groupBy("part").applyInArrow(answer, "pack long, part int, mask binary"))
+    masks = cut(sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, "pack long, part int, mask binary"))
     free_shuffles(packs.sparkSession)
     gathered = lambda df, name: df.groupBy("pack").agg(F.collect_list(F.struct("part", "mask")).alias(name))  # noqa: E731  a mask a part at most
     hit_packs = packs.select("pack", "blob").join(gathered(masks, "hits").hint("shuffle_hash"), "pack")
@@ -264,7 +264,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.Table.from_batches([_batch(["pack", "part", "mask"], [pa.int64(), pa.int32(), pa.binary()], out)])
 
     around = hit_packs.mapInArrow(windows, "part int, pack long, a binary, b binary, least binary")
-    gone = cut(around.groupBy("part").applyInArrow(earlier, "pack long, part int, mask binary"))
+    gone = cut(around.repartition(parts, "part").groupBy("part").applyInArrow(earlier, "pack long, part int, mask binary"))
     free_shuffles(packs.sparkSession)
     ready = packs.select("pack", "blob").join(gathered(masks, "hits").hint("shuffle_hash"), "pack", "left").join(gathered(gone, "gone").hint("shuffle_hash"), "pack", "left").select("blob", "hits", "gone")
 

@@ -117,6 +117,8 @@ def top_products(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 out += zip([query] * len(best), best.tolist(), scores.tolist(), strict=True)
         return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
 
+    tasks = min(n_blocks * q_blocks, table.sparkSession.sparkContext.defaultParallelism + n_blocks * q_blocks // 4)  # by count: searching takes time, not bytes
+    left, right = (x.repartition(tasks, "queries", "block") for x in (left, right))
     found = left.groupBy("queries", "block").cogroup(right.groupBy("queries", "block")).applyInArrow(search, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

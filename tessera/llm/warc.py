@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shared_dir
+from tessera.llm.common import bound_batches, cut, shared_dir
 
 MAGIC = b"WARC/1.1\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,15})(?=\r\n)")
@@ -61,6 +61,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     The table of repeated payloads is broadcast while it has at most broadcast_rows rows (about 100
     bytes each), and else joined by a shuffle. Rows that repeat the smallest id stay responses.
     """
+    bound_batches(pages.sparkSession)
     firsts = cut(first_pages(pages, id_col, html_col, least_bytes))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     few = firsts.count() <= broadcast_rows
