@@ -25,6 +25,9 @@ FORMAT_SUFFIXES = ["ep", "lp", "cd", "cd1", "cd 1", "cd2", "cd 2", "disc 1", "di
 ONES = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
 TENS = ["twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
 
+#: ASCII punctuation and the blocks of punctuation that may stand for a title, as a regular expression's ranges.
+PUNCTUATION = r"!-/:-@\[-`{-~‐-‧‰-⁞⸀-⹿、-〠〰︐-︟︰-﹏！-／：-＠［-｀｛-･"
+
 #: Number words from zero to ninety-nine, by rule.
 NUMBERS = {w: n for n, w in enumerate(ONES)} | {t: 20 + 10 * i for i, t in enumerate(TENS)} | {f"{t} {u}": 20 + 10 * i + n for i, t in enumerate(TENS) for n, u in enumerate(ONES[1:10], 1)}
 
@@ -81,8 +84,7 @@ def comparison_title(x: Column, composed: bool = True) -> Column:
 
 def punctuation_placeholder(x: Column) -> Column:
     """Not blank, and nothing but white space and punctuation of the listed blocks."""
-    blocks = r"!-/:-@\[-`{-~‐-‧‰-⁞⸀-⹿、-〠〰︐-︟︰-﹏！-／：-＠［-｀｛-･"
-    return x.rlike(rf"(?U)^[\s{blocks}&&[^{ALNUM}]]*$") & x.rlike(r"(?U)\S")
+    return x.rlike(rf"(?U)^[\s{PUNCTUATION}&&[^{ALNUM}]]*$") & x.rlike(r"(?U)\S")
 
 
 def _short_long(a: Column, b: Column) -> tuple[Column, Column]:

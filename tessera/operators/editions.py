@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators.linkage import MATCH_MS, certainty, within
 
-#: Words that mark an edition, and words that may stand beside them.
+#: Words that mark an edition, words that may stand beside them, endings without brackets, types that rank lower.
 EDITION_MARKS = ["remaster", "remastered", "reissue", "deluxe", "expanded", "extended", "anniversary"]
 EDITION_WORDS = ["edition", "version", "bonus", "tracks", "digital", "digitally"]
 EDITION_ENDINGS = ["deluxe edition", "expanded edition", "extended edition", "anniversary edition", "remastered", "remaster", "reissue", "deluxe"]
 SPECIAL_TYPES = ["Compilation", "Live", "Remix", "Soundtrack"]
 
-#: Title classes with the weight they have in rankings.
+#: Title classes with the weight they have in rankings.
 TITLE_WEIGHT = {"exact": 5, "typography": 4, "release_type_suffix": 3, "artist_prefix": 3, "minor_typo": 2}
 
 
