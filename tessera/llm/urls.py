@@ -42,7 +42,9 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col:
     those that pass the filter go to a hash join on the key, which removes false positives; the list is
     broadcast while it has at most 50,000 keys. The filter
     is sent with the plan while it has at most 8 kB (4,096 keys) and joined by its block number beyond. Distinct
-    addresses are judged once, so a hot host or URL is aggregated before it is joined.
+    addresses are judged once, so a hot host or URL is aggregated before it is joined. Null and empty
+    URLs and those without :// have an empty host and path; null rules and URLs of the lists fit nothing,
+    repeated ones count once; rows with equal or null ids are judged each; empty tables give no rows.
     """
     sep = "\u0000"
     keys = rules.where("host is not null and path is not null").select(F.concat(F.lit("r"), "host", F.lit(sep), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.char_length(F.concat("host", "path")).alias("size"), F.char_length("path").alias("path_size"))
