@@ -46,12 +46,13 @@ def put(tmp_path, name, rows):
 
 
 def test_latest_state_and_stale_subjects(spark, tmp_path):
-    put(tmp_path, "1.json", [{"k": 1, "v": "a", "n": 1}, {"k": 2, "v": "b", "n": 1}])
+    put(tmp_path, "1.json", [{"k": 1, "v": "a", "n": 1}, {"k": 2, "v": "b", "n": 1}, {"k": 3, "v": "d", "n": 1}])
     put(tmp_path, "2.json", [{"k": 1, "v": "c", "n": 2}, {"k": 2, "v": "old", "n": 0}])
     query = upkeep.keep_latest(stream_of(spark, tmp_path, "k int, v string, n int"), f"file://{tmp_path}/state", ["k"], ["n"]).option("checkpointLocation", f"file://{tmp_path}/c1").trigger(availableNow=True).start()
     query.awaitTermination(60)
-    assert sorted((r.k, r.v) for r in spark.read.parquet(f"file://{tmp_path}/state/v=1").collect()) == [(1, "c"), (2, "b")]
-    dependencies = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z")], "k int, subject string")
+    assert sorted((r.k, r.v) for r in upkeep.latest_state(spark, f"file://{tmp_path}/state").collect()) == [(1, "c"), (2, "b"), (3, "d")]
+    assert len(list((tmp_path / "state" / "v=1").glob("bucket=*"))) < 3
+    dependencies = spark.createDataFrame([(1, "x"), (1, "y"), (4, "z")], "k int, subject string")
     query = upkeep.stale_subjects(stream_of(spark, tmp_path, "k int, v string, n int"), dependencies, "k", "subject", f"file://{tmp_path}/stale").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {r.subject for r in spark.read.parquet(f"file://{tmp_path}/stale").collect()} == {"x", "y"}
