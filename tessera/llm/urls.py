@@ -27,7 +27,7 @@ def _block(key: Column, blocks: int) -> Column:
 def _mask(key: Column) -> Column:
     """Four bits of a 64-bit block."""
     h = F.xxhash64(key)
-    bits = [F.expr("1L") * 0 + F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, s).bitwiseAND(F.lit(63)).cast("int")) for s in (0, 6, 12, 18)]
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, s).bitwiseAND(F.lit(63)).cast("int")) for s in (0, 6, 12, 18)]
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
