@@ -508,13 +508,13 @@ _EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT min(l_suppkey) OVER (PARTITION BY
 
 @query(_EDGES + "r(seed, node) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey <= 5 UNION SELECT seed, g.b FROM r JOIN g ON g.a = node) SELECT seed, node FROM r")
 def closure(t: Tables) -> DataFrame:
-    edges = graph.shared_value_edges(t["lineitem"].where("l_partkey % 20 = 0").select("l_suppkey", "l_partkey"), "l_suppkey", ["l_partkey"])
+    edges = graph.shared_value_edges(t["lineitem"], "l_suppkey", ["l_partkey"])
     return graph.reachable(edges, t["supplier"].where("s_suppkey <= 5").select(F.col("s_suppkey").alias("seed")))
 
 
 @query(_EDGES + "r(seed, node) AS (SELECT a, a FROM g UNION SELECT seed, g.b FROM r JOIN g ON g.a = node) SELECT seed AS id, min(node) AS canonical FROM r GROUP BY seed")
 def canonical_ids(t: Tables) -> DataFrame:
-    edges = graph.shared_value_edges(t["lineitem"].where("l_partkey % 20 = 0").select("l_suppkey", "l_partkey"), "l_suppkey", ["l_partkey"])
+    edges = graph.shared_value_edges(t["lineitem"], "l_suppkey", ["l_partkey"])
     return graph.canonical(edges)
 
 
