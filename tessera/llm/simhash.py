@@ -159,8 +159,68 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component", "id").alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """docs without the rows whose id is not the smallest of its group; of rows with the same id all stay or go together, and rows without an id stay."""
-    groups = simhash_groups(docs, id_col, text_col, radius)
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+def shingle_set(text: bytes | None, shingle_words: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct hashes of a UTF-8 text's word shingles; none for null or no words; shorter texts are one shingle."""
+    import xxhash
+
+    words = (text or b"").translate(_LOWER).split()
+    if not words:
+        return np.array([], np.uint64)
+    digest, last = xxhash.xxh64_intdigest, max(1, len(words) - shingle_words + 1)
+    return np.unique(np.array([digest(b" ".join(words[k : k + shingle_words]), seed) for k in range(last)], np.uint64))
+
+
+def similar_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, least: float = 0.8, bands: int = 20, band_rows: int = 5) -> DataFrame:
+    """Edges (a, b) of ids whose texts' shingle sets have a Jaccard similarity of `least` or more.
+
+    MinHash bands propose the members of a bucket with its smallest one, exact similarity decides: no
+    link is wrong, and a pair of similarity 0.8 is proposed with a chance of 0.9996. Equal texts are
+    one vertex here; equal fingerprints link them.
+    """
+    def arrays(lists: list[np.ndarray]) -> pa.ListArray:
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in lists]))), pa.int32())
+        values = pa.array((np.concatenate(lists) if lists else np.array([], np.uint64)).view(np.int64))
+        return pa.ListArray.from_arrays(ends, values)
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        factors = np.random.default_rng(7).integers(0, 2**63, bands * band_rows, np.uint64) * np.uint64(2) + np.uint64(1)
+        for batch in batches:
+            lists = []
+            for t in batch.column(2).cast(pa.binary()).to_pylist():
+                hashes = shingle_set(t, shingle_words)
+                if not len(hashes):
+                    lists.append(hashes)
+                    continue
+                least_of = np.min([(factors[:, None] * hashes[None, at : at + 4096]).min(axis=1) for at in range(0, len(hashes), 4096)], axis=0)
+                lists.append(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in least_of.reshape(bands, band_rows)], np.uint64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), arrays(lists)], ["id", "key", "buckets"])
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [shingle_set(t, shingle_words) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), arrays(lists)], ["key", "shingles"])
+
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("t"))
+    signed = texts.mapInArrow(sign, "id long, key long, buckets array<long>")
+    signed = cut(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")))
+    each = signed.select(F.struct("id", "key").alias("x"), F.posexplode("buckets").alias("band", "bucket"))
+    hubs = each.groupBy("band", "bucket").agg(F.min("x").alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = cut(each.join(hubs, ["band", "bucket"]).where("x.key <> hub.key and x.id <> hub.id").select(F.col("hub.id").alias("a"), F.col("hub.key").alias("a_key"), F.col("x.id").alias("b"), F.col("x.key").alias("b_key")).distinct())
+    wanted = pairs.select(F.explode(F.array("a_key", "b_key")).alias("key")).distinct()
+    sets = cut(texts.select("key", "t").join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(shingle, "key long, shingles array<long>"))
+    both = pairs.join(sets.select(F.col("key").alias("a_key"), F.col("shingles").alias("s")), "a_key").join(sets.select(F.col("key").alias("b_key"), F.col("shingles").alias("u")), "b_key")
+    shared = F.size(F.array_intersect("s", "u"))
+    return both.where(shared >= least * (F.size("s") + F.size("u") - shared)).select("a", "b")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without the rows whose id is not the smallest of its group; of rows with the same id all stay or go together, and rows without an id stay.
+
+    Links are those of fingerprints within radius and those of shingle sets with a similarity of `least` or more.
+    """
+    bound_batches(docs.sparkSession)
+    links = fingerprint_links(cut(fingerprints(docs, id_col, text_col)), radius).union(similar_links(docs, id_col, text_col, shingle_words, least))
+    gone = components(links).where("id <> component").select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col))
     return docs.join(gone, id_col, "left_anti")

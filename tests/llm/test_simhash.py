@@ -80,3 +80,25 @@ def test_one_of_a_group_stays(spark):
     assert kept.columns == documents(spark, rows).columns
     label = brute(rows)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, *_ in rows if d is None or label[d] == d)
+
+
+def similarity(a, b):
+    a, b = ({tuple(words(t.lower())[i : i + 5]) for i in range(max(1, len(words(t)) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_of_similarity_above_four_fifths_go(spark):
+    rng = random.Random(5)
+    rows, expected = [], set()
+    for d in range(0, 120, 2):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for at in rng.sample(range(200), 2 + d % 8):
+            other[at] = f"new{at}"
+        rows += [(d, " ".join(base), "en", "a"), (d + 1, " ".join(other), "en", "a")]
+        if similarity(rows[-1][1], rows[-2][1]) >= 0.8:
+            expected.add(d + 1)
+    near = {d for d, at in brute(rows).items() if d != at}
+    assert 20 < len(expected) < 60 and len(expected - near) >= 10
+    kept = {r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()}
+    assert kept == set(range(120)) - expected - near
