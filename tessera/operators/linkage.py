@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import graph
 
 MATCH_MS, PROVIDER_MS = 3_000, 10_000
 
@@ -128,6 +129,16 @@ def families(pairs: DataFrame, group: str, a: str, b: str, members: DataFrame, m
     return sizes.join(linked, group, "left").where(F.coalesce("pairs", F.lit(0)) == F.expr("n * (n - 1) div 2")).select(group, "representative")
 
 
+def component_families(pairs: DataFrame, group: str, a: str, b: str, member: str) -> DataFrame:
+    """(group, member, representative): each member of the components of compatible pairs within a group whose members are all pairwise compatible. The representative is the smallest member."""
+    linked = pairs.select(F.struct(F.col(group).alias("g"), F.least(a, b).alias("m")).alias("a"), F.struct(F.col(group).alias("g"), F.greatest(a, b).alias("m")).alias("b")).where("a <> b").distinct()
+    vertices = graph.canonical(linked)
+    sizes = vertices.groupBy("canonical").agg(F.count("*").alias("n"))
+    found = linked.join(vertices, F.col("a") == F.col("id")).groupBy("canonical").agg(F.count("*").alias("pairs"))
+    whole = sizes.join(found, "canonical").where("pairs = n * (n - 1) div 2").select("canonical")
+    return vertices.join(whole, "canonical", "left_semi").select(F.col("id.g").alias(group), F.col("id.m").alias(member), F.col("canonical.m").alias("representative"))
+
+
 def established(programs: DataFrame, subject: str, program: str, identity: str) -> DataFrame:
     """(subject, identity): the one identity that all of a subject's programmes share."""
     total = programs.groupBy(subject).agg(F.countDistinct(program).alias("of"))

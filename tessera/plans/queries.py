@@ -588,6 +588,13 @@ def candidate_families(t: Tables) -> DataFrame:
     return linkage.families(pairs, "l_orderkey", "x", "y", members, "l_suppkey")
 
 
+@query()
+def candidate_family_members(t: Tables) -> DataFrame:
+    members = t["lineitem"].select("l_orderkey", "l_suppkey").distinct()
+    pairs = members.alias("a").join(members.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey and b.l_suppkey - a.l_suppkey <= 60").select("l_orderkey", F.col("a.l_suppkey").alias("x"), F.col("b.l_suppkey").alias("y"))
+    return linkage.component_families(pairs, "l_orderkey", "x", "y", "l_suppkey")
+
+
 @query("""WITH a AS (SELECT l_orderkey AS g, l_linenumber AS number, min(l_partkey) AS track_id FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT l_orderkey AS g, l_linenumber AS number, min(l_suppkey) AS candidate_id FROM lineitem WHERE l_tax > 0.02 GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT g, number, track_id, candidate_id FROM a JOIN b USING (g, number)""")
 def unique_positions(t: Tables) -> DataFrame:

@@ -27,3 +27,17 @@ def test_closure_and_canonical_ids_use_every_part(spark, linked):
     assert sorted((r.seed, r.node) for r in got) == sorted((s, n) for s in range(1, 6) for n in of[s])
     got = queries.QUERIES["canonical_ids"](spark, path).collect()
     assert sorted((r.id, r.canonical) for r in got) == sorted((k, min(v)) for k, v in of.items() if len(v) > 1)
+
+
+def test_families_are_components_of_a_group(spark, tmp_path):
+    orders = {1: [1, 30, 500, 520, 900], 2: [7], 3: [1, 50, 100], 4: [5, 6, 7, 300], 5: [1, 50, 100, 400, 410]}
+    spark.createDataFrame([(o, s) for o, m in orders.items() for s in m], "l_orderkey long, l_suppkey long").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    expected = []
+    for o, m in orders.items():
+        of = {s: {s} for s in m}
+        for _ in m:
+            for s in m:
+                of[s] |= {y for x in of[s] for y in m if abs(x - y) <= 60}
+        expected += [(o, s, min(c)) for s, c in of.items() if len(c) > 1 and all(abs(x - y) <= 60 for x in c for y in c)]
+    got = queries.QUERIES["candidate_family_members"](spark, f"file://{tmp_path}").collect()
+    assert len(expected) == 9 and sorted((r.l_orderkey, r.l_suppkey, r.representative) for r in got) == sorted(expected)
