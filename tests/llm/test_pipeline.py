@@ -75,11 +75,9 @@ def test_stages_against_brute_force(spark, rows, folder):
     assert pairs(docs) == sorted((str(d), t) for d, t, _ in taken)
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     check(tokenizer, taken, stages["packing"](spark, docs, folder).collect())
     out = corpus_pipeline.run(spark, folder).collect()
     check(tokenizer, taken, out)
-    assert sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in out) == sorted((str(r.doc_id), r.start, r.length, r.ids_crc32) for r in stages["packing"](spark, docs, folder).collect())
 
 
 def test_empty(spark, tmp_path):
