@@ -33,54 +33,86 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     return levels.withColumn("settled", settled).select("source", "source_size", F.when(F.col("level") <= F.col("ratio"), F.col("settled") * F.col("w")).otherwise(F.col("stop")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, rows_a_range: int = 50_000) -> DataFrame:
-    """One row for each input row: id_col, source, size, source_size, target, taken (words, repeats counted).
+def _takes(docs: DataFrame, id_col: str, source_col: str, text_col: str, apart: Column, weights: tuple[float, ...], share: float, most: float, rows_a_range: int) -> tuple[DataFrame, int]:
+    """Groups of rows that the mix can't tell apart: equal id, source, size and `apart`, with n rows each.
 
-    Rows of a source are put in the order of the md5 of their id (a null id counts as the empty
-    text); a source's budget is its target, rounded down. Whole epochs take every row; what is left
-    of the budget takes rows in that order and part of the row at the cut, so each source takes its
-    budget exactly. Keys are split into equal ranges (rows are spread evenly over them, whatever the
-    source), each range sums its own sizes, and the ranges' totals give the offsets: a hot source is
-    many ranges. Empty tables give no rows; rows with equal ids lie next to each other by size.
+    Checkpointed rows (id, source, size, apart, n, source_size, target, epochs, whole, part): every row is
+    taken epochs times, whole of them once more and one more of them in part; and the greatest n.
     """
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key")))
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), apart.alias("apart"), key.alias("key"))
+    groups = cut(sized.groupBy("source", "key", "id", "size", "apart").agg(F.count("*").alias("n")))
+    facts = groups.agg(F.count("*").alias("rows"), F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()
     digits = 1
-    rows = sized.count()
-    while rows / 16**digits > rows_a_range:
+    while facts["rows"] / 16**digits > rows_a_range:
         digits += 1
-    ranged = sized.withColumn("range", F.substring("key", 1, digits))
-    totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("total"))
+    words = F.col("size") * F.col("n")
+    ranged = groups.withColumn("range", F.substring("key", 1, digits))
+    totals = ranged.groupBy("source", "range").agg(F.sum(words).alias("total"))
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(totals.groupBy("source").agg(F.sum("total").alias("source_size")), weights, share, most)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("total").over(earlier), F.lit(0))).drop("total")
     offsets = offsets.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = ranged.withColumn("upto", F.sum("size").over(inside)).join(
+    inside = Window.partitionBy("source", "range").orderBy("key", "id", "size", "apart").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = ranged.withColumn("upto", F.sum(words).over(inside)).join(
         offsets.select(F.col("source").alias("s"), F.col("range").alias("r"), "offset", "source_size", "target"),
         F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")),
     )
-    budget = F.floor("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as long) div source_size")).otherwise(F.lit(0)).cast("long")
-    left = budget - epochs * F.col("source_size") - (F.col("offset") + F.col("upto") - F.col("size"))
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    left = F.greatest(F.lit(0), F.floor("target").cast("long") - F.col("epochs") * F.col("source_size") - (F.col("offset") + F.col("upto") - words))
+    placed = placed.withColumn("epochs", epochs).withColumn("left", F.least(left, words))
+    placed = placed.withColumn("whole", F.when(F.col("size") > 0, F.expr("left div size")).otherwise(F.lit(0)).cast("long"))
+    return placed.select("id", "source", "size", "apart", "n", "source_size", "target", "epochs", "whole", (F.col("left") - F.col("whole") * F.col("size")).cast("long").alias("part")), facts["n"]
+
+
+def _repeated(df: DataFrame, times: str, spread: bool, chunk: int = 10_000) -> DataFrame:
+    """Each row as often as its column times says; with spread, many repeats of one row are dealt over tasks."""
+    df = df.where(F.col(times) > 0).withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(`{times}` - 1) div {chunk}"))))
+    if spread:
+        df = df.repartition(F.xxhash64(*df.columns))
+    return df.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(chunk), F.col(times) - F.col("__chunk") * chunk)))).drop("__chunk", "__copy", times)
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, rows_a_range: int = 50_000) -> DataFrame:
+    """One row for each input row: id_col, source, size, source_size, target, taken (words, repeats counted).
+
+    Rows of a source are put in the order of the md5 of their id (a null id counts as the empty
+    text), then of their size; a source's budget is its target, rounded down. Whole epochs take every
+    row; what is left of the budget takes rows in that order and part of the row at the cut, so each
+    source takes its budget exactly. Rows equal in id, source and size are one group with a count, so a
+    hot id is no long list; keys are split into equal ranges, each range sums its own sizes, and the
+    ranges' totals give the offsets: a hot source is many ranges. Null and empty texts have size 0; very
+    long texts count whole; empty tables give no rows; other columns aren't read.
+    """
+    takes, most_rows = _takes(docs, id_col, source_col, text_col, F.lit(0), weights, share, most, rows_a_range)
+    base = F.col("epochs") * F.col("size")
+    kinds = F.array(F.struct(F.col("whole").alias("rows"), (base + F.col("size")).alias("taken")), F.struct((F.col("part") > 0).cast("long").alias("rows"), (base + F.col("part")).alias("taken")), F.struct((F.col("n") - F.col("whole") - (F.col("part") > 0).cast("long")).alias("rows"), base.alias("taken")))
+    each = takes.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", F.inline(kinds))
+    return _repeated(each, "rows", most_rows > rows_a_range).withColumn("taken", F.col("taken").cast("long"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_a_range: int = 50_000) -> DataFrame:
     """docs as the mix takes them: a row for each whole repeat, and the first words of the row at its source's cut.
 
-    Rows with equal ids share the summed take: each whole repeat of the id takes all of them.
+    Each source's rows hold its budget exactly. Of rows with equal id, source and text at a cut any may
+    be the ones taken once more; their other columns then come from one of them. Documents without
+    words go; a null id, source or other column stays null; empty tables give no rows.
     """
-    mixed = mix_sources(docs, id_col, text_col, source_col).where("taken > 0")
-    of_id = mixed.groupBy(id_col, F.col("source").alias("__source"), "size").agg(F.sum("taken").alias("__taken"), F.count("*").alias("__rows"))
-    of_id = of_id.withColumnsRenamed({id_col: "__id", "size": "__size"})
-    keyed = docs.withColumn("__words", n_words(F.col(text_col)))
-    joined = keyed.join(of_id, F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    each = joined.withColumn("__each", F.expr("cast(__taken div __rows as long)"))
-    parts = each.withColumn("__part", F.explode(F.concat(F.expr("array_repeat(__size, cast(__each div __size as int))"), F.when(F.expr("__each % __size > 0"), F.array(F.expr("__each % __size"))).otherwise(F.array().cast("array<bigint>")))))
-    text = F.when(F.col("__part") == F.col("__size"), F.col(text_col)).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__part").cast("int")), " "))
-    out = parts.withColumn(text_col, text)
+    takes, most_rows = _takes(docs, id_col, source_col, text_col, F.xxhash64(text_col), WEIGHTS, 1.5, 2.0, rows_a_range)
+    some = (F.col("n") > 1) & (F.col("whole") < F.col("n")) & ((F.col("whole") > 0) | (F.col("part") > 0))
+    takes = cut(takes.where("size > 0").select(F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("apart").alias("__apart"), "epochs", "whole", "part", "n", some.alias("some")))
+    of_row = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.xxhash64(text_col) == F.col("__apart"))
+    again = F.when(F.col("some"), 0).otherwise((F.col("whole") == F.col("n")).cast("int"))
+    rows = docs.join(takes.select("__id", "__source", "__apart", "__size", (F.col("epochs") + again).cast("int").alias("__whole"), F.when(~F.col("some"), F.col("part")).otherwise(F.lit(0)).alias("__part"), "some"), of_row)
+    parts = F.concat(F.expr("array_repeat(__size, __whole)"), F.when(F.col("__part") > 0, F.array("__part")).otherwise(F.array().cast("array<bigint>")))
+    out = rows.withColumn("__words", F.explode(parts)).select(*docs.columns, "__words", "__size")
+    if most_rows > 1 and takes.where("some").limit(1).count():  # at most one group a source
+        cuts = takes.where("some").select("__id", "__source", "__apart", "__size", F.inline(F.array(F.struct(F.col("whole").alias("__rows"), F.col("__size").alias("__words")), F.struct((F.col("part") > 0).cast("long").alias("__rows"), F.col("part").alias("__words")))))
+        one = docs.join(takes.where("some").select("__id", "__source", "__apart"), of_row).dropDuplicates(["__id", "__source", "__apart"])
+        more = one.withColumnsRenamed({"__id": "__i", "__source": "__s", "__apart": "__a"}).join(cuts, F.col("__i").eqNullSafe(F.col("__id")) & F.col("__s").eqNullSafe(F.col("__source")) & (F.col("__a") == F.col("__apart")))
+        out = out.unionByName(_repeated(more, "__rows", most_rows > rows_a_range).select(*docs.columns, "__words", "__size"))
+    text = F.when(F.col("__words") == F.col("__size"), F.col(text_col)).otherwise(F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), " "))
+    out = out.withColumn(text_col, text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

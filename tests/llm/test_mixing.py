@@ -1,3 +1,4 @@
+import math
 from collections import defaultdict
 
 import pytest
@@ -63,4 +64,25 @@ def test_documents_as_the_mix_takes_them(spark):
     for r in out.collect():
         taken[r.doc_id] -= len(words(r.text))
         assert r.n_chars == len(r.text)
-    assert all(abs(v) <= 1 for v in taken.values())
+    assert not any(taken.values())
+
+
+def test_every_word_of_the_budget_is_written(spark):
+    rows = [(1, "a b c d e f g", "en", "x")] * 5 + [(1, "h i j k l m n", "en", "x")] * 3 + [(None, "p q r", "en", "y")] * 9 + [(None, "p q s", None, "y"), (2, "one two", "en", None), (2, "one two", "de", None), (2, None, "en", None)]
+    sizes = defaultdict(int)
+    for _, t, _, s in rows:
+        sizes[s] += len(words(t))
+    for every in (rows, rows * 7):
+        docs = documents(spark, every)
+        written, texts = defaultdict(int), defaultdict(int)
+        for r in mixing.mixed_documents(docs, rows_a_range=4).collect():
+            written[r.source] += len(words(r.text))
+            texts[r.text] += 1
+        budgets = {s: math.floor(t) for s, t in brute_targets({s: n * len(every) // len(rows) for s, n in sizes.items()}).items()}
+        assert written == {s: b for s, b in budgets.items() if b}
+        check(spark, every)
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(7, "w " * 5, "en", "a")] * 3000 + [(k, "w " * (k % 9), "en", "ab"[k % 2]) for k in range(100)]
+    check(spark, rows)
