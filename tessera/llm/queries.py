@@ -52,8 +52,7 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame([(x,) for x in urls.LISTED], "url string")
-    return urls.url_verdicts(_table(spark, sf_dir, "pages"), rules, listed)
+    return urls.url_verdicts(_table(spark, sf_dir, "pages"), rules, urls.listed_urls(spark))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
-_LISTED = ", ".join(f"('{u}')" for u in urls.LISTED)
+_HOSTS = ", ".join(f"('{h}')" for h in urls.LISTED_HOSTS)
+_LANGUAGES = ", ".join(f"('{x}')" for x in urls.LISTED_LANGUAGES)
 
 ORACLES: dict[str, str] = {
     "op2_warc": """
@@ -107,15 +107,17 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10""",
     "op8_url_filter": f"""
-WITH rules(rh, rp, rv) AS (VALUES {_RULES}), listed(u) AS (VALUES {_LISTED}),
+WITH rules(rh, rp, rv) AS (VALUES {_RULES}), hosts(h) AS (VALUES {_HOSTS}), langs(g) AS (VALUES {_LANGUAGES}),
+listed AS (SELECT h || '/' || g || '/' || n AS u FROM hosts CROSS JOIN langs CROSS JOIN range({urls.LISTED_PAGES}) r(n)),
 p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path FROM pages),
 a AS (SELECT DISTINCT host, path FROM p),
+c AS (SELECT host, path, regexp_replace(host, ':(80|443)$', '') || regexp_replace(array_to_string(list_transform(string_split(path, '%'),
+  lambda x, i: CASE WHEN i > 1 AND regexp_matches(x, '^[0-9A-Fa-f][0-9A-Fa-f]') THEN upper(x[1:2]) || x[3:] ELSE x END), '%'), '/$', '') AS u FROM a),
 fits AS (SELECT host, path, rh || rp AS rule, rv, row_number() OVER (PARTITION BY host, path ORDER BY length(rh || rp) DESC, rh || rp DESC) AS k
   FROM a JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
-SELECT p.page_id, p.host, p.path, fits.rule AS rule,
-  coalesce(fits.rv, CASE WHEN p.host || p.path IN (SELECT u FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN fits ON fits.host = p.host AND fits.path = p.path AND fits.k = 1""",
+SELECT p.page_id, p.host, p.path, fits.rule AS rule, coalesce(fits.rv, CASE WHEN listed.u IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN c ON c.host = p.host AND c.path = p.path LEFT JOIN listed ON listed.u = c.u LEFT JOIN fits ON fits.host = p.host AND fits.path = p.path AND fits.k = 1""",
     "op9_mixing": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The rules (host, path, verdict) of the registered query.
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Canonical URLs (host and path) that the registered query lists beside its rules.
-LISTED = ["tionsh.example.net/en/41230", "tionsh.example.net/en/175588/", "blog.thernt.example.net/en/45446", "m.ththed.example.net/fr/15139.html", "www.example.net/"]
+#: What the registered query's list of canonical URLs is made of, host by host, language by language, page by page.
+LISTED_HOSTS = [f"{sub}{name}.example.com" for name in ("ads-track", "casino-win", "free-bets", "spam-farm") for sub in ("", "blog.", "m.", "www.")]
+LISTED_LANGUAGES, LISTED_PAGES = ["en", "es"], 12_000
 FILTER_BITS_A_KEY, FILTER_BYTES, BROADCAST_KEYS = 16, 8 << 10, 50_000
 
 
+def listed_urls(spark: SparkSession, pages: int = LISTED_PAGES) -> DataFrame:
+    """(url): the canonical URLs of all pages of the listed hosts, 384,000 with the default."""
+    hosts = F.explode(F.array(*map(F.lit, LISTED_HOSTS)))
+    languages = F.explode(F.array(*map(F.lit, LISTED_LANGUAGES)))
+    return spark.range(0, pages, 1, 4).select("id", hosts.alias("host")).select("id", "host", languages.alias("lang")).select(F.concat("host", F.lit("/"), "lang", F.lit("/"), F.col("id").cast("string")).alias("url"))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to /, ?, # or the end, A-Z lower-cased; path: from there up to ?, # or the end. Both empty for null or without ://."""
     parts = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -31,48 +39,59 @@ def _mask(key: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
+def canonical(host: Column, path: Column) -> Column:
+    """Host without the ports 80 and 443, path without one trailing slash, percent-escapes in upper case."""
+    upper = lambda x, k: F.when((k > 0) & x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.left(x, F.lit(2))), F.substr(x, F.lit(3)))).otherwise(x)
+    escaped = F.array_join(F.transform(F.split(path, "%"), upper), "%")
+    return F.concat(F.regexp_replace(host, ":(?:80|443)$", ""), F.regexp_replace(escaped, "/$", ""))
+
+
 def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row for each input row: id_col, host, path, rule (null if none fits), verdict.
 
     rules (host, path, verdict): a rule fits its host and all subdomains if the path starts with the
-    rule's; the longest (host and path together, ties to the greater text) wins. listed (url): canonical
-    URLs, host and path; a page that no rule fits is blocked if it is listed and else allowed. Rules and
-    listed URLs are keys of one blocked Bloom filter of 64-bit blocks with four bits a key. A page has
-    few possible keys (host suffixes times the rules' path lengths, of which there may be 256 at most);
-    those that pass the filter go to a hash join on the key, which removes false positives; the list is
-    broadcast while it has at most 50,000 keys. The filter
-    is sent with the plan while it has at most 8 kB (4,096 keys) and joined by its block number beyond. Distinct
-    addresses are judged once, so a hot host or URL is aggregated before it is joined. Null and empty
-    URLs and those without :// have an empty host and path; null rules and URLs of the lists fit nothing,
-    repeated ones count once; rows with equal or null ids are judged each; empty tables give no rows.
+    rule's; the longest (host and path together, ties to the greater text) wins; of rules with one host
+    and path the greater verdict counts (block before allow). listed (url): URLs as canonical() makes
+    them; a page that no rule fits is blocked if it is listed and else allowed. Rules and listed URLs are
+    keys of one blocked Bloom filter of 64-bit blocks with four bits a key. A page's possible keys are
+    made from the pairs of label count and path length that occur among the rules, which are few and
+    small; hosts of many labels and long paths cost no more than these. Keys that pass the filter go to a
+    hash join on the key, which removes false positives; the list is broadcast while it has at most
+    50,000 keys. The filter is sent with the plan while it has at most 8 kB (4,096 keys) and joined by
+    its block number beyond. Distinct addresses are judged once, so a hot host or URL is aggregated
+    before it is joined. Null and empty URLs and those without :// have an empty host and path; null
+    rules and URLs of the lists fit nothing, repeated ones count once; rows with equal or null ids are
+    judged each; empty tables give no rows; other columns aren't read.
     """
     sep = "\u0000"
-    keys = rules.where("host is not null and path is not null").select(F.concat(F.lit("r"), "host", F.lit(sep), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.char_length(F.concat("host", "path")).alias("size"), F.char_length("path").alias("path_size"))
-    urls = listed.where("url is not null").select(F.concat(F.lit("u"), "url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(-1).alias("size"), F.lit(0).alias("path_size"))
-    table = keys.unionByName(urls).dropDuplicates(["key"])
-    facts = table.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("rule").isNotNull(), F.col("path_size"))).alias("sizes")).first()
-    if len(facts["sizes"]) > 256:
-        raise ValueError("more than 256 different path lengths among the rules")
-    n_blocks = max(16, -(-facts["n"] * FILTER_BITS_A_KEY // 64))
+    dots = lambda host: F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit("")))
+    given = rules.where("host is not null and path is not null").withColumns({"dots": dots(F.col("host")), "path_size": F.char_length("path")})
+    keys = given.select(F.concat(F.lit("r"), "host", F.lit(sep), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.char_length(F.concat("host", "path")).alias("size"))
+    urls = listed.where("url is not null").select(F.concat(F.lit("u"), "url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(-1).alias("size"))
+    table = keys.unionByName(urls).groupBy("key").agg(F.max("rule").alias("rule"), F.max("verdict").alias("verdict"), F.max("size").alias("size"))
+    n_keys = table.count()
+    shapes = [F.struct(F.lit(r["dots"]).alias("dots"), F.lit(r["path_size"]).alias("size")) for r in given.select("dots", "path_size").distinct().collect()]
+    n_blocks = max(16, -(-n_keys * FILTER_BITS_A_KEY // 64))
     filter_blocks = table.select(_block(F.col("key"), n_blocks).alias("block"), _mask(F.col("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
 
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     addresses = parsed.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.filter(F.array(*[F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in sorted(facts["sizes"])] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
-    fits = F.flatten(F.transform(suffixes, lambda s: F.transform(starts, lambda p: F.concat(F.lit("r"), s, F.lit(sep), p))))
-    possible = F.concat(fits, F.array(F.concat(F.lit("u"), "host", "path")))
+    none = F.array().cast("array<struct<dots:int,size:int>>")
+    fitting = F.filter(F.array(*shapes) if shapes else none, lambda s: (s["dots"] <= dots(F.col("host"))) & (s["size"] <= F.char_length("path")))
+    whole = F.struct(F.lit(-1).alias("dots"), F.lit(0).alias("size"))
+    each = addresses.select("host", "path", F.explode(F.concat(fitting, F.array(whole))).alias("shape"))
+    rule_key = F.concat(F.lit("r"), F.expr("substring_index(host, '.', -(shape.dots + 1))"), F.lit(sep), F.expr("substring(path, 1, shape.size)"))
+    probes = each.select("host", "path", F.when(F.col("shape.dots") < 0, F.concat(F.lit("u"), canonical(F.col("host"), F.col("path")))).otherwise(rule_key).alias("key"))
+    probes = probes.withColumn("block", _block(F.col("key"), n_blocks))
     if n_blocks * 8 <= FILTER_BYTES:
         masks = {r["block"]: r["mask"] for r in filter_blocks.collect()}  # FILTER_BYTES at most
         blocks = F.array(*[F.lit(masks.get(k, 0)).cast("long") for k in range(n_blocks)])
-        passed = F.filter(possible, lambda k: F.element_at(blocks, _block(k, n_blocks) + 1).bitwiseAND(_mask(k)) == _mask(k))
-        hits = addresses.select("host", "path", F.explode(passed).alias("key"))
+        probes = probes.withColumn("mask", F.element_at(blocks, F.col("block") + 1))
     else:
-        probes = addresses.select("host", "path", F.explode(possible).alias("key")).withColumn("block", _block(F.col("key"), n_blocks))
-        hits = probes.join(filter_blocks, "block").where(F.col("mask").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("host", "path", "key")
-    exact = hits.join(F.broadcast(table) if facts["n"] <= BROADCAST_KEYS else table, "key")
+        probes = probes.join(filter_blocks, "block")
+    hits = probes.where(F.col("mask").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("host", "path", "key")
+    exact = hits.join(F.broadcast(table) if n_keys <= BROADCAST_KEYS else table, "key")
     best = exact.groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("best"))
     judged = parsed.join(best, ["host", "path"], "left")
     return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
