@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +23,7 @@ from tessera.llm.common import bound_batches, cut, shared_dir
 
 MAGIC = b"WARC/1.1\r\n"
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,15})(?=\r\n)")
-_MOST_HEADER = 1 << 20
+_END, _MARGIN = b"\r\n\r\n", 64 << 10
 
 
 def _filesystem(uri: str):
@@ -93,23 +93,32 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     return cut(marked.mapInArrow(write, "file string, bytes long"))
 
 
-def candidates(data: bytes, start: int, own: int) -> tuple[list[int], list[int]]:
-    """Offsets of all that looks like a record and begins in the first own bytes of data, which lies at start, and the offsets of their successors."""
+def candidates(data: bytes, start: int, own: int, more: Callable[[int], bytes] = lambda n: b"") -> tuple[list[int], list[int]]:
+    """Offsets of all that looks like a record and begins in the first own bytes of data, which lies at start, and the offsets of their successors.
+
+    more(n) gives bytes after the first n, and none at the file's end: a header may be of any size. The
+    header's end and the length in it are looked for once for all candidates before them.
+    """
     offsets, successors, at = [], [], data.find(MAGIC)
+    end, length, searched = -1, None, 0
     while 0 <= at < own:
-        end = data.find(b"\r\n\r\n", at, at + _MOST_HEADER)
-        if end > 0 and (found := _LENGTH.search(data, at, end + 2)):
+        if end < at:
+            end = data.find(_END, at)
+            while end < 0 and (extra := more(len(data))):
+                seen = max(at, len(data) - len(_END) + 1)
+                data += extra
+                end = data.find(_END, seen)
+            if end < 0:
+                break
+        if length.start() < at if length else searched < len(data):
+            length, searched = _LENGTH.search(data, at), len(data)
+        if length and length.end() <= end:
             offsets.append(start + at)
-            successors.append(start + end + 8 + int(found[1]))
+            successors.append(start + end + len(_END) + int(length[1]) + len(_END))
         at = data.find(MAGIC, at + 1)
     return offsets, successors
 
 
-def _read(source, start: int, own: int, size: int) -> bytes:
-    source.seek(start)
-    return source.read(min(own + _MOST_HEADER + len(MAGIC), size - start))
-
-
 def chunk_entries(manifest: DataFrame, folder: str, chunk_bytes: int = 8 << 20) -> DataFrame:
     """(file, bytes, chunk, entry): the offset of the first true record of each chunk that has one."""
     chunks = manifest.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.col("bytes"), F.lit(1)) - 1) / chunk_bytes).cast("int"))))
@@ -122,7 +131,12 @@ def chunk_entries(manifest: DataFrame, folder: str, chunk_bytes: int = 8 << 20)
                 start = r["chunk"] * chunk_bytes
                 own = min(chunk_bytes, r["bytes"] - start)
                 with filesystem.open_input_file(f"{root}/{r['file']}") as source:
-                    offsets, successors = candidates(_read(source, start, own, r["bytes"]), start, own)
+                    def more(n: int, source=source, start=start) -> bytes:
+                        source.seek(start + n)
+                        return source.read(max(_MARGIN, n))
+
+                    source.seek(start)
+                    offsets, successors = candidates(source.read(own + _MARGIN), start, own, more)
                 exits = dict(zip(offsets, successors, strict=True))
                 for at in reversed(offsets):
                     exits[at] = exits.get(exits[at], exits[at])
@@ -165,7 +179,7 @@ def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = 8 << 20,
                     while at < end:
                         source.seek(at)
                         head = source.read(4096)
-                        while (stop := head.find(b"\r\n\r\n")) < 0 and len(head) < _MOST_HEADER and (more := source.read(len(head))):
+                        while (stop := head.find(_END)) < 0 and head.startswith(MAGIC) and (more := source.read(len(head))):
                             head += more
                         if not head.startswith(MAGIC) or stop < 0:
                             raise ValueError(f"{r['file']}: no record at {at}")
@@ -191,6 +205,15 @@ def read_archives(manifest: DataFrame, folder: str, chunk_bytes: int = 8 << 20,
 
 
 def archive_round_trip(pages: DataFrame, folder: str | None = None, **names: str) -> DataFrame:
-    """Writes pages as archives and reads them back. Null html is an empty payload; empty tables give no rows; null ids and repeated rows come back as they went in."""
-    folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, folder, **names), folder)
+    """Writes pages as archives and reads them back; archives in a folder of its own are deleted once what they hold is checkpointed.
+
+    Null html is an empty payload; URLs and payloads may be of any length; empty tables give no rows;
+    null ids and repeated rows come back as they went in; other columns aren't written.
+    """
+    if folder:
+        return read_archives(write_archives(pages, folder, **names), folder)
+    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    out = cut(read_archives(write_archives(pages, folder, **names), folder))
+    filesystem, root = _filesystem(folder)
+    filesystem.delete_dir(root)
+    return out

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 import uuid
 
 from pyarrow import fs
@@ -70,3 +72,36 @@ def test_candidates_include_fakes_and_chains_skip_them():
     data = warc.record(1, "u", FAKE.encode(), "d", None) + warc.record(2, "v", b"", "d", None)
     offsets, successors = warc.candidates(data, 0, len(data))
     assert len(offsets) == 3 and successors[0] == offsets[2] and successors[2] == len(data)
+
+
+def test_headers_of_any_size(spark):
+    rows = [(1, "http://a/" + "u" * 2_000_000, "p" * 100), (2, "http://b/%" + "\r\n" * 50_000, FAKE), (3, "c", "p" * 100), (4, None, "WARC/1.1\r\n" * 20_000 + "\r\nContent-Length: 7\r\n")]
+    folder = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    manifest = warc.write_archives(pages(spark, rows).coalesce(1), folder)
+    for chunk_bytes in (8 << 20, 100_000):
+        got = warc.read_archives(manifest, folder, chunk_bytes=chunk_bytes).collect()
+        assert sorted(map(repr, ((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got))) == sorted(map(repr, brute(rows)))
+        assert sorted(r.url for r in got) == sorted(u or "" for _, u, _ in rows)
+
+
+def test_candidates_against_brute_force():
+    rng = random.Random(3)
+    bits = [b"WARC/1.1\r\n", b"\r\n\r\n", b"\r\nContent-Length: 3", b"\r\nContent-Length: 12\r\n", b"x", b"\r\n"]
+    for _ in range(2000):
+        data = b"".join(rng.choices(bits, k=rng.randrange(25)))
+        own, given = rng.randrange(len(data) + 1), rng.randrange(len(data) + 1)
+        want = []
+        for at in range(own):
+            end = data.find(b"\r\n\r\n", at)
+            found = re.search(rb"\r\nContent-Length: (\d+)(?=\r\n)", data[at : end + 2]) if end >= 0 else None
+            if data.startswith(b"WARC/1.1\r\n", at) and found:
+                want.append((100 + at, 100 + end + 8 + int(found[1])))
+        more = lambda n: data[n : n + rng.randrange(1, 9)]  # noqa: B023, E731
+        assert list(zip(*warc.candidates(data[: max(given, own + 10)], 100, own, more), strict=True)) == want
+
+
+def test_own_archives_go(spark):
+    before = set(fs.FileSystem.from_uri(shared_dir(spark))[0].get_file_info(fs.FileSelector(fs.FileSystem.from_uri(shared_dir(spark))[1])))
+    assert warc.archive_round_trip(pages(spark, ROWS)).count() == len(ROWS)
+    after = fs.FileSystem.from_uri(shared_dir(spark))[0].get_file_info(fs.FileSelector(fs.FileSystem.from_uri(shared_dir(spark))[1]))
+    assert not [x.path for x in after if x not in before and "/warc-" in x.path]
