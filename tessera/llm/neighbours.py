@@ -14,13 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import components, cut
 
-_LISTS = "id long, n int, dst array<long>, est array<float>"
-
 
 def _matrix(column: pa.Array, kind: type) -> np.ndarray:
     parts = column.to_pylist()
@@ -121,24 +119,13 @@ def first_offers(classes: DataFrame, tables: int = 16, near: int = 8, keep: int
 
 
 def merged(offers: DataFrame, sizes: DataFrame | None, length: int, threshold: float) -> DataFrame:
-    """Checkpointed lists of the best offers; n is a list's length, doubled where all it held were links."""
-    each = offers.groupBy("id").agg(F.flatten(F.collect_list("dst")).alias("dst"), F.flatten(F.collect_list("est")).alias("est"))
+    """Checkpointed lists of the best offers; n is a list's length, doubled where all it held were links. A hub that many lists name is sorted, never gathered whole."""
+    each = offers.select("id", F.explode(F.arrays_zip("dst", "est")).alias("x")).where("x.dst <> id").groupBy("id", F.col("x.dst").alias("dst")).agg(F.max("x.est").alias("est"))
     each = each.join(sizes, "id", "left") if sizes is not None else each.withColumn("n", F.lit(None).cast("int"))
-    each = each.select("id", F.coalesce("n", F.lit(length)).alias("n"), "dst", "est")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, ids, n = batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            row = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy())
-            dst, est = lists.flatten().to_numpy(), batch.column(3).flatten().to_numpy()
-            at = _best(row, ids[row], dst, est, n)
-            counts = np.bincount(row[at], minlength=len(ids))
-            links = np.bincount(row[at], weights=est[at] >= threshold, minlength=len(ids))
-            n = np.where((links == counts) & (counts >= n), 2 * n, n).astype(np.int32)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(dst[at])), pa.ListArray.from_arrays(offsets, pa.array(est[at], pa.float32()))], ["id", "n", "dst", "est"])
-
-    return cut(each.mapInArrow(run, _LISTS))
+    each = each.withColumn("n", F.coalesce("n", F.lit(length))).withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("est"), "dst")))
+    best = each.where("place <= n").groupBy("id").agg(F.max("n").alias("n"), F.collect_list(F.struct("dst", "est")).alias("x"), F.min("est").alias("least"))
+    n = F.when((F.col("least") >= threshold) & (F.size("x") >= F.col("n")), F.col("n") * 2).otherwise(F.col("n"))
+    return cut(best.select("id", n.cast("int").alias("n"), F.col("x.dst").alias("dst"), F.col("x.est").alias("est")))
 
 
 def neighbour_offers(lists: DataFrame, classes: DataFrame, keep: int = 3, together: int = 128) -> DataFrame:
@@ -195,7 +182,7 @@ def labelled_components(links: DataFrame, classes: DataFrame) -> DataFrame:
     return cut(classes.join(components(links), "id", "left").select("id", "key", "copies", "unit", F.coalesce("component", "id").alias("component")))
 
 
-def audit(members: DataFrame, threshold: float, every: int = 50, rows_a_block: int = 4096, queries_a_block: int = 512) -> DataFrame:
+def audit(members: DataFrame, threshold: float, every: int = 50, rows_a_block: int = 4096, queries_a_block: int = 4096) -> DataFrame:
     """Checkpointed (query, links, found, a, b): each audited class against all rows of its label in blocks; a row for each component that a link leads to, b one row of it. Found links are those inside the query's component."""
     blocks = members.groupBy("key").agg(F.ceil(F.count("*") / rows_a_block).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("id") % every == 0, 1)) / queries_a_block).cast("int").alias("asks")).where("asks > 0")
     rows = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
@@ -205,10 +192,12 @@ def audit(members: DataFrame, threshold: float, every: int = 50, rows_a_block: i
     def compare(q: pa.Table, r: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if q.num_rows and r.num_rows:
-            near = _matrix(q.column("q_unit"), np.float64) @ _matrix(r.column("unit"), np.float64).T >= threshold
+            asking, answering = _matrix(q.column("q_unit"), np.float64), _matrix(r.column("unit"), np.float64)
             ids, own = r.column("id").to_numpy(), r.column("component").to_numpy()
             for k, (query, component) in enumerate(zip(q.column("q_id").to_pylist(), q.column("q_component").to_pylist(), strict=True)):
-                at = np.flatnonzero(near[k] & (ids != query))
+                if k % 256 == 0:
+                    near = asking[k : k + 256] @ answering.T >= threshold
+                at = np.flatnonzero(near[k % 256] & (ids != query))
                 for c in np.unique(own[at]).tolist():
                     there = at[own[at] == c]
                     out.append((query, len(there), len(there) if c == component else 0, int(ids[there].min())))
@@ -219,36 +208,53 @@ def audit(members: DataFrame, threshold: float, every: int = 50, rows_a_block: i
     return cut(found)
 
 
-def link_counts(members: DataFrame, threshold: float, tile: int = 1024) -> DataFrame:
-    """(id, n): for each class in a component of several, the vectors of other classes linked with it. Small components share groups; large ones are compared tile against tile."""
+def link_counts(members: DataFrame, threshold: float, tile: int = 8192, least_tile: int = 256, rows_a_bucket: int = 4096) -> DataFrame:
+    """(id, n): for each class in a component of several, the vectors of other classes linked with it.
+
+    Components of at most least_tile rows share groups, as many as the rows need. Larger ones are compared
+    tile against tile: four tiles at first, then tiles of `tile` rows, so a row of a component of n rows
+    moves n / 8,192 times, four at least.
+    """
     sizes = members.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    rows = members.join(sizes, "component").withColumn("tiles", F.ceil(F.col("size") / tile).cast("int"))
-    own = F.pmod(F.xxhash64("id"), "tiles").cast("int")
-    rows = rows.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    spread = F.when(F.col("tiles") > 1, F.col("component")).otherwise(F.pmod("component", F.lit(1009)) - 2000)
-    pairs = rows.select(spread.alias("bucket"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "component", "id", "copies", "unit")
+    rows = members.join(sizes, "component")
+    buckets = max(1, -(-members.count() // rows_a_bucket))
+    tiles = F.when(F.col("size") <= least_tile, 1).otherwise(F.greatest(F.least(F.lit(4), F.ceil(F.col("size") / least_tile)), F.ceil(F.col("size") / tile))).cast("int")
+    rows = rows.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("id"), "tiles").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    spread = F.when(F.col("tiles") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    pairs = rows.select((F.col("tiles") > 1).alias("large"), spread.alias("bucket"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "component", "id", "copies", "unit")
+
+    def linked(x: np.ndarray, y: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x[at : at + 512] @ y.T >= threshold) @ copies for at in range(0, len(x), 512)] or [np.zeros(0, np.int64)])
 
     def count(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("component")
+        table = table.combine_chunks().sort_by([("component", "ascending"), ("tile", "ascending")])
         ids, copies, tiles, own = (table.column(c).to_numpy() for c in ("id", "copies", "tile", "component"))
         units = table.column("unit").to_pylist()
         out = np.zeros(len(ids), np.int64)
         edges = np.concatenate(([0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]))
         for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             x = np.frombuffer(b"".join(units[s:e])).reshape(e - s, -1)
-            near = (x @ x.T >= threshold) & ((tiles[s:e, None] != tiles[None, s:e]) if tiles[s:e].min() != tiles[s:e].max() else ~np.eye(e - s, dtype=bool))
-            out[s:e] = near @ copies[s:e]
+            second = int(np.searchsorted(tiles[s:e], tiles[s], "right"))
+            if second < e - s:
+                out[s:e] = np.concatenate((linked(x[:second], x[second:], copies[s + second : e]), linked(x[second:], x[:second], copies[s : s + second])))
+            else:
+                itself = np.concatenate([(x[at : at + 512] * x[at : at + 512]).sum(1) for at in range(0, len(x), 512)]) >= threshold
+                out[s:e] = linked(x, x, copies[s:e]) - itself * copies[s:e]
         return pa.table({"id": ids, "n": out})
 
-    return pairs.groupBy("bucket", "i", "j").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return pairs.groupBy("large", "bucket", "i", "j").applyInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, length: int = 12, rounds: int = 2, most_rounds: int = 6, report: Callable[[dict], None] | None = None) -> DataFrame:
-    """One row for each input row: id_col, n_links, component_id, kept.
+def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, length: int = 12, rounds: int = 2, most_rounds: int = 6, least_recall: float = 0.9, with_recall: bool = False, report: Callable[[dict], None] | None = None) -> DataFrame:
+    """One row for each input row: id_col, n_links, component_id, kept[, audit_recall].
 
     Vectors are compared within a label (and a size) only; those that are null, empty or zero or hold
     null or non-finite components, and those without a label or an id, link with nothing. Rows with equal
-    vectors are links of each other. report gets the audit's figures: links, found, recall of each pass.
+    vectors are links of each other; rows with equal ids are vectors of their own; empty tables give no
+    rows; other columns aren't read. A component of n rows costs n squared, in tiles. Rounds go on while
+    the audit finds links between components, most_rounds at most; if it then had less than least_recall
+    of the audited links, RuntimeError is raised. audit_recall is the last audit's figure, and report gets
+    those of each: links, found, recall.
     """
     classes = vector_classes(table, id_col, vec_col, label_col)
     lists = merged(first_offers(classes), None, length, threshold)
@@ -263,12 +269,15 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         members = labelled_components(links, classes)
         found = audit(members, threshold)
         facts = found.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
+        recall = facts[1] / facts[0] if facts[0] else 1.0
         if report:
-            report({"links": facts[0], "found": facts[1], "recall": facts[1] / facts[0] if facts[0] else 1.0})
+            report({"links": facts[0], "found": facts[1], "recall": recall})
         if facts[0] == facts[1]:
             break
         links = links.union(found.where("found = 0").select(F.col("query").alias("a"), F.col("other").alias("b")))
         if done >= most_rounds:
+            if recall < least_recall:
+                raise RuntimeError(f"after {done} rounds the graph has {recall:.3f} of the audited links")
             members = labelled_components(links, classes)
             break
         lists = cut(lists.withColumn("n", F.col("n") * 2))
@@ -278,4 +287,5 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(":", F.size(v).cast("string"), F.col(label_col).cast("string")).alias("key"), v.alias("v"), F.col(label_col).isNotNull().alias("usable"))
     joined = rows.join(counted, (rows.key == counted.key) & (rows.v == counted.v) & rows.usable & rows.id.isNotNull(), "left")
     component = F.coalesce(F.col("component"), rows.id)
-    return joined.select(rows.id.alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (rows.id == component).alias("kept"))
+    extra = [F.lit(recall).alias("audit_recall")] if with_recall else []
+    return joined.select(rows.id.alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (rows.id == component).alias("kept"), *extra)

@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return neighbours.near_duplicates(_table(spark, sf_dir, "embeddings"), with_recall=True)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import neighbours
 
@@ -13,9 +14,12 @@ def brute(rows, threshold=0.93):
     pairs = [(a, b) for a in range(len(good)) for b in range(len(good)) if a != b and good[a][2] == good[b][2] and cos(good[a][1], good[b][1])]
     for a, _ in pairs:
         links[good[a][0]] = links.get(good[a][0], 0) + 1
-    for _ in good:
+    moved = True
+    while moved:
+        moved = False
         for a, b in pairs:
-            label[good[a][0]] = min(label[good[a][0]], label[good[b][0]])
+            if label[good[b][0]] < label[good[a][0]]:
+                label[good[a][0]], moved = label[good[b][0]], True
     return links, label
 
 
@@ -65,7 +69,24 @@ def test_same_ids_and_nothing(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("table", ["sf0.001"])
+@pytest.mark.parametrize("table", ["sf0.001", "sf0.01"])
 def test_tables(spark, table):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").collect()]
-    check(spark, rows)
+    assert check(spark, rows)[-1]["recall"] >= 0.9
+
+
+def test_a_hub_of_many_near_copies(spark):
+    """One group of 1,500 near copies in many tiles, and a stop without recall."""
+    rng = np.random.default_rng(8)
+    center = rng.standard_normal(16)
+    near = center + rng.standard_normal((1500, 16)) * 0.02
+    table = spark.createDataFrame([(k + 10, v.tolist(), 1, 1, "k", "h") for k, v in enumerate(near)] + [(k, rng.standard_normal(16).tolist(), 1, 1, "k", "h") for k in range(9)], SCHEMA)
+    got = {r.vec_id: r for r in neighbours.near_duplicates(table, with_recall=True).collect()}
+    assert all((got[k + 10].n_links, got[k + 10].component_id) == (1499, 10) for k in range(1500)) and {r.audit_recall for r in got.values()} == {1.0}
+
+
+def test_too_low_a_recall_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "checked", lambda lists, classes, threshold: lists.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    table = spark.createDataFrame([(k * 50, [1.0, k / 1000], 1, 1, "k", "h") for k in range(9)], SCHEMA)
+    with pytest.raises(RuntimeError, match="audited links"):
+        neighbours.near_duplicates(table, rounds=1, most_rounds=1)
