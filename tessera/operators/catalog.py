@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import sets
+from tessera.operators.graph import cut
 
 IDENTITY = ["provider", "kind", "external_id"]
 
@@ -56,12 +57,28 @@ def saved_positions(wanted: DataFrame, tracks: DataFrame, saved: DataFrame, by_i
 
 
 def mergeable(identities: DataFrame, owner: str) -> DataFrame:
-    """(owner, into): owners that share an identity and are merged into the smallest; a pair whose identities of some namespace differ without one in common is vetoed."""
-    pairs = identities.alias("a").join(identities.alias("b"), IDENTITY).where(F.col(f"a.{owner}") > F.col(f"b.{owner}")).select(F.col(f"a.{owner}").alias("x"), F.col(f"b.{owner}").alias("y")).distinct()
-    namespaced = identities.groupBy(owner, "provider", "kind").agg(F.collect_set("external_id").alias("ids"))
-    left, right = (namespaced.select(F.col(owner).alias(n), "provider", "kind", F.col("ids").alias(f"{n}_ids")) for n in ("x", "y"))
-    veto = pairs.join(left, "x").join(right, ["y", "provider", "kind"]).where(~F.arrays_overlap("x_ids", "y_ids")).select("x", "y").distinct()
-    return pairs.join(veto, ["x", "y"], "left_anti").groupBy(F.col("x").alias(owner)).agg(F.min("y").alias("into"))
+    """(owner, into): owners that share an identity and are merged into the smallest; a pair whose identities of some namespace differ without one in common is vetoed.
+
+    For each identity an owner is tried with the identity's owners from the smallest on and stops at the
+    first without a veto, or where a smaller one is known, so a hot identity costs a try for each owner and
+    not all pairs. A round tries one owner of each identity that is still open.
+    """
+    ids = cut(identities.select(F.col(owner).alias("x"), *IDENTITY).distinct().withColumn("place", F.row_number().over(Window.partitionBy(*IDENTITY).orderBy("x"))))
+    spaces = ids.select("x", "provider", "kind").distinct()
+    known, open_ = None, ids.where("place > 1").withColumn("at", F.lit(1))
+    while True:
+        tried = cut(open_.join(ids.select(F.col("x").alias("y"), *IDENTITY, F.col("place").alias("at")), [*IDENTITY, "at"]))
+        pairs = tried.select("x", "y").distinct()
+        both = pairs.join(spaces, "x").join(spaces.withColumnRenamed("x", "y"), ["y", "provider", "kind"])
+        shared = pairs.join(ids.drop("place"), "x").join(ids.select(F.col("x").alias("y"), *IDENTITY), ["y", *IDENTITY]).select("x", "y", "provider", "kind").distinct()
+        veto = both.join(shared, ["x", "y", "provider", "kind"], "left_anti").select("x", "y").distinct().withColumn("vetoed", F.lit(True))
+        judged = cut(tried.join(veto, ["x", "y"], "left"))
+        found = judged.where("vetoed is null").select("x", "y")
+        known = cut((found if known is None else known.unionByName(found)).groupBy("x").agg(F.min("y").alias("y")))
+        onward = judged.where("vetoed").join(known.withColumnRenamed("y", "best"), "x", "left").where("place > at + 1 and (best is null or y < best)")
+        open_ = onward.select("x", *IDENTITY, "place", (F.col("at") + 1).alias("at"))
+        if open_.isEmpty():
+            return known.select(F.col("x").alias(owner), F.col("y").alias("into"))
 
 
 def fallback(attempts: DataFrame, subject: str) -> DataFrame:

@@ -9,24 +9,22 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names, or one of its own where that is unset."""
+    """Cuts lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names; where that is unset, a folder of its own on a local master only."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b", seed: str = "seed", most_rounds: int = 100) -> DataFrame:
-    """(seed, node) for all nodes reachable from each seed, itself included. Frontiers grow one step a round."""
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    known = frontier = cut(seeds.select(F.col(seed).alias("seed"), F.col(seed).alias("node")).distinct())
-    for _ in range(most_rounds):
-        step = frontier.join(both, F.col("node") == F.col("x")).select("seed", F.col("y").alias("node")).distinct()
-        frontier = cut(step.join(known, ["seed", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = known.union(frontier)
-    raise RuntimeError(f"the closure did not settle in {most_rounds} rounds")
+def reachable(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b", seed: str = "seed") -> DataFrame:
+    """(seed, node) for all nodes reachable from each seed over undirected edges, itself included: the members of its component, found by doubling steps however long the chains are."""
+    labels = canonical(edges, a, b)
+    own = seeds.select(F.col(seed).alias("seed")).distinct().join(labels.select(F.col("id").alias("seed"), "canonical"), "seed", "left")
+    members = labels.select(F.col("id").alias("node"), "canonical")
+    return own.join(members, "canonical", "left").select("seed", F.coalesce("node", "seed").alias("node"))
 
 
 def canonical(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:

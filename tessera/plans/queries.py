@@ -503,7 +503,7 @@ def identity_conflicts(t: Tables) -> DataFrame:
 
 # Graphs.
 
-_EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT min(l_suppkey) OVER (PARTITION BY l_partkey) AS a, l_suppkey AS b FROM lineitem WHERE l_partkey % 20 = 0), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), "
+_EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT min(l_suppkey) OVER (PARTITION BY l_partkey) AS a, l_suppkey AS b FROM lineitem), g AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), "
 
 
 @query(_EDGES + "r(seed, node) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey <= 5 UNION SELECT seed, g.b FROM r JOIN g ON g.a = node) SELECT seed, node FROM r")
@@ -781,7 +781,7 @@ def program_selection(t: Tables) -> DataFrame:
     return programs.selected(programs.agreements(checks, tracks), known)
 
 
-@query("""WITH r AS (SELECT l_partkey AS track, CASE WHEN l_tax > 0.02 THEN l_suppkey % 2 END AS recording, l_linenumber <> 4 AS complete, l_quantity > 1 AS context, l_discount < 0.1 AS artist, l_quantity = 50 AS version, l_quantity = 49 AS duration FROM lineitem WHERE l_partkey % 3 = 0),
+@query("""WITH r AS (SELECT l_partkey AS track, CASE WHEN l_tax > 0.02 THEN l_suppkey % 2 END AS recording, l_linenumber <> 4 AS complete, l_quantity > 1 AS context, l_discount < 0.1 AS artist, l_quantity = 50 AS version, l_quantity = 49 AS duration FROM lineitem),
 g AS (SELECT track, list_sort(list(DISTINCT recording) FILTER (recording IS NOT NULL)) AS ids, max(complete AND recording IS NULL) AS lacks, sum(complete::INT) AS support, max(NOT complete) AS sampled, min(NOT complete OR context) AS context, min(NOT complete OR artist) AS artist, max(complete AND version) AS version, max(complete AND duration) AS duration FROM r GROUP BY 1),
 c AS (SELECT track, ids, CASE WHEN track % 2 = 0 AND len(list_filter(coalesce(ids, []), lambda i: i <> 1)) > 0 THEN 'conflicting_identity' WHEN coalesce(len(ids), 0) > 1 OR lacks THEN 'recording_ambiguous' WHEN support = 0 THEN CASE WHEN sampled THEN 'incomplete_evidence' ELSE 'no_correspondence' END WHEN NOT context THEN 'insufficient_context' WHEN NOT artist THEN 'artist_untrusted'
   WHEN version THEN 'version_uncertain' WHEN duration THEN 'duration_conflict' WHEN coalesce(len(ids), 0) <> 1 THEN 'recording_ambiguous' WHEN track % 2 = 0 THEN 'already_known' ELSE 'supported' END AS certainty FROM g)
@@ -789,7 +789,7 @@ SELECT track, certainty, CASE WHEN certainty IN ('supported', 'already_known') T
 def recording_certainty(t: Tables) -> DataFrame:
     from tessera.operators import programs
 
-    rows = t["lineitem"].where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("track"), F.when(F.col("l_tax") > 0.02, F.col("l_suppkey") % 2).alias("recording"), (F.col("l_linenumber") != 4).alias("complete"), (F.col("l_quantity") > 1).alias("context"), (F.col("l_discount") < 0.1).alias("artist_trusted"), (F.col("l_quantity") == 50).alias("version"), (F.col("l_quantity") == 49).alias("duration"), F.lit(False).alias("conflict"), F.when(F.col("l_partkey") % 2 == 0, F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("known"))
+    rows = t["lineitem"].select(F.col("l_partkey").alias("track"), F.when(F.col("l_tax") > 0.02, F.col("l_suppkey") % 2).alias("recording"), (F.col("l_linenumber") != 4).alias("complete"), (F.col("l_quantity") > 1).alias("context"), (F.col("l_discount") < 0.1).alias("artist_trusted"), (F.col("l_quantity") == 50).alias("version"), (F.col("l_quantity") == 49).alias("duration"), F.lit(False).alias("conflict"), F.when(F.col("l_partkey") % 2 == 0, F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("known"))
     return programs.recording_certainty(rows)
 
 
@@ -809,22 +809,22 @@ def removal_and_restore(t: Tables) -> DataFrame:
     return catalog.restored(left, sources, t.ignored.withColumnRenamed("track_id", "source_id"), "track_id", "source_id")
 
 
-@query(P + """SELECT DISTINCT disc, number FROM tracks WHERE album_id < 40 AND ((disc, number) IN (SELECT disc, number FROM tracks WHERE album_id = 7 AND status = 'F') OR title IN (SELECT title FROM tracks WHERE status = 'F' AND qty > 48 AND album_id < 900))""")
+@query(P + """SELECT DISTINCT disc, number FROM tracks WHERE (disc, number) IN (SELECT disc, number FROM tracks WHERE album_id = 7 AND status = 'F') OR title IN (SELECT title FROM tracks WHERE status = 'F' AND qty > 48)""")
 def saved_positions(t: Tables) -> DataFrame:
     from tessera.operators import catalog
 
-    wanted = t.tracks.where("album_id < 40").select("disc", "number", F.col("title").alias("external_id"))
-    known = t.tracks.where("qty > 48 and album_id < 900").select("track_id", F.col("title").alias("external_id"))
+    wanted = t.tracks.select("disc", "number", F.col("title").alias("external_id"))
+    known = t.tracks.where("qty > 48").select("track_id", F.col("title").alias("external_id"))
     return catalog.saved_positions(wanted, t.tracks.where("album_id = 7"), t.saved, known)
 
 
-@query("""WITH i AS (SELECT DISTINCT l_suppkey AS o, CASE l_linenumber % 2 WHEN 0 THEN 'p' ELSE 'q' END AS provider, l_partkey AS e FROM lineitem WHERE l_partkey % 10 = 0), p AS (SELECT DISTINCT a.o AS x, b.o AS y FROM i a JOIN i b ON a.provider = b.provider AND a.e = b.e AND a.o > b.o),
+@query("""WITH i AS (SELECT DISTINCT l_suppkey AS o, CASE l_linenumber % 2 WHEN 0 THEN 'p' ELSE 'q' END AS provider, l_partkey AS e FROM lineitem), p AS (SELECT DISTINCT a.o AS x, b.o AS y FROM i a JOIN i b ON a.provider = b.provider AND a.e = b.e AND a.o > b.o),
 n AS (SELECT o, provider, list(e) AS ids FROM i GROUP BY 1, 2), v AS (SELECT x, y FROM p JOIN n a ON a.o = x JOIN n b ON b.o = y AND a.provider = b.provider WHERE len(list_intersect(a.ids, b.ids)) = 0)
 SELECT x AS owner, min(y) AS "into" FROM p WHERE (x, y) NOT IN (SELECT x, y FROM v) GROUP BY x""")
 def merge_with_veto(t: Tables) -> DataFrame:
     from tessera.operators import catalog
 
-    ids = t["lineitem"].where("l_partkey % 10 = 0").select(F.col("l_suppkey").alias("owner"), F.when(F.col("l_linenumber") % 2 == 0, "p").otherwise("q").alias("provider"), F.lit("artist").alias("kind"), F.col("l_partkey").alias("external_id")).distinct()
+    ids = t["lineitem"].select(F.col("l_suppkey").alias("owner"), F.when(F.col("l_linenumber") % 2 == 0, "p").otherwise("q").alias("provider"), F.lit("artist").alias("kind"), F.col("l_partkey").alias("external_id")).distinct()
     return catalog.mergeable(ids, "owner")
 
 
@@ -922,14 +922,14 @@ def release_types(t: Tables) -> DataFrame:
     return t.tracks.groupBy(F.col("flag").alias("known"), F.col("status").alias("candidate")).agg(F.max(same).alias("same"), F.count("*").alias("n"))
 
 
-@query("""WITH x AS (SELECT l_partkey % 7 AS program, l_orderkey AS i, CASE WHEN l_suppkey % 3 = 0 THEN 'r' || l_suppkey % 50 END AS r, CASE WHEN l_suppkey % 3 = 1 THEN 'i' || l_suppkey % 40 END AS d, l_quantity, l_linenumber FROM lineitem WHERE l_orderkey < 2000 AND l_linenumber = 1)
-SELECT CASE WHEN r IS NOT NULL THEN 'r|' || r WHEN d IS NOT NULL THEN 'i|' || d ELSE 'n|' || program || '|' || i END AS key, count(DISTINCT program) AS programs, min(l_quantity) AS duration_ms FROM x GROUP BY 1""")
+@query("""WITH x AS (SELECT l_partkey % 7 AS program, l_orderkey AS i, CASE WHEN l_suppkey % 3 = 0 THEN 'r' || l_suppkey % 50 END AS r, CASE WHEN l_suppkey % 3 = 1 THEN 'i' || l_suppkey % 40 END AS d, l_quantity, l_linenumber FROM lineitem)
+SELECT CASE WHEN r IS NOT NULL THEN 'r|' || r WHEN d IS NOT NULL THEN 'i|' || d ELSE 'n|' || program || '|' || i * 10 + l_linenumber END AS key, count(DISTINCT program) AS programs, min(l_quantity) AS duration_ms FROM x GROUP BY 1""")
 def consolidated_candidates(t: Tables) -> DataFrame:
     from tessera.operators import editions
 
     s = F.col("l_suppkey")
     none = F.array().cast("array<string>")
-    rows = t["lineitem"].where("l_orderkey < 2000 and l_linenumber = 1").select((F.col("l_partkey") % 7).alias("program"), F.col("l_orderkey").alias("index"), F.when(s % 3 == 0, F.array(F.concat(F.lit("r"), (s % 50).cast("string")))).otherwise(none).alias("recordings"), F.when(s % 3 == 1, F.array(F.concat(F.lit("i"), (s % 40).cast("string")))).otherwise(none).alias("identities"), F.lit("t").alias("title"), F.col("l_quantity").alias("duration_ms"), F.lit(1).alias("disc"), F.lit(1).alias("number"))
+    rows = t["lineitem"].select((F.col("l_partkey") % 7).alias("program"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("index"), F.when(s % 3 == 0, F.array(F.concat(F.lit("r"), (s % 50).cast("string")))).otherwise(none).alias("recordings"), F.when(s % 3 == 1, F.array(F.concat(F.lit("i"), (s % 40).cast("string")))).otherwise(none).alias("identities"), F.lit("t").alias("title"), F.col("l_quantity").alias("duration_ms"), F.lit(1).alias("disc"), F.lit(1).alias("number"))
     return editions.consolidated(rows).select("key", "programs", "duration_ms")
 
 
@@ -984,8 +984,8 @@ def discovery_candidates(t: Tables) -> DataFrame:
     return library.discovery_candidates(pages, pages.where("page_id % 3 = 0"), pages.where("url like '%/fr/%'"), "page_id", 100).select("page_id")
 
 
-@query(P + """, c AS (SELECT l_orderkey AS s, 'occurrence' AS scope, l_partkey % 500 AS e, l_tax < 0.08 AS ok FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'album', l_partkey % 400, true FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'R'),
-o AS (SELECT DISTINCT p_partkey % 500 AS e, p_size AS tr, p_size % 3 AS al FROM part WHERE p_partkey % 500 = p_partkey), a AS (SELECT DISTINCT p_partkey % 400 AS e, p_size % 3 AS al FROM part WHERE p_partkey % 400 = p_partkey),
+@query(P + """, c AS (SELECT l_orderkey AS s, 'occurrence' AS scope, l_partkey AS e, l_tax < 0.08 AS ok FROM lineitem WHERE l_linenumber = 1 UNION ALL SELECT l_orderkey, 'album', l_partkey, true FROM lineitem WHERE l_linenumber = 2 AND l_returnflag = 'R'),
+o AS (SELECT p_partkey AS e, p_size AS tr, p_size % 3 AS al FROM part), a AS (SELECT p_partkey AS e, p_size % 3 AS al FROM part),
 bad AS (SELECT DISTINCT s FROM (SELECT s, scope FROM c GROUP BY s, scope HAVING count(DISTINCT e) > 1 OR NOT min(ok))),
 d AS (SELECT s, min(tr) AS tr, min(al) AS al FROM c JOIN o USING (e) WHERE scope = 'occurrence' AND s NOT IN (SELECT s FROM bad) GROUP BY s HAVING count(DISTINCT tr) = 1),
 w AS (SELECT s, count(DISTINCT al) AS m, min(al) AS al FROM c JOIN a USING (e) WHERE scope = 'album' AND s NOT IN (SELECT s FROM bad) GROUP BY s)
@@ -994,10 +994,10 @@ def local_attachment(t: Tables) -> DataFrame:
     from tessera.operators import library
 
     line, part = t["lineitem"], t["part"]
-    claims = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("source_id"), F.lit("occurrence").alias("scope"), (F.col("l_partkey") % 500).alias("external_id"), (F.col("l_tax") < 0.08).alias("valid"))
-    claims = claims.unionByName(line.where("l_linenumber = 2 and l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_id"), F.lit("album").alias("scope"), (F.col("l_partkey") % 400).alias("external_id"), F.lit(True).alias("valid")))
-    occurrences = part.where("p_partkey % 500 = p_partkey").select(F.col("p_partkey").alias("external_id"), F.col("p_size").alias("track_id"), (F.col("p_size") % 3).alias("album_id"))
-    albums = part.where("p_partkey % 400 = p_partkey").select(F.col("p_partkey").alias("external_id"), (F.col("p_size") % 3).alias("album_id"))
+    claims = line.where("l_linenumber = 1").select(F.col("l_orderkey").alias("source_id"), F.lit("occurrence").alias("scope"), F.col("l_partkey").alias("external_id"), (F.col("l_tax") < 0.08).alias("valid"))
+    claims = claims.unionByName(line.where("l_linenumber = 2 and l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_id"), F.lit("album").alias("scope"), F.col("l_partkey").alias("external_id"), F.lit(True).alias("valid")))
+    occurrences = part.select(F.col("p_partkey").alias("external_id"), F.col("p_size").alias("track_id"), (F.col("p_size") % 3).alias("album_id"))
+    albums = part.select(F.col("p_partkey").alias("external_id"), (F.col("p_size") % 3).alias("album_id"))
     return library.attached(claims, occurrences, albums)
 
 
@@ -1041,13 +1041,13 @@ def import_conflicts(t: Tables) -> DataFrame:
     return library.import_conflicts(lists, sources, "p", "7", " SUPPLIER#000000003 ")
 
 
-@query(P + """, e AS (SELECT title, genre AS credit, album_id AS release_id, track_id FROM tracks WHERE album_id < 60), g AS (SELECT title, credit FROM e GROUP BY 1, 2 HAVING count(DISTINCT release_id) = 1 AND count(*) <= 200)
-SELECT release_id, track_id FROM e JOIN g USING (title, credit) WHERE title LIKE '%bolt'""")
+@query("""WITH e AS (SELECT 'part ' || l_partkey AS title, 's' || l_suppkey AS credit, l_orderkey AS release_id, l_orderkey * 10 + l_linenumber AS track_id, l_returnflag FROM lineitem), g AS (SELECT title, credit FROM e GROUP BY 1, 2 HAVING count(DISTINCT release_id) = 1 AND count(*) <= 200)
+SELECT release_id, track_id FROM e JOIN g USING (title, credit) WHERE (title, credit) IN (SELECT title, credit FROM e WHERE l_returnflag = 'R')""")
 def local_match_candidates(t: Tables) -> DataFrame:
     from tessera.operators import library
 
-    editions = t.tracks.where("album_id < 60").select("title", F.col("genre").alias("credit"), F.col("album_id").alias("release_id"), "track_id")
-    return library.local_match_candidates(editions.where("title like '%bolt'"), editions)
+    editions = t["lineitem"].select(F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("title"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("credit"), F.col("l_orderkey").alias("release_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("track_id"), "l_returnflag")
+    return library.local_match_candidates(editions.where("l_returnflag = 'R'").drop("l_returnflag"), editions.drop("l_returnflag"))
 
 
 @query("""WITH p AS (SELECT l_orderkey AS q, l_suppkey AS a, l_returnflag = 'R' AS ex, CASE WHEN l_quantity > 40 THEN 'matched' WHEN l_quantity > 35 THEN 'ambiguous' ELSE 'none' END AS o, l_linenumber < 7 AS c FROM lineitem)

@@ -1,7 +1,10 @@
 """Registered queries on small tables whose answer needs every row."""
 
+import random
+
 import pytest
 
+from tessera.operators import catalog, graph
 from tessera.plans import queries
 
 
@@ -41,3 +44,32 @@ def test_families_are_components_of_a_group(spark, tmp_path):
         expected += [(o, s, min(c)) for s, c in of.items() if len(c) > 1 and all(abs(x - y) <= 60 for x in c for y in c)]
     got = queries.QUERIES["candidate_family_members"](spark, f"file://{tmp_path}").collect()
     assert len(expected) == 9 and sorted((r.l_orderkey, r.l_suppkey, r.representative) for r in got) == sorted(expected)
+
+
+def brute_merges(rows):
+    """(owner, into) by all pairs."""
+    owners, out = sorted({o for o, *_ in rows}), {}
+    of = {o: {} for o in owners}
+    for o, provider, kind, e in rows:
+        of[o].setdefault((provider, kind), set()).add(e)
+    for x in owners:
+        for y in owners:
+            spaces = of[x].keys() & of[y].keys()
+            if y < x and any(of[x][k] & of[y][k] for k in spaces) and all(of[x][k] & of[y][k] for k in spaces):
+                out[x] = min(y, out.get(x, y))
+    return sorted(out.items())
+
+
+def test_merging_against_all_pairs(spark):
+    rng = random.Random(7)
+    for n, values in ((12, 3), (40, 6), (60, 25), (30, 1)):
+        rows = [(rng.randrange(n), rng.choice("pqr"), "artist", rng.randrange(values)) for _ in range(3 * n)]
+        table = spark.createDataFrame(rows + rows[:3], "owner long, provider string, kind string, external_id long")
+        assert sorted(map(tuple, catalog.mergeable(table, "owner").collect())) == brute_merges(rows)
+    assert catalog.mergeable(table.limit(0), "owner").count() == 0
+
+
+def test_long_chains_are_closed(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long")
+    got = graph.reachable(edges, spark.createDataFrame([(0,), (1001,), (5000,), (0,)], "seed long")).collect()
+    assert sorted((r.seed, r.node) for r in got) == [(0, k) for k in range(301)] + [(1001, 1000), (1001, 1001), (5000, 5000)]
