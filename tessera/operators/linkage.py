@@ -82,28 +82,36 @@ def position_support(local: DataFrame, edition: DataFrame, group: Sequence[str]
     return edition.select(*group).distinct().join(checked, list(group), "left").withColumn("supported", F.coalesce("supported", F.lit(False)))
 
 
-def alignment(local: DataFrame, program: DataFrame, group: str = "group_id") -> DataFrame:
-    """(group_id, local_index, provider_index, kind): both sides have group_id, an index, title_key, duration_ms, disc, number; program has complete.
+def alignment(local: DataFrame, program: DataFrame, group: str = "group_id", facts: bool = False) -> DataFrame:
+    """(group_id, local_index, provider_index, kind[, strong]): both sides have group_id, an index, title_key, duration_ms, disc, number and, if known, identity; program has complete.
 
-    Titles agree and known lengths differ by 10 s at most; a pair counts if it is the only one of both
-    sides. With three pairs that are four fifths of both sides an alignment is strong: in order, local rows
-    without candidates were inserted; out of order, pairs are reordered; the rest is exact by position or by
-    title, unmatched, or missing locally.
+    Titles agree and known lengths differ by 10 s at most, or identities are equal; different identities
+    veto a pair. A pair counts if it is the only one of both sides. With three pairs that are four fifths
+    of both sides an alignment is strong: in order, local rows without candidates were inserted; out of
+    order, pairs are reordered; the rest is exact by position or by title, unmatched, or missing locally.
     """
-    left = local.select(group, F.col("index").alias("local_index"), F.col("title_key").alias("l_title"), F.col("duration_ms").alias("l_ms"), F.col("disc").alias("l_disc"), F.col("number").alias("l_number"))
-    right = program.select(group, F.col("index").alias("provider_index"), F.col("title_key").alias("r_title"), F.col("duration_ms").alias("r_ms"), F.col("disc").alias("r_disc"), F.col("number").alias("r_number"), "complete")
-    pairs = left.join(right, [group]).where((F.col("l_title") == F.col("r_title")) & within(F.col("l_ms"), F.col("r_ms"), PROVIDER_MS))
+    known = lambda df: F.col("identity").cast("string") if "identity" in df.columns else F.lit(None).cast("string")
+    left = local.select(group, F.col("index").alias("local_index"), F.col("title_key").alias("l_title"), F.col("duration_ms").alias("l_ms"), F.col("disc").alias("l_disc"), F.col("number").alias("l_number"), known(local).alias("l_id"))
+    right = program.select(group, F.col("index").alias("provider_index"), F.col("title_key").alias("r_title"), F.col("duration_ms").alias("r_ms"), F.col("disc").alias("r_disc"), F.col("number").alias("r_number"), known(program).alias("r_id"), "complete")
+    by_title = left.join(right.withColumnRenamed("r_title", "l_title"), [group, "l_title"]).where(within(F.col("l_ms"), F.col("r_ms"), PROVIDER_MS) & (F.col("l_id").isNull() | F.col("r_id").isNull() | (F.col("l_id") == F.col("r_id"))))
+    pairs = by_title.select(group, "local_index", "provider_index", "l_disc", "l_number", "r_disc", "r_number")
+    if "identity" in local.columns and "identity" in program.columns:
+        by_identity = left.join(right.withColumnRenamed("r_id", "l_id"), [group, "l_id"])
+        pairs = pairs.unionByName(by_identity.select(*pairs.columns)).distinct()
     pairs = pairs.withColumn("of_l", F.count("*").over(Window.partitionBy(group, "local_index"))).withColumn("of_r", F.count("*").over(Window.partitionBy(group, "provider_index")))
     tried = pairs.select(group, "local_index").distinct().withColumn("tried", F.lit(True))
     unique = pairs.where("of_l = 1 and of_r = 1").select(group, "local_index", "provider_index", ((F.col("l_disc") == F.col("r_disc")) & (F.col("l_number") == F.col("r_number"))).alias("same_place"))
     unique = unique.withColumn("falls", F.coalesce(F.col("provider_index") <= F.lag("provider_index").over(Window.partitionBy(group).orderBy("local_index")), F.lit(False)))
     sizes = left.groupBy(group).agg(F.count("*").alias("n_local")).join(right.groupBy(group).agg(F.count("*").alias("n_program"), F.min("complete").alias("complete")), group)
-    facts = sizes.join(unique.groupBy(group).agg(F.count("*").alias("matched"), F.max("falls").alias("fell")), group, "left").na.fill({"matched": 0}).withColumn("ordered", ~F.coalesce("fell", F.lit(False)))
-    facts = facts.withColumn("strong", F.col("complete") & (F.col("matched") >= 3) & (F.col("matched") * 5 >= F.col("n_local") * 4) & (F.col("matched") * 5 >= F.col("n_program") * 4)).select(group, "strong", "ordered")
-    rows = left.select(group, "local_index").join(facts, group).join(unique, [group, "local_index"], "left").join(tried, [group, "local_index"], "left")
+    of_group = sizes.join(unique.groupBy(group).agg(F.count("*").alias("matched"), F.max("falls").alias("fell")), group, "left").na.fill({"matched": 0}).withColumn("ordered", ~F.coalesce("fell", F.lit(False)))
+    of_group = of_group.withColumn("strong", F.col("complete") & (F.col("matched") >= 3) & (F.col("matched") * 5 >= F.col("n_local") * 4) & (F.col("matched") * 5 >= F.col("n_program") * 4)).select(group, "strong", "ordered")
+    rows = left.select(group, "local_index").join(of_group, group).join(unique, [group, "local_index"], "left").join(tried, [group, "local_index"], "left")
     kind = F.when(F.col("provider_index").isNull(), F.when(F.col("strong") & F.col("ordered") & F.col("tried").isNull(), "inserted_local").otherwise("unmatched")).when(~F.col("ordered"), "reordered").when(F.coalesce("same_place", F.lit(False)), "exact").otherwise("title_normalized")
+    found = rows.select(group, "local_index", "provider_index", kind.alias("kind"), "strong")
+    if facts:
+        return found
     missing = right.select(group, "provider_index").join(unique.select(group, "provider_index"), [group, "provider_index"], "left_anti")
-    return rows.select(group, "local_index", "provider_index", kind.alias("kind")).unionByName(missing.select(group, F.lit(None).cast(left.schema["local_index"].dataType).alias("local_index"), "provider_index", F.lit("missing_local").alias("kind")))
+    return found.drop("strong").unionByName(missing.select(group, F.lit(None).cast(left.schema["local_index"].dataType).alias("local_index"), "provider_index", F.lit("missing_local").alias("kind")))
 
 
 def correspondence(alignment_rows: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+from tessera.operators import linkage
 from tessera.operators.linkage import MATCH_MS
 
 MISSING, BY_TITLE, TOLERANT, BY_POSITION, TRUSTED = range(5)
@@ -69,10 +71,58 @@ def recording_certainty(rows: DataFrame) -> DataFrame:
     return g.select("track", certainty.alias("certainty"), F.when(certainty.isin("supported", "already_known"), F.get("ids", F.lit(0))).alias("recording"))
 
 
-def positioned(rows: DataFrame) -> DataFrame:
-    """Adds anchors (exact titles in position of a programme) and a decision for each positioned pair: an exact anchor; a position that three anchors corroborate; else why not."""
-    anchors = F.sum((F.col("exact_title") & F.col("position")).cast("int")).over(Window.partitionBy("group", "program"))
+def positioned_program(local: DataFrame, program: DataFrame, group: str = "group_id", fragments: bool = False) -> DataFrame:
+    """(group, local_index, provider_index, decision, anchors, duplicates, strong): a decision for each local track about its place in a provider's programme.
+
+    Both sides have group, an index, title_key, version, duration_ms, disc, number, identity (one, or
+    null); program has complete. Titles agree if key and version are equal and contradict each other if
+    versions differ. In a strong alignment, or one whose pairs lie at other positions, a track's
+    counterpart is the aligned one, else the one at its position. Anchors are agreeing titles in
+    position, or aligned pairs if the alignment is strong; three of them corroborate a position, unless
+    fragments is set and one title is a part of the other. Identities that differ are conflicts.
+    """
+    disc = F.coalesce(F.nullif(F.col("disc"), F.lit(0)), F.lit(1)).cast("long")
+    place = F.when(F.col("number").isNotNull(), disc * (1 << 31) + F.col("number"))
+    side = lambda df, index, p: df.select(group, F.col("index").alias(index), F.col("title_key").alias(f"{p}_title"), F.col("version").alias(f"{p}_version"), F.col("identity").alias(f"{p}_id"), place.alias(f"{p}_place"))
+    left, right = side(local, "local_index", "l"), side(program, "provider_index", "r")
+    keyed = lambda df: df.withColumn("title_key", F.concat("title_key", F.lit("\u0000"), "version"))
+    aligned = linkage.alignment(keyed(local), keyed(program), group, facts=True).select(group, "local_index", F.col("provider_index").alias("mapped"), "kind", "strong")
+
+    clash = F.coalesce(F.col("l_id") != F.col("r_id"), F.lit(False))
+    agrees = (F.col("l_title") == F.col("r_title")) & (F.col("l_version") == F.col("r_version"))
+    places = right.where("r_place is not null").groupBy(group, F.col("r_place").alias("l_place")).agg(F.max("provider_index").alias("at"), (F.count("*") - 1).alias("more"))
+    same = left.join(right, (left[group] == right[group]) & agrees).groupBy(left[group], "local_index").agg(F.lit(True).alias("agreed"), F.max(clash).alias("agreed_clash"), F.max(F.col("r_place").isNull() | (F.col("r_place") != F.col("l_place"))).alias("elsewhere"))
+    rows = left.join(places.drop("more"), [group, "l_place"], "left").join(same, [group, "local_index"], "left").join(aligned, [group, "local_index"], "left")
+    of = lambda index, p: right.select(group, F.col("provider_index").alias(index), F.col("r_title").alias(f"{p}_title"), F.col("r_version").alias(f"{p}_version"), F.col("r_id").alias(f"{p}_id"), F.col("r_place").alias(f"{p}_place"))
+    rows = rows.join(of("at", "a"), [group, "at"], "left").join(of("mapped", "m"), [group, "mapped"], "left")
+    at_agrees = F.coalesce((F.col("l_title") == F.col("a_title")) & (F.col("l_version") == F.col("a_version")), F.lit(False))
+    at_clash, mapped_clash = (F.coalesce(F.col("l_id") != F.col(c), F.lit(False)) for c in ("a_id", "m_id"))
+    facts = rows.groupBy(group).agg(
+        F.countDistinct(F.when(at_agrees & ~at_clash, F.col("l_place"))).alias("in_place"), F.count(F.when(F.col("mapped").isNotNull() & ~mapped_clash, 1)).alias("in_line"),
+        F.max(F.col("at").isNotNull() & ~at_agrees & F.coalesce("elsewhere", F.lit(False))).alias("shifted"), F.max(F.coalesce("kind", F.lit("")) == "reordered").alias("reordered"),
+        F.max(F.col("mapped").isNotNull() & ~F.col("l_place").eqNullSafe(F.col("m_place"))).alias("differs"))
+    rows = rows.join(facts, group).join(places.groupBy(group).agg(F.sum("more").alias("duplicates")), group, "left").na.fill({"duplicates": 0, "strong": False})
+    anchors = F.when(F.col("strong"), F.col("in_line")).otherwise(F.col("in_place"))
+    by_line = F.col("strong") | F.col("differs")
+    chosen = {c: F.when(by_line, F.col(f"m_{c}")).otherwise(F.col(f"a_{c}")).alias(f"c_{c}") for c in ("title", "version", "id", "place")}
+    rows = rows.select("*", anchors.alias("anchors"), F.when(by_line, F.col("mapped")).otherwise(F.col("at")).alias("provider_index"), *chosen.values())
+    strong, other_place = F.col("strong"), ~F.col("l_place").eqNullSafe(F.col("c_place"))
+    agree, contradict = (F.col("l_title") == F.col("c_title")) & (F.col("l_version") == F.col("c_version")), F.col("l_version") != F.col("c_version")
+    part = (text.exact_alternate_component(F.col("l_title"), F.col("c_title"), False) | text.arbitrary_title_fragment(F.col("l_title"), F.col("c_title"), False)) if fragments else F.lit(False)
+    alone = F.when(F.coalesce("agreed_clash", F.lit(False)), "trusted_identity_conflict").when(strong & F.col("agreed").isNotNull(), "ambiguous_correspondence").when(strong, "local_only").otherwise("position_mismatch")
+    moved = F.when(F.col("reordered"), "reordered_track").otherwise("aligned_after_insertion")
     decision: Column = (
-        F.when(F.col("identity_conflict"), "trusted_identity_conflict").when(F.col("exact_title") & F.col("position"), "exact_anchor").when(~F.col("position"), "position_mismatch")
-        .when(F.col("version_differs"), "version_conflict").when(F.col("anchors") >= 3, "corroborated_position").otherwise("insufficient_anchors"))
-    return rows.withColumn("anchors", anchors).withColumn("decision", decision)
+        F.when(F.col("provider_index").isNull(), alone).when(F.col("duplicates") > 0, "position_mismatch").when(F.coalesce(F.col("l_id") != F.col("c_id"), F.lit(False)), "trusted_identity_conflict")
+        .when(~strong & (F.col("l_place").isNull() | F.col("c_place").isNull() | other_place), "position_mismatch").when(F.col("shifted") & ~strong, "shifted_program").when(contradict, "version_conflict")
+        .when(agree & strong & other_place, moved).when(agree, "exact_anchor").when((F.col("anchors") >= 3) & ~F.coalesce(part, F.lit(False)), "corroborated_position").otherwise("insufficient_anchors"))
+    return rows.select(group, "local_index", "provider_index", decision.alias("decision"), "anchors", "duplicates", "strong")
+
+
+#: Decisions under which a track doesn't speak against a programme.
+FITTING = ["exact_anchor", "corroborated_position", "local_only", "aligned_after_insertion", "reordered_track"]
+
+
+def compatible_programs(decisions: DataFrame, complete: DataFrame, group: str = "group_id") -> DataFrame:
+    """(group, compatible): complete programmes without duplicate positions all of whose decisions fit."""
+    g = decisions.groupBy(group).agg((F.min(F.col("decision").isin(FITTING)) & (F.max("duplicates") == 0)).alias("fits"))
+    return g.join(complete.groupBy(group).agg(F.min("complete").alias("complete")), group).select(group, (F.col("fits") & F.col("complete")).alias("compatible"))

@@ -573,6 +573,50 @@ def program_alignment(t: Tables) -> DataFrame:
     return linkage.alignment(base, program)
 
 
+#: The provider's version of an album, by its id: unchanged, reversed, without the first track, with another version, another identity, other titles, shifted, with a repeated position.
+_LO = "lo AS (SELECT album_id AS g, number AS i, title AS t, '' AS v, (qty * 1000)::BIGINT AS ms, disc * 1000 + number AS p, CASE WHEN number = 1 THEN 'x' || album_id END AS id FROM tracks)"
+_PR = """pr AS (SELECT album_id AS g, CASE album_id % 8 WHEN 1 THEN 8 - number ELSE number END AS i, CASE WHEN album_id % 8 = 5 AND number > 3 THEN 'other' ELSE title END AS t, CASE WHEN album_id % 8 = 3 AND number = 2 THEN 'live' ELSE '' END AS v,
+  (qty * 1000 + CASE WHEN album_id % 8 = 6 THEN 60000 ELSE 500 END)::BIGINT AS ms, CASE album_id % 8 WHEN 1 THEN disc * 1000 + 8 - number WHEN 2 THEN disc * 1000 + number - 1 WHEN 6 THEN disc * 1000 + number + 1 WHEN 7 THEN disc * 1000 + greatest(number, 2) ELSE disc * 1000 + number END AS p,
+  CASE WHEN number = 1 THEN CASE WHEN album_id % 8 = 4 THEN 'y' ELSE 'x' || album_id END END AS id FROM tracks WHERE NOT (album_id % 8 = 2 AND number = 1))"""
+_POSITIONED = P + f""", {_LO}, {_PR},
+pa AS (SELECT *, count(*) OVER (PARTITION BY g, i) AS a, count(*) OVER (PARTITION BY g, j) AS b FROM (SELECT lo.g, lo.i, pr.i AS j FROM lo JOIN pr ON lo.g = pr.g AND (lo.id = pr.id OR (lo.t = pr.t AND lo.v = pr.v AND abs(lo.ms - pr.ms) <= 10000)) AND coalesce(lo.id = pr.id, true))),
+u AS (SELECT g, i, j, coalesce(j <= lag(j) OVER (PARTITION BY g ORDER BY i), false) AS falls FROM pa WHERE a = 1 AND b = 1),
+f AS (SELECT x.g, coalesce(m, 0) >= 3 AND m * 5 >= nl * 4 AND m * 5 >= np * 4 AS strong, coalesce(fell, false) AS reordered FROM (SELECT g, count(*) AS nl FROM lo GROUP BY g) x JOIN (SELECT g, count(*) AS np FROM pr GROUP BY g) y USING (g) LEFT JOIN (SELECT g, count(*) AS m, max(falls) AS fell FROM u GROUP BY g) USING (g)),
+pl AS (SELECT g, p, max(i) AS j, count(*) - 1 AS more FROM pr GROUP BY 1, 2),
+sm AS (SELECT lo.g, lo.i, max(coalesce(lo.id <> pr.id, false)) AS clash, max(pr.p <> lo.p) AS elsewhere FROM lo JOIN pr ON lo.g = pr.g AND lo.t = pr.t AND lo.v = pr.v GROUP BY 1, 2),
+r AS (SELECT lo.*, pl.j AS hit, u.j AS mapped, sm.clash, sm.elsewhere, sm.i IS NOT NULL AS agreed, coalesce(f.strong, false) AS strong, coalesce(f.reordered, false) AS reordered FROM lo LEFT JOIN pl ON pl.g = lo.g AND pl.p = lo.p LEFT JOIN u ON u.g = lo.g AND u.i = lo.i LEFT JOIN sm ON sm.g = lo.g AND sm.i = lo.i LEFT JOIN f ON f.g = lo.g),
+k AS (SELECT r.*, a.t = r.t AND a.v = r.v AS at_agrees, coalesce(a.id <> r.id, false) AS at_clash, coalesce(m.id <> r.id, false) AS m_clash, m.p <> r.p AS moved FROM r LEFT JOIN pr a ON a.g = r.g AND a.i = r.hit LEFT JOIN pr m ON m.g = r.g AND m.i = r.mapped),
+w AS (SELECT g, count(DISTINCT CASE WHEN at_agrees AND NOT at_clash THEN p END) AS in_place, count(CASE WHEN mapped IS NOT NULL AND NOT m_clash THEN 1 END) AS in_line, max(hit IS NOT NULL AND NOT at_agrees AND coalesce(elsewhere, false)) AS shifted, max(coalesce(moved, false)) AS differs FROM k GROUP BY g),
+d AS (SELECT k.*, w.shifted, CASE WHEN strong THEN in_line ELSE in_place END AS anchors, CASE WHEN strong OR differs THEN mapped ELSE hit END AS c, coalesce((SELECT sum(more) FROM pl WHERE pl.g = k.g), 0)::BIGINT AS duplicates FROM k JOIN w USING (g)),
+e AS (SELECT d.g AS group_id, d.i AS local_index, d.c AS provider_index, CASE WHEN d.c IS NULL THEN CASE WHEN clash THEN 'trusted_identity_conflict' WHEN strong AND agreed THEN 'ambiguous_correspondence' WHEN strong THEN 'local_only' ELSE 'position_mismatch' END
+  WHEN duplicates > 0 THEN 'position_mismatch' WHEN d.id <> o.id THEN 'trusted_identity_conflict' WHEN NOT strong AND d.p <> o.p THEN 'position_mismatch' WHEN shifted AND NOT strong THEN 'shifted_program' WHEN d.v <> o.v THEN 'version_conflict'
+  WHEN d.t = o.t AND strong AND d.p <> o.p THEN CASE WHEN reordered THEN 'reordered_track' ELSE 'aligned_after_insertion' END WHEN d.t = o.t THEN 'exact_anchor' WHEN anchors >= 3 THEN 'corroborated_position' ELSE 'insufficient_anchors' END AS decision, anchors, duplicates, strong FROM d LEFT JOIN pr o ON o.g = d.g AND o.i = d.c)
+"""
+
+
+def _positioned(t: Tables) -> tuple[DataFrame, DataFrame]:
+    from tessera.operators import programs
+
+    kind, n = F.col("group_id") % 8, F.col("number")
+    local = t.tracks.select(F.col("album_id").alias("group_id"), n.alias("index"), F.col("title").alias("title_key"), F.lit("").alias("version"), (F.col("qty") * 1000).cast("long").alias("duration_ms"), "disc", "number", F.when(n == 1, F.concat(F.lit("x"), F.col("album_id").cast("string"))).alias("identity"))
+    program = local.where(~((kind == 2) & (n == 1))).select("group_id", F.when(kind == 1, 8 - n).otherwise(n).alias("index"), F.when((kind == 5) & (n > 3), "other").otherwise(F.col("title_key")).alias("title_key"), F.when((kind == 3) & (n == 2), "live").otherwise("").alias("version"),
+        (F.col("duration_ms") + F.when(kind == 6, 60000).otherwise(500)).alias("duration_ms"), "disc", F.when(kind == 1, 8 - n).when(kind == 2, n - 1).when(kind == 6, n + 1).when(kind == 7, F.greatest(n, F.lit(2))).otherwise(n).alias("number"), F.when((kind == 4) & (n == 1), "y").otherwise(F.col("identity")).alias("identity"), F.lit(True).alias("complete"))
+    return programs.positioned_program(local, program), program
+
+
+@query(_POSITIONED + "SELECT * FROM e")
+def positioned_program(t: Tables) -> DataFrame:
+    return _positioned(t)[0]
+
+
+@query(_POSITIONED + "SELECT group_id, min(decision IN ('exact_anchor', 'corroborated_position', 'local_only', 'aligned_after_insertion', 'reordered_track')) AND max(duplicates) = 0 AS compatible FROM e WHERE group_id IN (SELECT g FROM pr) GROUP BY 1")
+def compatible_programs(t: Tables) -> DataFrame:
+    from tessera.operators import programs
+
+    decisions, program = _positioned(t)
+    return programs.compatible_programs(decisions, program)
+
+
 @query("""WITH p AS (SELECT DISTINCT l_orderkey AS subject, l_linenumber AS program, l_suppkey % 5 AS identity FROM lineitem), t AS (SELECT subject, count(DISTINCT program) AS n FROM p GROUP BY 1), s AS (SELECT subject, identity FROM p JOIN t USING (subject) GROUP BY subject, identity, n HAVING count(DISTINCT program) = n)
 SELECT subject, min(identity) AS identity FROM s GROUP BY subject HAVING count(*) = 1""")
 def established_occurrences(t: Tables) -> DataFrame:
