@@ -46,4 +46,4 @@ def year_key(year: Column) -> Column:
 
 
 def album_key(year: Column, title: Column) -> Column:
-    return F.concat_ws(F.chr(F.lit(31)), year_key(year), F.lower(title))
+    return F.concat_ws("\x1f", year_key(year), F.lower(title))

@@ -50,9 +50,9 @@ def work(rows: DataFrame, keys: Sequence[str], after: tuple | None, limit: int)
     return keyset.page(rows, keys, after, limit)
 
 
-def evicted(cache: DataFrame, observed: str, now: Column, ttl: int, most: int = 32) -> DataFrame:
-    """The oldest expired entries, of which at most `most` go at a time."""
-    return cache.where(F.unix_timestamp(now) - F.unix_timestamp(observed) >= ttl).orderBy(observed).limit(most)
+def evicted(cache: DataFrame, observed: str, now: Column, ttl: int, most: int = 32, tie: Sequence[str] = ()) -> DataFrame:
+    """The oldest expired entries, of which at most `most` go at a time; equally old ones in order of tie."""
+    return cache.where(F.unix_timestamp(now) - F.unix_timestamp(observed) >= ttl).orderBy(observed, *tie).limit(most)
 
 
 def cooldowns(events: DataFrame, provider: str, until: str) -> DataFrame:

@@ -1102,3 +1102,137 @@ def artist_corroboration(t: Tables) -> DataFrame:
     outcome = F.when(F.col("l_quantity") > 40, "matched").when(F.col("l_quantity") > 35, "ambiguous").otherwise("none")
     rows = t["lineitem"].select(F.col("l_orderkey").alias("query_id"), F.col("l_suppkey").alias("artist_id"), (F.col("l_returnflag") == "R").alias("exact_name"), outcome.alias("album_outcome"), (F.col("l_linenumber") < 7).alias("complete"))
     return library.corroborated(rows)
+
+
+# Cursors, caches, identities and ranks on their own.
+
+
+@query("SELECT o_orderdate, o_orderkey FROM orders WHERE o_orderkey = 7")
+def cursor_of_order(t: Tables) -> DataFrame:
+    return keyset.cursor_of(t["orders"], "o_orderkey", 7, ["o_orderdate", "o_orderkey"])
+
+
+@query(P + "SELECT title, track_id FROM tracks WHERE (title, track_id) >= ('large brass', 500) ORDER BY 1, 2 LIMIT 50")
+def page_from_inclusive(t: Tables) -> DataFrame:
+    return keyset.page(t.tracks.select("title", "track_id"), ["title", "track_id"], ("large brass", 500), inclusive=True)
+
+
+@query("SELECT o_orderkey, printf('%012d', (999999 - year(o_orderdate))::BIGINT) || chr(31) || lower(o_comment_key) AS key FROM (SELECT *, o_orderpriority || ' X' AS o_comment_key FROM orders)")
+def album_keys(t: Tables) -> DataFrame:
+    return t["orders"].select("o_orderkey", effective.album_key(F.year("o_orderdate"), F.concat("o_orderpriority", F.lit(" X"))).alias("key"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, coalesce(CASE WHEN l_returnflag = 'R' THEN 'own' END, CASE WHEN l_tax > 0.04 THEN 'source' END, 'none') AS first FROM lineitem")
+def first_known_value(t: Tables) -> DataFrame:
+    return t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", effective.first_known(F.when(F.col("l_returnflag") == "R", "own"), F.when(F.col("l_tax") > 0.04, "source"), default="none").alias("first"))
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events) SELECT event_id, epoch(now)::BIGINT - epoch(ts)::BIGINT < 86400 AS fresh FROM events, n""")
+def fresh_observations(t: Tables) -> DataFrame:
+    now = t["events"].agg(F.max("ts").alias("now"))
+    return t["events"].join(F.broadcast(now)).select("event_id", dates.fresh(F.col("ts"), F.col("now"), 86400).alias("fresh"))
+
+
+@query("SELECT event_id, ((event_id % 5000) - (user_id % 300) + 59) // 60 AS minutes FROM events WHERE event_id % 5000 >= user_id % 300")
+def cooldown_minutes(t: Tables) -> DataFrame:
+    rows = t["events"].where(F.col("event_id") % 5000 >= F.col("user_id") % 300)
+    return rows.select("event_id", dates.minutes_left(F.col("event_id") % 5000, F.col("user_id") % 300).alias("minutes"))
+
+
+@query("""SELECT event_id, ts FROM events, (SELECT max(ts) AS now FROM events) WHERE epoch(now)::BIGINT - epoch(ts)::BIGINT >= 86400 ORDER BY ts, event_id LIMIT 32""")
+def evicted_entries(t: Tables) -> DataFrame:
+    now = t["events"].agg(F.max("ts").alias("now"))
+    return incremental.evicted(t["events"].select("event_id", "ts").join(F.broadcast(now)), "ts", F.col("now"), 86400, tie=["event_id"]).drop("now")
+
+
+@query("SELECT a.user_id, a.n FROM (SELECT user_id, count(*) AS n FROM events WHERE value > 1 GROUP BY 1) a JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY 1) b ON a.user_id = b.user_id AND a.n = b.n")
+def current_replies(t: Tables) -> DataFrame:
+    counted = lambda df: df.groupBy("user_id").agg(F.count("*").alias("n")).withColumn("fingerprint", incremental.fingerprint("n"))
+    return incremental.still_current(counted(t["events"].where("value > 1")), counted(t["events"]), ["user_id"]).drop("fingerprint")
+
+
+_IDS = "ids AS (SELECT DISTINCT s_suppkey AS owner, 'p' AS provider, 'artist' AS kind, s_nationkey AS external_id FROM supplier), new AS (SELECT DISTINCT c_custkey % 100 AS owner, 'p' AS provider, 'artist' AS kind, c_nationkey AS external_id FROM customer)"
+
+
+def _identities(t: Tables) -> tuple[DataFrame, DataFrame]:
+    row = lambda owner, e: (owner.cast("long").alias("owner"), F.lit("p").alias("provider"), F.lit("artist").alias("kind"), F.col(e).alias("external_id"))
+    return t["supplier"].select(*row(F.col("s_suppkey"), "s_nationkey")).distinct(), t["customer"].select(*row(F.col("c_custkey") % 100, "c_nationkey")).distinct()
+
+
+@query(f"WITH {_IDS} SELECT * FROM ids UNION SELECT * FROM new")
+def attached_identities(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    return catalog.attached(*_identities(t), "owner")
+
+
+@query(f"WITH {_IDS} SELECT ids.provider, ids.kind, ids.external_id, ids.owner FROM ids WHERE external_id IN (SELECT external_id FROM new WHERE owner = 3)")
+def identity_owners(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    ids, new = _identities(t)
+    return catalog.owners(ids, new.where("owner = 3"), "owner")
+
+
+@query(f"WITH {_IDS} SELECT provider, kind, external_id, min(owner) AS owner FROM ids GROUP BY 1, 2, 3 HAVING count(DISTINCT owner) = 1")
+def single_references(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    return catalog.single_reference(_identities(t)[0], ["provider", "kind", "external_id"], "owner")
+
+
+@query(P + "SELECT track_id AS source_id FROM ignored UNION SELECT track_id FROM tracks WHERE track_id IN (SELECT track_id FROM credits WHERE artist_id = 3)")
+def suppressed_sources(t: Tables) -> DataFrame:
+    from tessera.operators import catalog
+
+    sources = t.tracks.select("track_id", F.col("track_id").alias("source_id"))
+    return catalog.suppressed(t.ignored.withColumnRenamed("track_id", "source_id"), t.credits.where("artist_id = 3"), sources, "track_id", "source_id")
+
+
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_partkey, min(l_suppkey) OVER (PARTITION BY l_partkey) AS a, l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), e AS (SELECT DISTINCT a, b FROM m WHERE a <> b), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(s, n) AS (SELECT a, a FROM g UNION SELECT s, g.b FROM r JOIN g ON g.a = n), c AS (SELECT s AS id, min(n) AS canonical FROM r GROUP BY s)
+SELECT DISTINCT l_orderkey, coalesce(canonical, l_suppkey) AS l_suppkey FROM lineitem LEFT JOIN c ON id = l_suppkey""")
+def repointed_credits(t: Tables) -> DataFrame:
+    edges = graph.shared_value_edges(t["lineitem"].where("l_quantity = 50 and l_returnflag = 'R'"), "l_suppkey", ["l_partkey"])
+    return graph.repointed(t["lineitem"].select("l_orderkey", "l_suppkey"), "l_suppkey", graph.canonical(edges))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(CASE WHEN turn % 3 IN (0, 1) THEN [(1 - turn % 3)::VARCHAR] ELSE ['0', '1', '2'] END), ',') AS selected FROM conversations")
+def toggled_selection(t: Tables) -> DataFrame:
+    start = F.array(F.lit(0), F.lit(1)).cast("array<bigint>")
+    chosen = sets.toggled(start, F.col("turn").cast("long") % 3)
+    return t["conversations"].select("conv_id", "turn", F.array_join(F.array_sort(F.transform(chosen, lambda x: x.cast("string"))), ",").alias("selected"))
+
+
+@query("""SELECT l_orderkey AS "group", l_linenumber, l_partkey AS candidate_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_suppkey % 2 = 0) DESC, (l_tax > 0.04) DESC, coalesce(abs(CASE WHEN l_linenumber % 4 > 0 THEN 1990 + l_linenumber END - (1990 + l_suppkey % 5)) <= 1, false) DESC, (l_returnflag <> 'R') DESC, (l_linestatus = 'O') DESC, l_partkey * 10 + l_linenumber) AS place FROM lineitem""")
+def discovery_ranking(t: Tables) -> DataFrame:
+    from tessera.operators import editions
+
+    rows = t["lineitem"].select(F.col("l_orderkey").alias("group"), "l_linenumber", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("candidate_id"), (F.col("l_suppkey") % 2 == 0).alias("scoped"), (F.col("l_tax") > 0.04).alias("related"), F.when(F.col("l_linenumber") % 4 > 0, 1990 + F.col("l_linenumber")).alias("year"), (1990 + F.col("l_suppkey") % 5).alias("c_year"), F.when(F.col("l_returnflag") == "R", F.array(F.lit(editions.SPECIAL_TYPES[0]))).otherwise(F.array().cast("array<string>")).alias("secondary_types"), (F.col("l_linestatus") != "O").alias("type_conflict"))
+    return editions.discovery_rank(rows, "group").select("group", "l_linenumber", F.expr("candidate_id div 10").alias("candidate_id"), "place")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 3 ELSE greatest(3, l_quantity - 1) END::BIGINT AS needed FROM lineitem")
+def anchors_by_class(t: Tables) -> DataFrame:
+    from tessera.operators import linkage
+
+    kind = F.when(F.col("l_returnflag") == "A", "exact").when(F.col("l_returnflag") == "N", "edition").otherwise("other")
+    return t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", linkage.anchors_needed(kind, F.col("l_quantity").cast("long")).cast("long").alias("needed"))
+
+
+@query(ORACLES["program_alignment"].replace("SELECT * FROM r UNION ALL SELECT pr.g, NULL, pr.i, 'missing_local' FROM pr", "SELECT *, false AS provider_only FROM r WHERE provider_index IS NOT NULL UNION ALL SELECT pr.g, NULL, pr.i, 'missing_local', true FROM pr"))
+def program_correspondence(t: Tables) -> DataFrame:
+    return linkage.correspondence(program_alignment(t))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS g, l_suppkey % 2 AS program, l_linenumber AS n, l_partkey, CASE WHEN l_tax > 0.06 THEN 2 ELSE 1 END AS choices, l_returnflag = 'R' AS ex, l_linestatus = 'F' AS pos, l_discount > 0.08 AS idc, l_quantity > 40 AS dur, l_discount < 0.02 AS tr FROM lineitem)
+SELECT g, program, sum((choices <> 1)::INT)::BIGINT AS unmatched, sum((choices = 1 AND idc)::INT)::BIGINT AS identity_conflicts, sum((choices = 1 AND dur AND NOT tr)::INT)::BIGINT AS duration_mismatches, count(DISTINCT CASE WHEN choices = 1 AND ex AND pos THEN n END) AS exact_positions, sum((choices = 1 AND NOT ex AND pos)::INT)::BIGINT AS tolerant_positions FROM m GROUP BY 1, 2""")
+def program_fit(t: Tables) -> DataFrame:
+    rows = t["lineitem"].select(F.col("l_orderkey").alias("g"), (F.col("l_suppkey") % 2).alias("program"), F.col("l_linenumber").alias("place"), F.when(F.col("l_tax") > 0.06, 2).otherwise(1).alias("choices"), (F.col("l_returnflag") == "R").alias("exact_title"), (F.col("l_linestatus") == "F").alias("position"), (F.col("l_discount") > 0.08).alias("identity_conflict"), (F.col("l_quantity") > 40).alias("duration_mismatch"), (F.col("l_discount") < 0.02).alias("trusted"))
+    return linkage.fit(rows, "g", "program")
+
+
+@query("SELECT l_orderkey, string_agg(n, '' ORDER BY l_linenumber, l_partkey, l_suppkey) AS text FROM (SELECT *, 'S' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN ' & ' ELSE '/' END AS n FROM lineitem) GROUP BY 1")
+def credit_texts(t: Tables) -> DataFrame:
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"), F.when(F.col("l_linenumber") % 2 == 0, " & ").alias("join_phrase"))
+    return t["lineitem"].groupBy("l_orderkey").agg(cr.credit_text(F.sort_array(F.collect_list(one)), "/").alias("text"))
