@@ -16,8 +16,9 @@ def ordinals(entries: DataFrame, list_col: str, position: str) -> DataFrame:
     return entries.withColumn("ordinal", F.row_number().over(Window.partitionBy(list_col).orderBy(position)))
 
 
-def overall(entries: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
+def overall(entries: DataFrame, order: Sequence[str], ranges: int | None = None, rows_a_range: int = 1_000_000) -> DataFrame:
     """Adds overall, from 1 over all lists in the given order. Rows are range-partitioned and counted, and each range numbers its own rows after those before it, so no task holds all rows. The ranges are checkpointed: Spark samples their bounds, and counts and rows must see the same ones."""
+    ranges = ranges or max(1, -(-entries.count() // rows_a_range))
     ranged = cut(entries.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
@@ -57,9 +58,11 @@ def removed(entries: DataFrame, list_col: str, position: str, gone: DataFrame) -
 
 
 def revision(entries: DataFrame, list_col: str, position: str, item: str) -> DataFrame:
-    """(list, revision): changes whenever a list's items or their order do."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(position), F.col(item).cast("string").alias("item"))))
-    return entries.groupBy(list_col).agg(F.md5(F.array_join(F.transform(rows, lambda x: x["item"]), ",")).alias("revision"))
+    """(list, revision): changes whenever a list's items or their order do. A sum of the hashes of items with their ordinals, so no list is gathered in a row; gaps and shifts of positions that keep the order don't count."""
+    numbered = ordinals(entries.select(list_col, position, item), list_col, position)
+    digest = F.md5(F.concat_ws(":", F.col("ordinal").cast("string"), F.coalesce(F.concat(F.lit("="), F.col(item).cast("string")), F.lit("null"))))
+    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(38,0)")
+    return numbered.groupBy(list_col).agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(half(1)).cast("string"), F.sum(half(16)).cast("string")).alias("revision"))
 
 
 def next_eligible(entries: DataFrame, list_col: str, position: str, eligible: str) -> DataFrame:

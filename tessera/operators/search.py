@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import matches_all_prefixes, query_tokens, score_tier, search_tokens
 from tessera.operators import keyset
+from tessera.operators.graph import cut
 
 SECTION, SEEDS, CONTEXT_SCORE = 40, 16, 4
 
@@ -32,8 +33,7 @@ def sections(artists: DataFrame, albums: DataFrame, tracks: DataFrame, credits:
     them saved; credits (track_id, artist_id). Tracks of the first 16 artists and albums that match, and
     albums of those artists' tracks, are hits of score 4.
     """
-    artist_hits = best(prefix_hits(artists, "artist_id", "name", text))
-    album_hits = best(prefix_hits(albums, "album_id", "title", text))
+    artist_hits, album_hits = (cut(best(prefix_hits(rows, *names, text))) for rows, names in ((artists, ("artist_id", "name")), (albums, ("album_id", "title"))))  # a section each, used three times
     artist_seeds, album_seeds = (h.orderBy("score", F.lower("title"), "id").limit(SEEDS).select("id") for h in (artist_hits, album_hits))
     of_artists = credits.join(F.broadcast(artist_seeds.withColumnRenamed("id", "artist_id")), "artist_id", "left_semi").select("track_id").distinct()
     context = F.lit(CONTEXT_SCORE).alias("score")

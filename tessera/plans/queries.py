@@ -236,7 +236,7 @@ def list_ordinals(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id, turn, row_number() OVER (ORDER BY role, conv_id, turn) AS overall FROM conversations")
 def list_overall(t: Tables) -> DataFrame:
-    return playlists.overall(t["conversations"].select("role", "conv_id", "turn"), ["role", "conv_id", "turn"], 8).select("conv_id", "turn", "overall")
+    return playlists.overall(t["conversations"].select("role", "conv_id", "turn"), ["role", "conv_id", "turn"]).select("conv_id", "turn", "overall")
 
 
 @query("SELECT conv_id, turn, ordinal FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS ordinal FROM conversations) WHERE ordinal BETWEEN 2 AND 4")
@@ -277,7 +277,8 @@ def list_remove(t: Tables) -> DataFrame:
     return playlists.removed(t["conversations"], "conv_id", "turn", t["conversations"].where("role = 'system'")).select("conv_id", "turn")
 
 
-@query("SELECT conv_id, md5(string_agg(role, ',' ORDER BY turn)) AS revision FROM conversations GROUP BY conv_id")
+@query("""WITH d AS (SELECT conv_id, md5(row_number() OVER (PARTITION BY conv_id ORDER BY turn) || ':' || coalesce('=' || role, 'null')) AS h FROM conversations)
+SELECT conv_id, count(*) || '-' || sum(('0x' || h[1:15])::BIGINT::HUGEINT) || '-' || sum(('0x' || h[16:30])::BIGINT::HUGEINT) AS revision FROM d GROUP BY conv_id""")
 def list_revision(t: Tables) -> DataFrame:
     return playlists.revision(t["conversations"], "conv_id", "turn", "role")
 
