@@ -12,11 +12,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or where it is unset a fresh local one, on a local master only."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if set_dir is None and current is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if current is None:
         context.setCheckpointDir(set_dir)
