@@ -10,7 +10,7 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 #: What the registered query's list of canonical URLs is made of, host by host, language by language, page by page.
 LISTED_HOSTS = [f"{sub}{name}.example.com" for name in ("ads-track", "casino-win", "free-bets", "spam-farm") for sub in ("", "blog.", "m.", "www.")]
 LISTED_LANGUAGES, LISTED_PAGES = ["en", "es"], 12_000
-FILTER_BITS_A_KEY, FILTER_BYTES, BROADCAST_KEYS = 16, 8 << 10, 50_000
+FILTER_BITS_A_KEY, FILTER_BYTES, BROADCAST_BLOCKS, BROADCAST_KEYS = 16, 8 << 10, 250_000, 50_000
 
 
 def listed_urls(spark: SparkSession, pages: int = LISTED_PAGES) -> DataFrame:
@@ -56,9 +56,11 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col:
     keys of one blocked Bloom filter of 64-bit blocks with four bits a key. A page's possible keys are
     made from the pairs of label count and path length that occur among the rules, which are few and
     small; hosts of many labels and long paths cost no more than these. Keys that pass the filter go to a
-    hash join on the key, which removes false positives; the list is broadcast while it has at most
-    50,000 keys. The filter is sent with the plan while it has at most 8 kB (4,096 keys) and joined by
-    its block number beyond. Distinct addresses are judged once, so a hot host or URL is aggregated
+    hash join on the key, which removes false positives: with the rules, whose keys may be those of a
+    third of all rows, and with the list, which has one key an address, each broadcast while it has at
+    most 50,000 keys. The filter is sent with the plan while it has at most 8 kB (4,096 keys), broadcast
+    while it has at most 250,000 blocks (a million keys; tens of MB as a hash table) and joined by its block number beyond, so
+    that up to there no probe is shuffled. Distinct addresses are judged once, so a hot host or URL is aggregated
     before it is joined. Null and empty URLs and those without :// have an empty host and path; null
     rules and URLs of the lists fit nothing, repeated ones count once; rows with equal or null ids are
     judged each; empty tables give no rows; other columns aren't read.
@@ -67,31 +69,35 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_col:
     dots = lambda host: F.char_length(host) - F.char_length(F.replace(host, F.lit("."), F.lit("")))
     given = rules.where("host is not null and path is not null").withColumns({"dots": dots(F.col("host")), "path_size": F.char_length("path")})
     keys = given.select(F.concat(F.lit("r"), "host", F.lit(sep), "path").alias("key"), F.concat("host", "path").alias("rule"), "verdict", F.char_length(F.concat("host", "path")).alias("size"))
-    urls = listed.where("url is not null").select(F.concat(F.lit("u"), "url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"), F.lit(-1).alias("size"))
-    table = keys.unionByName(urls).groupBy("key").agg(F.max("rule").alias("rule"), F.max("verdict").alias("verdict"), F.max("size").alias("size"))
-    n_keys = table.count()
+    rule_table = keys.groupBy("key").agg(F.max("rule").alias("rule"), F.max("verdict").alias("verdict"), F.max("size").alias("size"))
+    url_table = listed.where("url is not null").select(F.concat(F.lit("u"), "url").alias("key")).distinct()
+    n_rules, n_urls = rule_table.count(), url_table.count()
     shapes = [F.struct(F.lit(r["dots"]).alias("dots"), F.lit(r["path_size"]).alias("size")) for r in given.select("dots", "path_size").distinct().collect()]
-    n_blocks = max(16, -(-n_keys * FILTER_BITS_A_KEY // 64))
-    filter_blocks = table.select(_block(F.col("key"), n_blocks).alias("block"), _mask(F.col("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
+    n_blocks = max(16, -(-(n_rules + n_urls) * FILTER_BITS_A_KEY // 64))
+    every = rule_table.select("key").union(url_table)
+    filter_blocks = every.select(_block(F.col("key"), n_blocks).alias("block"), _mask(F.col("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
+    if n_blocks * 8 <= FILTER_BYTES:
+        masks = {r["block"]: r["mask"] for r in filter_blocks.collect()}  # FILTER_BYTES at most
+        blocks = F.array(*[F.lit(masks.get(k, 0)).cast("long") for k in range(n_blocks)])
+    else:
+        blocks = None
+        filter_blocks = F.broadcast(filter_blocks) if n_blocks <= BROADCAST_BLOCKS else filter_blocks
+
+    def passing(probes: DataFrame) -> DataFrame:
+        placed = probes.withColumn("block", _block(F.col("key"), n_blocks))
+        masked = placed.join(filter_blocks, "block") if blocks is None else placed.withColumn("mask", F.element_at(blocks, F.col("block") + 1))
+        return masked.where(F.col("mask").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("host", "path", "key")
 
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
     addresses = parsed.select("host", "path").distinct()
     none = F.array().cast("array<struct<dots:int,size:int>>")
     fitting = F.filter(F.array(*shapes) if shapes else none, lambda s: (s["dots"] <= dots(F.col("host"))) & (s["size"] <= F.char_length("path")))
-    whole = F.struct(F.lit(-1).alias("dots"), F.lit(0).alias("size"))
-    each = addresses.select("host", "path", F.explode(F.concat(fitting, F.array(whole))).alias("shape"))
     rule_key = F.concat(F.lit("r"), F.expr("substring_index(host, '.', -(shape.dots + 1))"), F.lit(sep), F.expr("substring(path, 1, shape.size)"))
-    probes = each.select("host", "path", F.when(F.col("shape.dots") < 0, F.concat(F.lit("u"), canonical(F.col("host"), F.col("path")))).otherwise(rule_key).alias("key"))
-    probes = probes.withColumn("block", _block(F.col("key"), n_blocks))
-    if n_blocks * 8 <= FILTER_BYTES:
-        masks = {r["block"]: r["mask"] for r in filter_blocks.collect()}  # FILTER_BYTES at most
-        blocks = F.array(*[F.lit(masks.get(k, 0)).cast("long") for k in range(n_blocks)])
-        probes = probes.withColumn("mask", F.element_at(blocks, F.col("block") + 1))
-    else:
-        probes = probes.join(filter_blocks, "block")
-    hits = probes.where(F.col("mask").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key"))).select("host", "path", "key")
-    exact = hits.join(F.broadcast(table) if n_keys <= BROADCAST_KEYS else table, "key")
-    best = exact.groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("best"))
-    judged = parsed.join(best, ["host", "path"], "left")
-    return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    by_rule = passing(addresses.select("host", "path", F.explode(fitting).alias("shape")).select("host", "path", rule_key.alias("key")))
+    by_url = passing(addresses.select("host", "path", F.concat(F.lit("u"), canonical(F.col("host"), F.col("path"))).alias("key")))
+    sent = lambda table, n: F.broadcast(table) if n <= BROADCAST_KEYS else table
+    best_rule = by_rule.join(sent(rule_table, n_rules), "key").groupBy("host", "path").agg(F.max(F.struct("size", "rule", "verdict")).alias("best"))
+    on_list = by_url.join(sent(url_table, n_urls), "key", "left_semi").select("host", "path", F.lit("block").alias("listed"))
+    judged = parsed.join(best_rule.join(on_list, ["host", "path"], "full"), ["host", "path"], "left")
+    return judged.select(id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "listed", F.lit("allow")).alias("verdict"))

@@ -2,6 +2,8 @@ import itertools
 import re
 import time
 
+import pytest
+
 from tessera.llm import urls
 
 LISTED = ["tionsh.example.net/en/41230", "blog.thernt.example.net/en/45446", "h.net/%2F%zz%C3", "port.net:8080/a", "port.net/b", "x", ""]
@@ -44,9 +46,12 @@ def test_rules_and_list(spark):
     check(spark, ROWS)
 
 
-def test_filter_joined_by_block(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [0, 250_000])
+@pytest.mark.parametrize("keys", [0, 50_000])
+def test_filter_joined_by_block(spark, monkeypatch, blocks, keys):
     monkeypatch.setattr(urls, "FILTER_BYTES", 0)
-    monkeypatch.setattr(urls, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", blocks)
+    monkeypatch.setattr(urls, "BROADCAST_KEYS", keys)
     check(spark, ROWS)
 
 
