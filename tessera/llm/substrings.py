@@ -199,19 +199,24 @@ def _batch(names: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, with_text: bool = False, probes_a_part: int = 2_000_000) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, with_text: bool = False, probes_a_part: int = 2_000_000, join_bytes: int = 16 << 20) -> DataFrame:
     """One row for each input row: id_col, n_words, n_removed, kept_sha256[, kept].
 
     Words are runs of anything but space and the controls 9 to 13. A word goes if a window of the input
     covers it whose words also start in a document with a smaller id; null ids are the greatest. Null
     and empty texts have no words; rows with equal ids don't remove from each other. Windows count as
-    equal if 96 bits of two independent hashes are.
+    equal if 96 bits of two independent hashes are. Packs meet their answers in tasks of about join_bytes
+    compressed bytes (more only where one text has more), as many as the data need whatever the session's
+    number of shuffle partitions; empty tables give no rows; very long texts are packs of their own;
+    other columns aren't read.
     """
     block = window // 2
     bound_batches(docs.sparkSession)
     packs = pack_texts(docs, id_col, text_col)
-    total = packs.agg(F.sum("size")).first()[0] or 0
+    total, pressed = (x or 0 for x in packs.agg(F.sum("size"), F.sum(F.length("blob"))).first())
     parts = max(1, -(-total // probes_a_part))
+    joined = max(packs.sparkSession.sparkContext.defaultParallelism, -(-pressed // join_bytes))
+    sides = packs.select("pack", "blob").repartition(joined, "pack")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_blocks = Powers(_STEP), Powers(_STEP)
@@ -238,8 +243,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sent = packs.select("pack", "blob").mapInArrow(probe, "part int, pack long, hashes binary, flags binary")
     masks = cut(sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, "pack long, part int, mask binary"))
     free_shuffles(packs.sparkSession)
-    gathered = lambda df, name: df.groupBy("pack").agg(F.collect_list(F.struct("part", "mask")).alias(name))  # noqa: E731  a mask a part at most
-    hit_packs = packs.select("pack", "blob").join(gathered(masks, "hits").hint("shuffle_hash"), "pack")
+    gathered = lambda df, name: df.repartition(joined, "pack").groupBy("pack").agg(F.collect_list(F.struct("part", "mask")).alias(name))  # noqa: E731  a mask a part at most
+    hit_packs = sides.join(gathered(masks, "hits").hint("shuffle_hash"), "pack")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_blocks, of_windows = Powers(_STEP), Powers(_STEP), Powers(_STEP_2)
@@ -266,7 +271,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     around = hit_packs.mapInArrow(windows, "part int, pack long, a binary, b binary, least binary")
     gone = cut(around.repartition(parts, "part").groupBy("part").applyInArrow(earlier, "pack long, part int, mask binary"))
     free_shuffles(packs.sparkSession)
-    ready = packs.select("pack", "blob").join(gathered(masks, "hits").hint("shuffle_hash"), "pack", "left").join(gathered(gone, "gone").hint("shuffle_hash"), "pack", "left").select("blob", "hits", "gone")
+    ready = sides.join(gathered(masks, "hits").hint("shuffle_hash"), "pack", "left").join(gathered(gone, "gone").hint("shuffle_hash"), "pack", "left").select("blob", "hits", "gone")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bytes, of_blocks, of_windows = Powers(_STEP), Powers(_STEP), Powers(_STEP_2)

@@ -46,7 +46,7 @@ def test_shared_passages_at_any_offset(spark, seed):
             w += p + some(rng.randrange(40))
         rows.append((d, (" ", "\n", "\t ")[d % 3].join(w) + " é" * (d % 2), "en", "a"))
     rows += [(2000 + k, " ".join(["same"] * (60 + k)), "en", "a") for k in range(4)]
-    check(spark, rows, probes_a_part=300)
+    check(spark, rows, probes_a_part=300, join_bytes=100)
 
 
 def test_kept_text(spark):
