@@ -241,7 +241,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.Table.from_batches([_batch(["pack", "part", "mask"], [pa.int64(), pa.int32(), pa.binary()], out)])
 
     sent = packs.select("pack", "blob").mapInArrow(probe, "part int, pack long, hashes binary, flags binary")
-    masks = cut(sent.repartition(parts, "part").groupBy("part").applyInArrow(answer, "pack long, part int, mask binary"))
+    masks = cut(sent.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(answer, "pack long, part int, mask binary"))
     free_shuffles(packs.sparkSession)
     gathered = lambda df, name: df.repartition(joined, "pack").groupBy("pack").agg(F.collect_list(F.struct("part", "mask")).alias(name))  # noqa: E731  a mask a part at most
     hit_packs = sides.join(gathered(masks, "hits").hint("shuffle_hash"), "pack")
@@ -269,7 +269,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pa.Table.from_batches([_batch(["pack", "part", "mask"], [pa.int64(), pa.int32(), pa.binary()], out)])
 
     around = hit_packs.mapInArrow(windows, "part int, pack long, a binary, b binary, least binary")
-    gone = cut(around.repartition(parts, "part").groupBy("part").applyInArrow(earlier, "pack long, part int, mask binary"))
+    gone = cut(around.repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(earlier, "pack long, part int, mask binary"))
     free_shuffles(packs.sparkSession)
     ready = sides.join(gathered(masks, "hits").hint("shuffle_hash"), "pack", "left").join(gathered(gone, "gone").hint("shuffle_hash"), "pack", "left").select("blob", "hits", "gone")
 
