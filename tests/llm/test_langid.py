@@ -1,8 +1,12 @@
+import math
 import zlib
 
 from tessera.llm import langid
 from tests.llm.helpers import DE, DOCS, EN, FR, documents, odd_documents
 
+ES = "el rápido zorro marrón salta sobre el perro perezoso y luego el otro perro piensa en esta cosa con ellos "
+NL = "de snelle bruine vos springt over de luie hond en dan denkt de andere hond na over dit ding met hen "
+
 
 def test_odd_rows(spark):
     rows = odd_documents()
@@ -48,3 +52,42 @@ def test_rejected_documents_go(spark):
     assert kept.columns == documents(spark, rows).columns
     ids = {r.doc_id for r in kept.collect()}
     assert {1, 2, 3, 4} <= ids and not {5, 6, 7, 10} & ids
+
+
+def brute_prediction(model, text):
+    """Language and score of one text by plain loops over its trigrams, from the fitted weights."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    kept = "".join(c if ord(c) >= 128 or "a" <= c <= "z" else " " for c in text.lower())
+    data = (" " + " ".join(w for w in kept.split(" ") if w) + " ").encode("utf-8")
+    codes = [((a << 16 | b << 8 | c) * 2654435761) % 2**32 >> 32 - langid.BITS for a, b, c in zip(data, data[1:], data[2:])]
+    margins = [sum(float(w[c]) for c in codes) / len(codes) + float(b) for w, b in zip(model.weights, model.bias)]
+    n = len(model.families) if len(model.families) > 1 else 0
+    lead = sorted(margins[:n], reverse=True)
+    best = model.families[margins.index(lead[0])] if n else model.families[0]
+    least = [lead[0] - lead[1]] if n else []
+    won = {x: [] for x in model.langs if langid.family(x) == best}
+    for (a, b), m in zip(model.pairs, margins[n:]):
+        if langid.family(a) == best:
+            won[a].append(m)
+            won[b].append(-m)
+    lang = max(won, key=lambda x: (len([m for m in won[x] if m > 0]), sum(won[x])))
+    return lang, 1 / (1 + math.exp(-2 * max(-30, min([30, *least, *won[lang]]))))
+
+
+def test_predictions_against_brute_force(spark):
+    labelled = [(100 + i, {0: EN, 1: DE, 2: FR, 3: ES, 4: NL}[i % 5][i % 7 :] * (1 + i % 3), ("en", "de", "fr", "es", "nl")[i % 5], "a") for i in range(100)]
+    odd = [(k, t, None, "a") for k, t in enumerate(["a", "É", "ab 12 CD", EN + FR, DE + NL + "☃", "  x\ty  ", "ΑΒΓ αβγ", "1 2 3", None, "", "Ünï " * 3000])]
+    docs = documents(spark, labelled + odd + odd_documents())
+    model = langid.fit(docs)
+    got = {}
+    for r in langid.predict(docs, model).collect():
+        got.setdefault(r.doc_id, []).append((r.lang_pred, r.score))
+    texts = {}
+    for r in docs.select("doc_id", "text").collect():
+        texts.setdefault(r.doc_id, []).append(r.text)
+    assert len(model.pairs) == 4 and got.keys() == texts.keys()
+    for doc, found in got.items():
+        wanted = sorted(brute_prediction(model, t) for t in texts[doc])
+        for (lang, score), (lang_2, score_2) in zip(sorted(found), wanted, strict=True):
+            assert lang == lang_2 and abs(score - score_2) < 1e-6
