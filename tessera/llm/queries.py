@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import langid, mixing, neighbours, packing, secrets, simhash, substrings, topk, urls, warc
+from tessera.llm import infill, langid, mixing, neighbours, packing, secrets, simhash, substrings, suffixes, topk, trie, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(*trie.splice_heads(trie.ordered_turns(_table(spark, sf_dir, "conversations"))))
+
+
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.dedup_bytes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
     "op2_warc": op2_warc,
@@ -74,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_trie": op11_trie,
+    "op12_suffixes": op12_suffixes,
+    "op13_infill": op13_infill,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)
@@ -130,4 +147,46 @@ c AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size
 e AS (SELECT c.doc_id, c.size, c.prev, t.source_size, t.target, floor(t.target)::BIGINT AS budget, CASE WHEN t.source_size > 0 THEN floor(t.target)::BIGINT // t.source_size ELSE 0 END AS epochs
   FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - prev)))::BIGINT AS taken FROM e""",
+    "op11_trie": """
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+w AS (SELECT c, list(struct_pack(role := role, text := text) ORDER BY i) AS t FROM o GROUP BY c),
+z AS (SELECT generate_series AS n FROM generate_series(0, 255)),
+z1 AS (SELECT n, CASE WHEN n & 1 = 1 THEN xor(3988292384, n >> 1) ELSE n >> 1 END AS v FROM z), z2 AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM z1),
+z3 AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM z2), z4 AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM z3),
+z5 AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM z4), z6 AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM z5),
+z7 AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM z6), z8 AS (SELECT n, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END AS v FROM z7),
+crc AS (SELECT list(v ORDER BY n) AS v FROM z8),
+g AS (SELECT w.c, w.t, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(w.c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: xor(crc.v[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) % 6 AS h FROM w, crc),
+r AS (SELECT g.c, list_concat(coalesce(b.t, [])[1:g.h], g.t[g.h + 1:]) AS t FROM g LEFT JOIN w b ON b.c = g.c - g.c % 100),
+p AS (SELECT c, len(t) AS size, unnest(range(0, len(t) + 1)) AS depth, t FROM r),
+k AS (SELECT c, size, depth, md5(coalesce(array_to_string(list_transform(t[1:depth], lambda x: len(x.role) || ':' || x.role || len(x.text) || ':' || x.text), ''), '')) AS id, CASE WHEN depth > 0 THEN length(t[depth].text) ELSE 0 END AS chars FROM p),
+m AS (SELECT id, depth, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars, string_agg(CASE WHEN size = depth THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM k GROUP BY id, depth),
+x AS (SELECT k.c, k.depth, m.conv_id FROM k JOIN m USING (id, depth)),
+f AS (SELECT m.*, x.conv_id AS parent FROM m LEFT JOIN x ON x.c = m.conv_id AND x.depth = m.depth - 1),
+q AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM f WHERE depth > 0 GROUP BY parent, depth),
+s AS (SELECT x.conv_id, x.depth, sum((f.n - 1) * f.chars) AS saved, count(*) FILTER (q.n_children IS NULL) AS leaves
+  FROM f JOIN x ON x.c = f.conv_id AND x.depth <= f.depth LEFT JOIN q ON q.conv_id = f.conv_id AND q.depth = f.depth GROUP BY x.conv_id, x.depth)
+SELECT f.conv_id, f.depth::BIGINT AS depth, f.parent AS parent_conv_id, f.n::BIGINT AS n_convs, coalesce(q.n_children, 0)::BIGINT AS n_children, s.leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN s USING (conv_id, depth) LEFT JOIN q USING (conv_id, depth)""",
+    "op12_suffixes": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+c AS (SELECT doc_id, n, x, unnest(range(0, n - 399, 2000)) AS o FROM d WHERE n >= 400),
+s AS (SELECT doc_id, o, substr(x, 2 * o + 1, 4798) AS y, unnest(range(0, least(2000, n - 399 - o))) AS j FROM c),
+k AS (SELECT doc_id, o + j AS i, md5(substr(y, 2 * j + 1, 800)) AS h FROM s),
+m AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
+v AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS first FROM k JOIN m USING (h)),
+g AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM v),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, span),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS prev FROM r),
+f AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(f.n_removed, 0)::BIGINT AS n_removed, coalesce(f.n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(f.kept, '') || substr(d.x, 2 * coalesce(f.last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN f USING (doc_id)""",
+    "op13_infill": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+n AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM n),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p""",
 }
