@@ -171,8 +171,9 @@ FROM f JOIN s USING (conv_id, depth) LEFT JOIN q USING (conv_id, depth)""",
     "op12_suffixes": """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
 c AS (SELECT doc_id, n, x, unnest(range(0, n - 399, 2000)) AS o FROM d WHERE n >= 400),
-s AS (SELECT doc_id, o, substr(x, 2 * o + 1, 4798) AS y, unnest(range(0, least(2000, n - 399 - o))) AS j FROM c),
-k AS (SELECT doc_id, o + j AS i, md5(substr(y, 2 * j + 1, 800)) AS h FROM s),
+s AS (SELECT doc_id, o, substr(x, 2 * o + 1, 4798) AS y, least(2000, n - 399 - o) AS m FROM c),
+u AS (SELECT doc_id, unnest(list_transform(range(0, m), lambda j: struct_pack(i := o + j, h := md5(substr(y, 2 * j + 1, 800))))) AS w FROM s),
+k AS (SELECT doc_id, w.i AS i, w.h AS h FROM u),
 m AS (SELECT h FROM k GROUP BY h HAVING count(*) > 1),
 v AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS first FROM k JOIN m USING (h)),
 g AS (SELECT doc_id, i, sum(first) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM v),
