@@ -109,10 +109,10 @@ class Queue:
 
 
 class Minima:
-    """An array that grows at its end, and minima of its ranges: within blocks of 32, and over runs of 2**k blocks."""
+    """An array that grows at its end, and minima of its ranges: within blocks of 8, and over runs of 2**k blocks."""
 
     def __init__(self, scratch: Scratch, size: int) -> None:
-        self.size, self.blocks = 0, size // 32 + 1
+        self.size, self.blocks = 0, size // 8 + 1
         self.values, self.before, self.after = (scratch.array(size, np.int32) for _ in range(3))
         self.levels = self.blocks.bit_length()
         self.table = scratch.array(self.levels * self.blocks, np.int32).reshape(self.levels, self.blocks)
@@ -120,12 +120,12 @@ class Minima:
     def append(self, values: np.ndarray) -> None:
         begin, end = self.size, self.size + len(values)
         self.values[begin:end] = values
-        first, whole = begin // 32, end // 32
-        part = np.full((-(-end // 32) - first) * 32, np.iinfo(np.int32).max, np.int32)
-        part[: end - first * 32] = self.values[first * 32 : end]
-        rows = part.reshape(-1, 32)
-        self.before[first * 32 : end] = np.minimum.accumulate(rows, 1).ravel()[: end - first * 32]
-        self.after[first * 32 : end] = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()[: end - first * 32]
+        first, whole = begin // 8, end // 8
+        part = np.full((-(-end // 8) - first) * 8, np.iinfo(np.int32).max, np.int32)
+        part[: end - first * 8] = self.values[first * 8 : end]
+        rows = part.reshape(-1, 8)
+        self.before[first * 8 : end] = np.minimum.accumulate(rows, 1).ravel()[: end - first * 8]
+        self.after[first * 8 : end] = np.minimum.accumulate(rows[:, ::-1], 1)[:, ::-1].ravel()[: end - first * 8]
         if whole > first:
             self.table[0, first:whole] = rows[: whole - first].min(1)
             for k in range(1, self.levels):
@@ -137,10 +137,10 @@ class Minima:
 
     def least(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The minimum of values[low..high], both included, for each pair."""
-        a, b = low >> 5, high >> 5
+        a, b = low >> 3, high >> 3
         out = np.minimum(self.after[low], self.before[high])
         if (near := np.flatnonzero(a == b)).size:
-            at = low[near, None] + np.arange(32)
+            at = low[near, None] + np.arange(8)
             inside = at <= high[near, None]
             out[near] = np.where(inside, self.values[np.minimum(at, self.size - 1)], np.iinfo(np.int32).max).min(1)
         if (far := np.flatnonzero(b - a > 1)).size:

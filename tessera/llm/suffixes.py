@@ -3,7 +3,8 @@
 Equal windows of `least` bytes have the same smallest hash of the shorter strings within them. A document's
 neighbouring windows with the same smallest hash form one stretch, and stretches meet by that hash: a shard
 holds all windows that could be equal. Hashes that occur once have no equal windows, so their stretches
-aren't sent. Stretches with the same bytes are counted before they move and sent once. Each shard's stretches
+aren't sent. Stretches with the same bytes are counted before they move and sent once, or not at all if no
+other stretch has their hash. Each shard's stretches
 are one text whose suffix array and common prefixes say which windows start elsewhere, too.
 
 A hash that very many stretches have (a common line in changing surroundings) is split by the place of that
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bound_batches, cut, free_shuffles, shared_dir
@@ -46,13 +47,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder all executors share and read again: later reads take only the columns they use."""
-    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """df written to a folder that all executors share and read again: later reads take only the columns they use."""
     df.write.option("compression", "zstd").parquet(folder)
+    free_shuffles(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pack_bytes(docs: DataFrame, id_col: str, text_col: str, size: int = 2 << 20) -> DataFrame:
     """Checkpointed rows (pack, ids, sizes, total, blob): whole texts of about size bytes together, a longer one alone."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +227,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     shard_bytes: text of a shard, about; hot_stretches: from so many on a hash is split; scratch: sizes for repeated_windows.
     """
-    bound_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    folder = f"{shared_dir(spark).rstrip('/')}/strings-{uuid.uuid4().hex}"
     packs = pack_bytes(docs, id_col, text_col)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +240,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n = np.bincount(at, weights=found.times, minlength=len(key)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), batch.column(0)[k].as_py(), np.int64)), pa.array(n)], ["key", "pack", "n"])
 
-    own_keys = stored(packs.select("pack", "sizes", "blob").mapInArrow(keys, "key long, pack long, n long"))
+    own_keys = stored(packs.select("pack", "sizes", "blob").mapInArrow(keys, "key long, pack long, n long"), f"{folder}/keys")
     repeated = own_keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key", (F.col("n") > hot_stretches).alias("hot"))
     hits = own_keys.select("key", "pack").join(repeated, "key").groupBy("pack").agg(F.collect_list(F.struct("key", "hot")).alias("hits"))  # a pack's own
 
@@ -243,22 +251,24 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 hit = batch.column(3)[k].as_py()
                 only = np.array([x["key"] for x in hit], np.int64).view(np.uint64)
                 found = Stretches(data, np.array(batch.column(1)[k].as_py(), np.int64), least, frozenset(x["key"] % (1 << 64) for x in hit if x["hot"]), only)
-                places: dict[tuple[int, int, int], list[int]] = {}
-                for start, windows, key in zip(found.start.tolist(), found.windows.tolist(), found.key.tolist(), strict=True):
-                    places.setdefault((_signed(key), _signed(_hash(data[start : start + windows + least - 1])), windows), []).append(start)
-                columns = [[x[0] for x in places], [x[1] for x in places], [pack] * len(places), [x[2] for x in places], list(places.values())]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["key", "body", "pack", "windows", "starts"])
-
-    found = stored(packs.select("pack", "sizes", "blob").join(hits.hint("shuffle_hash"), "pack").mapInArrow(stretches, "key long, body long, pack long, windows int, starts array<long>"))
-    free_shuffles(docs.sparkSession)
-    # One pack sends a body for all that have it.
+                places: dict[tuple[int, int, int, int], list[int]] = {}
+                for start, windows, key, times in zip(found.start.tolist(), found.windows.tolist(), found.key.tolist(), found.times.tolist(), strict=True):
+                    places.setdefault((_signed(key), _signed(_hash(data[start : start + windows + least - 1])), windows, times), []).append(start)
+                columns = [*([x[j] for x in places] for j in range(4)), [pack] * len(places), list(places.values())]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["key", "body", "windows", "times", "pack", "starts"])
+
+    found = stored(packs.select("pack", "sizes", "blob").join(hits.hint("shuffle_hash"), "pack").mapInArrow(stretches, "key long, body long, windows int, times int, pack long, starts array<long>"), f"{folder}/found")
+    _drop(spark, f"{folder}/keys")
+    # One pack sends a body for all that have it. A hash that one body alone has, and once, can have no other equal windows than that body's copies.
     first = F.min(F.struct("pack", F.col("starts")[0].alias("start"))).alias("first")
-    bodies = stored(found.groupBy("key", "body", "windows").agg(first, F.sum(F.size("starts")).alias("n")))
-    total = bodies.agg(F.sum(F.col("windows") + least).cast("long")).first()[0] or 0
+    counted = stored(found.groupBy("key", "body", "windows").agg(first, F.sum(F.size("starts")).alias("n"), F.max("times").alias("times")), f"{folder}/counted")
+    of_key = counted.groupBy("key").agg(F.count("*").alias("bodies"), F.max("times").alias("most"))
+    bodies = stored(counted.join(of_key, "key").withColumn("alone", F.expr("bodies = 1 AND most = 1")).select("key", "body", "windows", "first", "n", "alone"), f"{folder}/bodies")
+    total = bodies.where("not alone").agg(F.sum(F.col("windows") + least).cast("long")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     body = F.struct("key", "body", "windows", (F.col("n") > 1).alias("several"), F.col("first.start").alias("start"))
-    sent = bodies.groupBy(F.col("first.pack").alias("pack")).agg(F.collect_list(body).alias("bodies"))
+    sent = bodies.where("not alone").groupBy(F.col("first.pack").alias("pack")).agg(F.collect_list(body).alias("bodies"))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,8 +304,8 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield out()
 
     pieces = packs.select("pack", "blob").join(sent.hint("shuffle_hash"), "pack").select("blob", "bodies").mapInArrow(contents, "shard int, key long, body long, several boolean, content binary")
-    verdicts = stored(pieces.repartitionById(shards, F.col("shard")).mapInArrow(sort, "key long, body long, edges array<int>"))
-    free_shuffles(docs.sparkSession)
+    sorted_out = stored(pieces.repartitionById(shards, F.col("shard")).mapInArrow(sort, "key long, body long, edges array<int>"), f"{folder}/sorted")
+    verdicts = sorted_out.unionByName(bodies.where("alone AND n > 1").select("key", "body", F.array(F.lit(0), "windows").alias("edges")))
     gone = found.select("key", "body", "pack", "starts").join(verdicts, ["key", "body"]).groupBy("pack").agg(F.collect_list(F.struct("starts", "edges")).alias("gone"))  # a pack's own
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
