@@ -216,7 +216,7 @@ def _edges(places: np.ndarray) -> np.ndarray:
     return np.stack((places[np.concatenate(([0], breaks + 1))], places[np.concatenate((breaks, [len(places) - 1]))] + 1), 1).ravel()
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, shard_bytes: int = 8 << 20, hot_stretches: int = 20_000, scratch: dict | None = None) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 400, shard_bytes: int = 2 << 20, most_shards: int = 20_000, hot_stretches: int = 20_000, scratch: dict | None = None) -> DataFrame:
     """One row for each input row: id_col, n_bytes, n_removed, spans (start, stop) of what goes, kept (bytes).
 
     Each byte goes that a string of `least` bytes covers which also starts anywhere else, in the same or in
@@ -225,7 +225,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     a very long text is a pack of its own, cut into pieces of windows; other columns aren't read. Stretches
     count as equal if 128 bits of two hashes are; windows are compared byte by byte.
 
-    shard_bytes: text of a shard, about; hot_stretches: from so many on a hash is split; scratch: sizes for repeated_windows.
+    shard_bytes: text of a shard, about, more where there would be over most_shards; hot_stretches: from so many on a hash is split; scratch: sizes for repeated_windows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -266,7 +266,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of_key = counted.groupBy("key").agg(F.count("*").alias("bodies"), F.max("times").alias("most"))
     bodies = stored(counted.join(of_key, "key").withColumn("alone", F.expr("bodies = 1 AND most = 1")).select("key", "body", "windows", "first", "n", "alone"), f"{folder}/bodies")
     total = bodies.where("not alone").agg(F.sum(F.col("windows") + least).cast("long")).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, -(-total // max(shard_bytes, -(-total // most_shards))))
     body = F.struct("key", "body", "windows", (F.col("n") > 1).alias("several"), F.col("first.start").alias("start"))
     sent = bodies.where("not alone").groupBy(F.col("first.pack").alias("pack")).agg(F.collect_list(body).alias("bodies"))
 
