@@ -54,7 +54,7 @@ class Scratch:
 
 
 class Queue:
-    """Smallest keys first. Runs of like sizes are merged up to `most` records; runs of over half that many go to scratch."""
+    """Smallest keys first. Four runs of like sizes are merged up to `most` records; runs of over half that many go to scratch."""
 
     def __init__(self, scratch: Scratch, most: int) -> None:
         self.scratch, self.most, self.runs, self.order = scratch, most, [], None
@@ -66,19 +66,19 @@ class Queue:
             order = np.argsort(keys, kind="stable")
             keys, values = keys[order], values[order]
         self.runs.append([keys, values, 0])
-        while len(self.runs) > 1:
-            (a, v, i), (b, w, j) = self.runs[-2:]
-            if len(a) - i > 2 * (len(b) - j) or len(a) - i + len(b) - j > self.most:
-                break
-            keys, values = np.concatenate((a[i:], b[j:])), np.concatenate((v[i:], w[j:]))
+        left = [len(k) - i for k, _, i in self.runs[-4:]]
+        while len(left) == 4 and left[0] <= 4 * left[3] and sum(left) <= self.most:
+            keys, values = (np.concatenate([run[j][run[2] :] for run in self.runs[-4:]]) for j in range(2))
             order = np.argsort(keys, kind="stable")
-            self.runs[-2:] = [[keys[order], values[order], 0]]
+            self.runs[-4:] = [[keys[order], values[order], 0]]
+            left = [len(k) - i for k, _, i in self.runs[-4:]]
         last = self.runs[-1]
         if len(last[0]) > self.most // 2:
             last[0], last[1] = self.scratch.keep(last[0]), self.scratch.keep(last[1])
 
     def head(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """At most size of the smallest records, in order; take() then removes the first of them."""
+        """About size of the smallest records, in order; take() then removes the first of them."""
+        size = max(64, 4 * size // max(4, len(self.runs)))
         parts, bound = [(k[i : i + size], v[i : i + size]) for k, v, i in self.runs], None
         for (k, _, i), (part, _) in zip(self.runs, parts, strict=True):
             if len(k) - i > size:
@@ -87,7 +87,7 @@ class Queue:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         keys = np.concatenate([k for k, _ in parts])
         values = np.concatenate([v for _, v in parts])
-        self.order = np.argsort(keys, kind="stable")[:size]
+        self.order = np.argsort(keys, kind="stable")
         self.edges = np.cumsum([len(k) for k, _ in parts])
         keys = keys[self.order]
         if bound is not None:
@@ -197,7 +197,7 @@ def induce(text: np.ndarray, top: int, down: bool, seeds: np.ndarray, shared: np
         sent = np.where(goes, before.astype(np.uint64) << _U(33) | rank, _TOP)
         late = np.flatnonzero(keys[1:] > np.minimum.accumulate(sent)[:-1])
         count = int(late[0]) + 1 if len(late) else len(keys)
-        step = int(min(block, max(256, 2 * count)))
+        step = min(block, max(256, 3 * count // 2) if len(late) else 2 * step)
         keys, at, own, fresh, goes = (x[:count] for x in (keys, at, own, fresh, goes))
         source = (keys & _U(0xFFFFFFFF)).astype(np.int64)
         first = done == 0
