@@ -1237,3 +1237,67 @@ def program_fit(t: Tables) -> DataFrame:
 def credit_texts(t: Tables) -> DataFrame:
     one = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("name"), F.when(F.col("l_linenumber") % 2 == 0, " & ").alias("join_phrase"))
     return t["lineitem"].groupBy("l_orderkey").agg(cr.credit_text(F.sort_array(F.collect_list(one)), "/").alias("text"))
+
+
+# Resolution: an order is a candidate for one of its customer's three entries, its lines are its programme.
+
+_CANDIDATES = P + """, n AS (SELECT album_id, count(*) AS lines, max(qty) AS most, sum((status = 'F')::INT) AS f FROM tracks GROUP BY 1),
+ca AS (SELECT o_custkey * 3 + o_orderkey % 3 AS g, o_orderkey AS c, o_custkey AS k, CASE WHEN o_orderkey % 12 <= 5 THEN 'exact' WHEN o_orderkey % 12 = 6 THEN 'typography' WHEN o_orderkey % 12 = 7 THEN 'release_type_suffix' WHEN o_orderkey % 12 = 8 THEN 'minor_typo'
+  WHEN o_orderkey % 12 = 9 THEN 'conflict' WHEN o_orderkey % 12 = 10 THEN 'version_conflict' ELSE 'boilerplate' END AS title_class, o_orderkey % 13 <> 0 AS artist_accepted, CASE WHEN o_orderkey % 5 = 0 THEN [o_custkey, 0] ELSE [o_custkey] END AS artist_ids,
+  (1990 + o_custkey % 3 + CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END)::INT AS y, (o_custkey % 12 + 1)::INT AS m, CASE WHEN o_orderkey % 11 <> 0 THEN (o_custkey % 28 + 1)::INT END AS d, CASE WHEN o_orderkey % 19 = 0 THEN 'ep' ELSE 'album' END AS kind, CASE WHEN o_orderkey % 6 = 5 THEN 'y' ELSE 'x' END AS title_key,
+  lines AS tracks, o_custkey % 3 + 1 AS required, CASE WHEN o_custkey % 20 = 0 THEN 0 ELSE o_custkey % 4 + 1 END AS local_tracks, o_orderkey % 41 = 0 AS type_conflict FROM orders JOIN n ON album_id = o_orderkey)
+"""
+
+
+def _candidates(t: Tables) -> DataFrame:
+    c, k = F.col("o_orderkey"), F.col("o_custkey")
+    lines = t.tracks.groupBy(F.col("album_id").alias("o_orderkey")).agg(F.count("*").cast("int").alias("tracks"))
+    title = F.when(c % 12 <= 5, "exact").when(c % 12 == 6, "typography").when(c % 12 == 7, "release_type_suffix").when(c % 12 == 8, "minor_typo").when(c % 12 == 9, "conflict").when(c % 12 == 10, "version_conflict").otherwise("boilerplate")
+    return t["orders"].join(lines, "o_orderkey").select(
+        (k * 3 + c % 3).alias("group"), c.alias("candidate"), title.alias("title_class"), (c % 13 != 0).alias("artist_accepted"), F.when(c % 5 == 0, F.array(k, F.lit(0).cast("long"))).otherwise(F.array(k)).alias("artist_ids"),
+        (1990 + k % 3 + (c % 7 == 0).cast("int")).cast("int").alias("year"), (k % 12 + 1).cast("int").alias("month"), F.when(c % 11 != 0, k % 28 + 1).cast("int").alias("day"), F.when(c % 19 == 0, "ep").otherwise("album").alias("kind"), F.when(c % 6 == 5, "y").otherwise("x").alias("title_key"),
+        "tracks", (k % 3 + 1).alias("required"), F.when(k % 20 == 0, 0).otherwise(k % 4 + 1).alias("local_tracks"), (k % 9 != 0).alias("local_usable"), (1990 + k % 3).cast("int").alias("local_year"), (k % 12 + 1).cast("int").alias("local_month"), F.lit(None).cast("int").alias("local_day"),
+        (k % 6 == 0).alias("more_pages"), (c % 2 == 0).alias("edition_pair"), (c % 41 == 0).alias("type_conflict"), (c % 8 == 3).alias("unsystematic"))
+
+
+def _candidate_programs(t: Tables) -> tuple[DataFrame, DataFrame]:
+    c = F.col("candidate")
+    head = _candidates(t).select("group", "candidate", "tracks", "local_tracks", "artist_ids")
+    rows = t.tracks.select(F.col("album_id").alias("candidate"), "number", "disc", "qty", "flag").join(head, "candidate")
+    programs = head.withColumn("program", F.explode(F.when(c % 23 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    programs = programs.select(
+        "group", "candidate", "program", (c % 9 != 0).alias("complete"), (c % 2 == 0).alias("strong"), F.when(c % 4 == 1, 1).otherwise(F.least("tracks", "local_tracks")).alias("anchors"), F.col("tracks").alias("listed"), (c % 29 == 0).cast("int").alias("duplicates"),
+        F.least("tracks", "local_tracks").alias("matched"), F.lit(True).alias("usable"), (c % 3 == 0).alias("over_3s"), (c % 8 == 0).alias("over_10s"), (c % 31 == 0).alias("trusted_conflict"), (c % 37 == 0).alias("displaced"), F.lit(False).alias("version_conflict"), (c % 10 == 1).alias("unanchored"))
+    tracks = rows.select(
+        "group", "candidate", F.lit(0).alias("program"), F.col("number").alias("index"), "disc", "number", (F.col("number") * 10 + (F.col("flag") == "R").cast("int")).alias("track_id"), F.concat(F.lit("x"), F.col("number").cast("string")).alias("title_key"), F.array(F.get("artist_ids", F.lit(0))).alias("artist_ids"), F.array(F.get("artist_ids", F.lit(0))).alias("lead_ids"),
+        F.when(F.col("qty") > 45, 2).otherwise(1).alias("credits"), F.lit(True).alias("known_credits"), F.array().cast("array<bigint>").alias("recordings"), F.array().cast("array<string>").alias("isrcs"), (F.col("qty") * 100).alias("duration_ms"), F.lit(False).alias("approximate"))
+    return programs, tracks
+
+
+@query(_CANDIDATES + """SELECT g AS "group", c AS candidate, list_filter([
+  CASE WHEN NOT artist_accepted THEN 'artist_mismatch: ' || array_to_string(artist_ids, ',') END, CASE WHEN title_class = 'conflict' THEN 'album_title_mismatch: conflict' END, CASE WHEN title_class = 'version_conflict' THEN 'album_version_mismatch: version_conflict' END,
+  CASE WHEN type_conflict THEN 'release_type_mismatch: ' || title_class || '|' || kind END, CASE WHEN tracks < required AND NOT (local_tracks >= 3 AND tracks * 5 >= local_tracks * 4) THEN 'track_count_mismatch: ' || tracks || '|' || required || '|' || local_tracks END], lambda r: r IS NOT NULL) AS reasons FROM ca""")
+def candidate_reasons(t: Tables) -> DataFrame:
+    from tessera.operators import resolution
+
+    return resolution.candidate_reasons(_candidates(t)).withColumn("reasons", F.transform("reasons", lambda r: F.concat_ws(": ", r["reason"], r["evidence"])))
+
+
+@query(_CANDIDATES + """, li AS (SELECT album_id AS c, list((disc, number) ORDER BY number) AS w, list(qty * 100 ORDER BY number) AS ms, list(flag = 'R' ORDER BY number) AS ids FROM tracks GROUP BY 1),
+o AS (SELECT * FROM ca JOIN li USING (c) WHERE c % 23 <> 0 AND c % 9 <> 0),
+p AS (SELECT a.g, a.c AS a, b.c AS b, a.w = b.w AND a.ids = b.ids AS same, a.w = b.w AND len(a.w) >= 3 AND len(list_filter(list_zip(a.ms, b.ms), lambda z: abs(z[1] - z[2]) > 3000)) = 0 AS comparable,
+  a.w = b.w AND len(a.w) >= 3 AND a.d IS NOT DISTINCT FROM b.d AND len(list_filter(list_zip(a.ms, b.ms), lambda z: abs(z[1] - z[2]) > 100)) = 0 AS strict,
+  a.y = b.y AND a.kind = b.kind AND list_sort(a.artist_ids) = list_sort(b.artist_ids) AND a.title_key = b.title_key AS alike FROM o a JOIN o b ON a.g = b.g AND a.c < b.c)
+SELECT g AS "group", a, b, same, comparable, alike AND (same OR strict) AS equivalent FROM p WHERE same OR comparable""")
+def equivalent_programs(t: Tables) -> DataFrame:
+    from tessera.operators import resolution
+
+    return resolution.related_programs(_candidates(t), *_candidate_programs(t))
+
+
+#: tests/test_resolution.py holds this one against its steps taken one by one.
+@query()
+def representation_resolution(t: Tables) -> DataFrame:
+    from tessera.operators import resolution
+
+    return resolution.resolve(_candidates(t), *_candidate_programs(t))
