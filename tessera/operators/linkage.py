@@ -130,13 +130,6 @@ def fit(mapped: DataFrame, group: str, program: str) -> DataFrame:
         count(~F.col("exact_title") & F.col("position"))("tolerant_positions"))
 
 
-def families(pairs: DataFrame, group: str, a: str, b: str, members: DataFrame, member: str) -> DataFrame:
-    """(group, representative): groups whose members are all pairwise compatible; others are withheld. The representative is the smallest member."""
-    sizes = members.groupBy(group).agg(F.countDistinct(member).alias("n"), F.min(member).alias("representative"))
-    linked = pairs.select(group, F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct().groupBy(group).agg(F.count("*").alias("pairs"))
-    return sizes.join(linked, group, "left").where(F.coalesce("pairs", F.lit(0)) == F.expr("n * (n - 1) div 2")).select(group, "representative")
-
-
 def component_families(pairs: DataFrame, group: str, a: str, b: str, member: str) -> DataFrame:
     """(group, member, representative): each member of the components of compatible pairs within a group whose members are all pairwise compatible. The representative is the smallest member."""
     linked = pairs.select(F.struct(F.col(group).alias("g"), F.least(a, b).alias("m")).alias("a"), F.struct(F.col(group).alias("g"), F.greatest(a, b).alias("m")).alias("b")).where("a <> b").distinct()

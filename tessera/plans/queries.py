@@ -172,7 +172,7 @@ def top_of_each_type(t: Tables) -> DataFrame:
 
 @query("SELECT count(*) > 1000 AS more FROM (SELECT 1 FROM orders LIMIT 1001)")
 def bounded_probe(t: Tables) -> DataFrame:
-    return t["orders"].limit(1001).agg((F.count("*") > 1000).alias("more"))
+    return t.spark.createDataFrame([(keyset.more_than(t["orders"], 1000),)], "more boolean")
 
 
 @query("SELECT DISTINCT p_brand FROM part ORDER BY p_brand LIMIT 8")
@@ -625,21 +625,29 @@ def established_occurrences(t: Tables) -> DataFrame:
     return linkage.established(rows, "subject", "program", "identity")
 
 
-@query("""WITH m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT DISTINCT a.l_orderkey, a.l_suppkey AS x, b.l_suppkey AS y FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey AND (b.l_suppkey - a.l_suppkey) <= 60)
-SELECT l_orderkey, min(l_suppkey) AS representative FROM m GROUP BY l_orderkey HAVING (count(*) * (count(*) - 1)) // 2 = (SELECT count(*) FROM p WHERE p.l_orderkey = m.l_orderkey)""")
-def candidate_families(t: Tables) -> DataFrame:
-    members = t["lineitem"].select("l_orderkey", "l_suppkey").distinct()
-    pairs = members.alias("a").join(members.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey and b.l_suppkey - a.l_suppkey <= 60").select("l_orderkey", F.col("a.l_suppkey").alias("x"), F.col("b.l_suppkey").alias("y"))
-    return linkage.families(pairs, "l_orderkey", "x", "y", members, "l_suppkey")
+_FAMILIES = """WITH RECURSIVE m AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (SELECT a.l_orderkey, a.l_suppkey AS x, b.l_suppkey AS y FROM m a JOIN m b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey AND (b.l_suppkey - a.l_suppkey) <= 60),
+g AS (SELECT l_orderkey, x AS a, y AS b FROM p UNION SELECT l_orderkey, y, x FROM p), r(l_orderkey, s, n) AS (SELECT l_orderkey, a, a FROM g UNION SELECT r.l_orderkey, s, g.b FROM r JOIN g ON g.l_orderkey = r.l_orderkey AND g.a = n),
+c AS (SELECT l_orderkey, s, min(n) AS representative FROM r GROUP BY 1, 2), w AS (SELECT l_orderkey, representative, count(*) AS n FROM c GROUP BY 1, 2),
+q AS (SELECT c.l_orderkey, representative, count(*) AS k FROM p JOIN c ON c.l_orderkey = p.l_orderkey AND c.s = p.x GROUP BY 1, 2)
+"""
 
 
-@query()
-def candidate_family_members(t: Tables) -> DataFrame:
+def _families(t: Tables) -> DataFrame:
     members = t["lineitem"].select("l_orderkey", "l_suppkey").distinct()
     pairs = members.alias("a").join(members.alias("b"), "l_orderkey").where("a.l_suppkey < b.l_suppkey and b.l_suppkey - a.l_suppkey <= 60").select("l_orderkey", F.col("a.l_suppkey").alias("x"), F.col("b.l_suppkey").alias("y"))
     return linkage.component_families(pairs, "l_orderkey", "x", "y", "l_suppkey")
 
 
+@query(_FAMILIES + "SELECT l_orderkey, representative, n::BIGINT AS members FROM w JOIN q USING (l_orderkey, representative) WHERE k = n * (n - 1) // 2")
+def candidate_families(t: Tables) -> DataFrame:
+    return _families(t).groupBy("l_orderkey", "representative").agg(F.count("*").alias("members"))
+
+
+@query(_FAMILIES + "SELECT c.l_orderkey, c.s AS l_suppkey, c.representative FROM c JOIN w USING (l_orderkey, representative) JOIN q USING (l_orderkey, representative) WHERE k = n * (n - 1) // 2")
+def candidate_family_members(t: Tables) -> DataFrame:
+    return _families(t)
+
+
 @query("""WITH a AS (SELECT l_orderkey AS g, l_linenumber AS number, min(l_partkey) AS track_id FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1), b AS (SELECT l_orderkey AS g, l_linenumber AS number, min(l_suppkey) AS candidate_id FROM lineitem WHERE l_tax > 0.02 GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT g, number, track_id, candidate_id FROM a JOIN b USING (g, number)""")
 def unique_positions(t: Tables) -> DataFrame:
@@ -1190,11 +1198,11 @@ def suppressed_sources(t: Tables) -> DataFrame:
     return catalog.suppressed(t.ignored.withColumnRenamed("track_id", "source_id"), t.credits.where("artist_id = 3"), sources, "track_id", "source_id")
 
 
-@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_partkey, min(l_suppkey) OVER (PARTITION BY l_partkey) AS a, l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), e AS (SELECT DISTINCT a, b FROM m WHERE a <> b), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("""WITH RECURSIVE m AS (SELECT DISTINCT l_partkey, min(l_suppkey) OVER (PARTITION BY l_partkey) AS a, l_suppkey AS b FROM lineitem), e AS (SELECT DISTINCT a, b FROM m WHERE a <> b), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(s, n) AS (SELECT a, a FROM g UNION SELECT s, g.b FROM r JOIN g ON g.a = n), c AS (SELECT s AS id, min(n) AS canonical FROM r GROUP BY s)
 SELECT DISTINCT l_orderkey, coalesce(canonical, l_suppkey) AS l_suppkey FROM lineitem LEFT JOIN c ON id = l_suppkey""")
 def repointed_credits(t: Tables) -> DataFrame:
-    edges = graph.shared_value_edges(t["lineitem"].where("l_quantity = 50 and l_returnflag = 'R'"), "l_suppkey", ["l_partkey"])
+    edges = graph.shared_value_edges(t["lineitem"], "l_suppkey", ["l_partkey"])
     return graph.repointed(t["lineitem"].select("l_orderkey", "l_suppkey"), "l_suppkey", graph.canonical(edges))
 
 
