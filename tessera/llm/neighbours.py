@@ -182,11 +182,17 @@ def labelled_components(links: DataFrame, classes: DataFrame) -> DataFrame:
     return cut(classes.join(components(links), "id", "left").select("id", "key", "copies", "unit", F.coalesce("component", "id").alias("component")))
 
 
-def audit(members: DataFrame, threshold: float, every: int = 50, rows_a_block: int = 4096, queries_a_block: int = 4096) -> DataFrame:
-    """Checkpointed (query, links, found, a, b): each audited class against all rows of its label in blocks; a row for each component that a link leads to, b one row of it. Found links are those inside the query's component."""
-    blocks = members.groupBy("key").agg(F.ceil(F.count("*") / rows_a_block).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("id") % every == 0, 1)) / queries_a_block).cast("int").alias("asks")).where("asks > 0")
-    rows = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
-    asked = members.where(F.col("id") % every == 0).join(blocks, "key").withColumn("ask", F.pmod(F.xxhash64("id"), "asks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def audit(members: DataFrame, threshold: float, every: int = 50, least: int = 64, rows_a_block: int = 4096, queries_a_block: int = 4096) -> DataFrame:
+    """Checkpointed (query, links, found, other): audited classes against all rows of their label in blocks; a row for each component that a link leads to, other one row of it. Found links are those inside the query's component.
+
+    Audited are, by the hash of their ids, one class in `every`, in small labels about `least` of them, and in each label one at least.
+    """
+    own = F.xxhash64("id")
+    facts = members.groupBy("key").agg(F.min_by("id", own).alias("first"), F.greatest(F.lit(1 / every), least / F.count("*")).alias("share"))
+    marked = members.join(facts, "key").withColumn("audited", (F.pmod(own, F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.col("id") == F.col("first"))).drop("first", "share")
+    blocks = marked.groupBy("key").agg(F.ceil(F.count("*") / rows_a_block).cast("int").alias("blocks"), F.ceil(F.count(F.when(F.col("audited"), 1)) / queries_a_block).cast("int").alias("asks"))
+    rows = members.join(blocks, "key").withColumn("block", F.pmod(own, "blocks").cast("int")).withColumn("ask", F.explode(F.sequence(F.lit(0), F.col("asks") - 1)))
+    asked = marked.where("audited").join(blocks, "key").withColumn("ask", F.pmod(F.xxhash64("id", F.lit(1)), "asks").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     names = ["key", "block", "ask", "id", "component", "unit"]
 
     def compare(q: pa.Table, r: pa.Table) -> pa.Table:
@@ -253,8 +259,8 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     vectors are links of each other; rows with equal ids are vectors of their own; empty tables give no
     rows; other columns aren't read. A component of n rows costs n squared, in tiles. Rounds go on while
     the audit finds links between components, most_rounds at most; if it then had less than least_recall
-    of the audited links, RuntimeError is raised. audit_recall is the last audit's figure, and report gets
-    those of each: links, found, recall.
+    of the audited links, RuntimeError is raised. audit_recall is the last audit's figure, null if no audited
+    vector has a link; report gets those of each: links, found, recall, and by_vector, the mean over vectors with links.
     """
     classes = vector_classes(table, id_col, vec_col, label_col)
     lists = merged(first_offers(classes), None, length, threshold)
@@ -268,10 +274,11 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
         links = own if links is None else links.union(own)
         members = labelled_components(links, classes)
         found = audit(members, threshold)
-        facts = found.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0))).first()
-        recall = facts[1] / facts[0] if facts[0] else 1.0
+        of_query = found.groupBy("query").agg(F.sum("links").alias("links"), F.sum("found").alias("found"))
+        facts = of_query.agg(F.coalesce(F.sum("links"), F.lit(0)), F.coalesce(F.sum("found"), F.lit(0)), F.avg(F.col("found") / F.col("links"))).first()
+        recall = facts[1] / facts[0] if facts[0] else None
         if report:
-            report({"links": facts[0], "found": facts[1], "recall": recall})
+            report({"links": facts[0], "found": facts[1], "recall": recall, "by_vector": facts[2]})
         if facts[0] == facts[1]:
             break
         links = links.union(found.where("found = 0").select(F.col("query").alias("a"), F.col("other").alias("b")))
@@ -287,5 +294,5 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.concat_ws(":", F.size(v).cast("string"), F.col(label_col).cast("string")).alias("key"), v.alias("v"), F.col(label_col).isNotNull().alias("usable"))
     joined = rows.join(counted, (rows.key == counted.key) & (rows.v == counted.v) & rows.usable & rows.id.isNotNull(), "left")
     component = F.coalesce(F.col("component"), rows.id)
-    extra = [F.lit(recall).alias("audit_recall")] if with_recall else []
+    extra = [F.lit(recall).cast("double").alias("audit_recall")] if with_recall else []
     return joined.select(rows.id.alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (rows.id == component).alias("kept"), *extra)
