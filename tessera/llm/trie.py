@@ -117,7 +117,8 @@ def prefix_trie(turns: DataFrame, lengths: DataFrame) -> DataFrame:
     lengths = cut(lengths.select(F.col("conv").cast("long").alias("conv"), F.col("length").cast("long").alias("length")))
     root = cut(lengths.agg(F.min("conv").alias("conv"), F.count("*").alias("n")).where("n > 0"))
 
-    members = lengths.crossJoin(F.broadcast(root.select(F.col("conv").alias("node"), "n"))).where("n > 1").select("conv", "length", "node")  # one row
+    top = root.first()  # one row at most
+    members = lengths.select("conv", "length", F.lit(top and top["conv"]).cast("long").alias("node")).where(F.lit(bool(top) and top["n"] > 1))
     single = root.where("n = 1").select("conv", F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("chars"))
     levels, singles, ends = [root.where("n > 1").select("conv", F.lit(None).cast("long").alias("parent"), "n", F.lit(0).cast("long").alias("chars"))], [single], []
     while True:
