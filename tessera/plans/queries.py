@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -1339,3 +1340,65 @@ def _reevaluation(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     parts = t["lineitem"].groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("track_id")).agg(F.min("l_partkey").alias("artist_id"))
     programs = t.tracks.select("album_id").distinct().where("album_id % 5 <> 0").withColumn("needed", F.col("album_id") % 3 + 1)
     return tracks, parts, programs
+
+
+# The sorted prefix index. A query writes the index of its tables to the shared folder, then reads it.
+
+
+def _indexed(t: Tables) -> DataFrame:
+    """Saved songs, their albums and artists with the links between them."""
+    saved = sets.having(t.tracks, t.saved, ["track_id"])
+    credits = t.credits.join(saved.select("track_id", "album_id"), "track_id")
+    term = lambda field, c: F.struct(F.lit(field).alias("field"), F.col(c).cast("string").alias("token"))
+    linked = lambda by: credits.select(by, "artist_id").distinct().groupBy(by).agg(F.collect_set(term("artist", "artist_id")).alias("terms"))
+    row = lambda kind, c, title: [F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"), F.col(title).alias("title"), F.col(title).alias("text")]
+    songs = saved.join(linked("track_id"), "track_id", "left").select(*row("song", "track_id", "title"), F.concat(F.coalesce("terms", F.array().cast("array<struct<field:string,token:string>>")), F.array(term("album", "album_id"))).alias("terms"))
+    albums = t.albums.join(saved.select("album_id").distinct(), "album_id", "left_semi").join(linked("album_id"), "album_id", "left").select(*row("album", "album_id", "title"), "terms")
+    artists = t.artists.join(credits.select("artist_id"), "artist_id", "left_semi").select(*row("artist", "artist_id", "name"), F.array().cast("array<struct<field:string,token:string>>").alias("terms"))
+    return songs.unionByName(albums).unionByName(artists).withColumns({"seq": F.lit(0), "deleted": F.lit(False)})
+
+
+def _index(t: Tables, *batches: DataFrame) -> str:
+    from tessera.operators import postings
+
+    path = f"{graph.shared_dir(t.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    for epoch, batch in enumerate(batches):
+        postings.apply(t.spark, path, epoch, batch)
+    return path
+
+
+@query(ORACLES["search_sections"])
+def indexed_sections(t: Tables) -> DataFrame:
+    from tessera.operators import postings
+
+    return postings.sections(t.spark, _index(t, _indexed(t)), "Supplier 0000")
+
+
+def _beside(column: str, first: str, last: str) -> str:
+    tokens = _TOKENS.format(column)
+    return f"len(list_filter(list_zip({tokens}, ({tokens})[2:]), lambda z: z[1] = '{first}' AND starts_with(z[2], '{last}'))) > 0"
+
+
+@query(f"""SELECT p_partkey AS id, p_name AS title FROM part WHERE {_beside('p_name', 'blue', 'b')} OR {_beside('p_name', 'small', 'g')}""")
+def indexed_phrases(t: Tables) -> DataFrame:
+    """Words side by side, the last one a prefix."""
+    from tessera.operators import postings
+
+    rows = t["part"].select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_name").alias("text"), F.array().cast("array<struct<field:string,token:string>>").alias("terms"), F.lit(0).alias("seq"), F.lit(False).alias("deleted"))
+    path = _index(t, rows)
+    return postings.found(t.spark, path, "blue-b").unionByName(postings.found(t.spark, path, "small/g")).select("id", "title").distinct()
+
+
+_RENAMED = "CASE WHEN track_id % 7 = 0 THEN replace(title, ' ', ' bright ') ELSE title END"
+
+
+@query(P + f"""SELECT track_id AS id, {_RENAMED} AS title FROM tracks WHERE flag <> 'R' AND {_has(_RENAMED, 'br', 'b')}""")
+def index_upkeep(t: Tables) -> DataFrame:
+    """Songs by words as prefixes, after batches that rename a seventh of them, take the returned ones away and rename some twice."""
+    from tessera.operators import postings
+
+    rows = t.tracks.select(F.lit("song").alias("kind"), F.col("track_id").alias("id"), "title", F.col("title").alias("text"), F.array().cast("array<struct<field:string,token:string>>").alias("terms"), F.lit(0).alias("seq"), (F.lit(False)).alias("deleted"), "flag")
+    renamed = rows.where("id % 7 = 0").withColumn("title", F.expr("replace(title, ' ', ' bright ')"))
+    renamed = renamed.withColumns({"text": F.col("title"), "seq": F.lit(2)}).unionByName(rows.where("id % 7 = 0").withColumns({"text": F.lit("broken br b"), "seq": F.lit(1)}))
+    gone = rows.where("flag = 'R'").withColumn("deleted", F.lit(True))
+    return postings.found(t.spark, _index(t, rows.drop("flag"), renamed.drop("flag"), gone.drop("flag")), "br b").select("id", "title")
