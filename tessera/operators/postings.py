@@ -44,25 +44,16 @@ def apply(spark: SparkSession, path: str, epoch: int, changes: DataFrame) -> Non
     new = postings(last.where("NOT deleted"))
     if segments.due(before):
         replaced = last.select(KEY)
-        new = new.unionByName(live(spark, path, before).join(replaced, KEY, "left_anti").select(new.columns))
+        new = new.unionByName(segments.live(spark, path, "postings", before).join(replaced, KEY, "left_anti").select(new.columns))
         before = []
     ids = last.select(*KEY)
     sort = ["field", "token", *KEY, "position"]
     segments.commit(spark, path, epoch, {"postings": segments.Part(new, sort), "ids": segments.Part(ids, KEY)}, before, "postings")
 
 
-def live(spark: SparkSession, path: str, listed: Sequence[segments.Segment] | None = None, where: Column | None = None) -> DataFrame:
-    """Postings that count: of each segment those whose ids no later one replaces. The filter goes to each scan."""
-    out, later = None, None
-    for segment in reversed(segments.listed(spark, path) if listed is None else listed):
-        rows, ids = segments.read(spark, path, segment, "postings"), segments.read(spark, path, segment, "ids")
-        rows = rows if where is None else rows.where(where)
-        rows = rows if later is None else rows.join(later, KEY, "left_anti")
-        later = ids if later is None else ids.unionByName(later)
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise FileNotFoundError(f"no index at {path}")
-    return out
+def live(spark: SparkSession, path: str, where: Column | None = None) -> DataFrame:
+    """Postings that count."""
+    return segments.live(spark, path, "postings", where=where)
 
 
 def phrases(text: str, most: int = 12) -> list[list[str]]:

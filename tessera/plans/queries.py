@@ -1402,3 +1402,36 @@ def index_upkeep(t: Tables) -> DataFrame:
     renamed = renamed.withColumns({"text": F.col("title"), "seq": F.lit(2)}).unionByName(rows.where("id % 7 = 0").withColumns({"text": F.lit("broken br b"), "seq": F.lit(1)}))
     gone = rows.where("flag = 'R'").withColumn("deleted", F.lit(True))
     return postings.found(t.spark, _index(t, rows.drop("flag"), renamed.drop("flag"), gone.drop("flag")), "br b").select("id", "title")
+
+
+# Projections kept up by signed deltas, after four batches: all songs, other genres and titles for a seventh, returned ones deleted, some of them back.
+
+
+@query(P + """, f AS (SELECT track_id, album_id, CASE WHEN track_id % 7 = 0 AND flag <> 'R' THEN 'LIVE' ELSE genre END AS genre, CASE WHEN track_id % 7 = 0 AND flag <> 'R' THEN 'a ' || title ELSE title END AS title FROM tracks WHERE flag <> 'R' OR track_id % 21 = 0)
+SELECT 'genre' AS view, genre AS grp, NULL::VARCHAR AS value, count(*) AS n FROM f GROUP BY genre
+UNION ALL SELECT 'order', album_id::VARCHAR, min(lower(title)), count(*) FROM f GROUP BY album_id
+UNION ALL SELECT 'revision', album_id::VARCHAR, NULL, sum(1 + (track_id % 7 = 0)::INT + (flag = 'R')::INT + (flag = 'R' AND track_id % 21 = 0)::INT) FROM tracks GROUP BY album_id""")
+def maintained_projection(t: Tables) -> DataFrame:
+    from tessera.operators import projections
+
+    path = f"{graph.shared_dir(t.spark).rstrip('/')}/projections-{uuid.uuid4().hex}"
+    for epoch, batch in enumerate(_track_changes(t)):
+        projections.apply(t.spark, path, epoch, batch, ["track_id"], PROJECTIONS, ["album_id"])
+    found = {"genre": projections.contents(t.spark, path, "genre").withColumnRenamed("weight", "n"), "order": projections.first_values(t.spark, path, "order"), "revision": projections.contents(t.spark, path, projections.REVISION).select("grp", F.lit(None).cast("string").alias("value"), F.col("weight").alias("n"))}
+    parts = [df.select(F.lit(name).alias("view"), "grp", "value", "n") for name, df in found.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+PROJECTIONS = {
+    "genre": lambda rows: rows.select(F.col("genre").alias("grp"), F.lit(None).alias("value")),
+    "order": lambda rows: rows.select(F.col("album_id").alias("grp"), F.lower("title").alias("value")),
+}
+
+
+def _track_changes(t: Tables) -> list[DataFrame]:
+    rows = t.tracks.select("track_id", "album_id", "title", "genre", "flag", F.lit(0).alias("seq"), F.lit(False).alias("deleted"))
+    seventh = rows.where("track_id % 7 = 0").withColumns({"genre": F.lit("LIVE"), "title": F.concat(F.lit("a "), "title"), "seq": F.lit(1)})
+    gone = rows.where("flag = 'R'").withColumns({"deleted": F.lit(True), "seq": F.lit(2)})
+    back = rows.where("flag = 'R' AND track_id % 21 = 0").withColumn("seq", F.lit(3))
+    late = rows.where("track_id % 7 = 0").withColumns({"genre": F.lit("LATE"), "seq": F.lit(0)})
+    return [batch.drop("flag") for batch in (rows, seventh, gone, back.unionByName(late))]

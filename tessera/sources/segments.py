@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import incremental
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,43 @@ def read(spark: SparkSession, path: str, segment: Segment, part: str) -> DataFra
     return spark.read.parquet(f"{path}/data/{segment.name}/{part}")
 
 
+def live(spark: SparkSession, path: str, part: str, segments: Sequence[Segment] | None = None, where: Column | None = None) -> DataFrame:
+    """Rows of a part that count: of each segment those whose keys, in its part "ids", no later one has. The filter goes to each scan."""
+    out, later = None, None
+    for segment in reversed(listed(spark, path) if segments is None else segments):
+        rows, ids = read(spark, path, segment, part), read(spark, path, segment, "ids")
+        rows = rows if where is None else rows.where(where)
+        rows = rows if later is None else rows.join(later, ids.columns, "left_anti").select(rows.columns)
+        later = ids if later is None else ids.unionByName(later)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise FileNotFoundError(f"no segments at {path}")
+    return out
+
+
+def of_keys(spark: SparkSession, path: str, part: str, segments: Sequence[Segment], keys: DataFrame) -> DataFrame:
+    """live() for the given keys (one row each) only. The range of their first column is taken first, so that scans skip what lies outside it."""
+    first = keys.columns[0]
+    low, high = keys.agg(F.min(first), F.max(first)).first()
+    return live(spark, path, part, segments, F.lit(False) if low is None else F.col(first).between(low, high)).join(keys, keys.columns, "left_semi")
+
+
+def refuse_nulls(rows: DataFrame, key: Sequence[str]) -> None:
+    if not rows.where(" OR ".join(f"`{c}` IS NULL" for c in key)).isEmpty():
+        raise ValueError("null in a key")
+
+
+def upsert(spark: SparkSession, path: str, epoch: int, batch: DataFrame, key: Sequence[str], order: Sequence[str]) -> None:
+    """Keeps a table of the last row of each key by order, in the part "rows"; late rows change nothing. Keys must not be null: rows with a null one are refused."""
+    rows = incremental.latest(batch, key, order)
+    refuse_nulls(rows, key)
+    before = listed(spark, path, before=epoch)
+    if before:
+        old = live(spark, path, "rows", before) if due(before) else of_keys(spark, path, "rows", before, rows.select(*key))
+        rows = incremental.latest(old.unionByName(rows), key, order)
+    commit(spark, path, epoch, {"rows": Part(rows, key), "ids": Part(rows.select(*key), key)}, [] if due(before) else before, "rows")
+
+
 def commit(spark: SparkSession, path: str, epoch: int, parts: Mapping[str, Part], keep: Sequence[Segment], sized_by: str) -> Segment:
     """Writes a segment and the manifest of the epoch: the segments to keep and this one. sized_by is the part whose rows count as the segment's size."""
     name = f"e={epoch}"

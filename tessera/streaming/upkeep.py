@@ -2,44 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tessera.operators import incremental
+from tessera.operators import projections
+from tessera.sources import segments
 
 
-def keep_latest(stream: DataFrame, path: str, key: Sequence[str], order: Sequence[str], buckets: int = 64) -> DataStreamWriter:
-    """Keeps a table of the last row of each key, read by latest_state(). Keys are hashed into buckets and a batch rewrites only those it touches (path/v=N/bucket=B);
-    its manifest names the version of every bucket. A batch that runs again writes the same, and readers see a batch whole or not at all."""
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-        new = incremental.latest(batch, key, order)
-        touched = {r[0] for r in new.select(bucket).distinct().collect()}
-        versions = _versions(spark, path, epoch) if epoch else {}
-        if old := [f"{path}/v={versions[b]}/bucket={b}" for b in sorted(touched & versions.keys())]:
-            new = incremental.latest(spark.read.parquet(*old).unionByName(new), key, order)
-        new.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={epoch}")
-        rows = sorted((versions | dict.fromkeys(touched, epoch)).items())
-        spark.createDataFrame(rows, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/epoch={epoch}")
-
-    return stream.writeStream.foreachBatch(write)
-
-
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """Bucket to version by the newest manifest, of the batches before one if given: as many rows as there are buckets."""
-    rows = spark.read.parquet(f"{path}/manifest")
-    rows = rows if before is None else rows.where(F.col("epoch") < before)
-    newest = rows.agg(F.max("epoch")).first()[0]
-    return {r.bucket: r.version for r in rows.where(F.col("epoch") == newest).collect()}
+def keep_latest(stream: DataFrame, path: str, key: Sequence[str], order: Sequence[str]) -> DataStreamWriter:
+    """Keeps a table of the last row of each key, read by latest_state(), in sorted segments: a batch adds one with the keys that it touches, and segments are
+    merged and old ones deleted as they grow. A batch that runs again writes the same, and readers see a batch whole or not at all."""
+    return stream.writeStream.foreachBatch(lambda batch, epoch: segments.upsert(batch.sparkSession, path, epoch, batch, key, order))
 
 
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
     """The table that keep_latest() keeps."""
-    return spark.read.parquet(*[f"{path}/v={v}/bucket={b}" for b, v in sorted(_versions(spark, path).items())])
+    return segments.live(spark, path, "rows")
+
+
+def keep_projections(stream: DataFrame, path: str, key: Sequence[str], views: Mapping[str, projections.View], revised: Sequence[str] = ()) -> DataStreamWriter:
+    """Keeps projections of a stream of changes (projections.apply)."""
+    return stream.writeStream.foreachBatch(lambda batch, epoch: projections.apply(batch.sparkSession, path, epoch, batch, key, views, revised))
 
 
 def stale_subjects(stream: DataFrame, dependencies: DataFrame, depends_on: str, subject: str, path: str) -> DataStreamWriter:

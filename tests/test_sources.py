@@ -51,7 +51,7 @@ def test_latest_state_and_stale_subjects(spark, tmp_path):
     query = upkeep.keep_latest(stream_of(spark, tmp_path, "k int, v string, n int"), f"file://{tmp_path}/state", ["k"], ["n"]).option("checkpointLocation", f"file://{tmp_path}/c1").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r.k, r.v) for r in upkeep.latest_state(spark, f"file://{tmp_path}/state").collect()) == [(1, "c"), (2, "b"), (3, "d")]
-    assert len(list((tmp_path / "state" / "v=1").glob("bucket=*"))) < 3
+    assert len(list((tmp_path / "state" / "manifest").glob("e=*"))) == 2
     dependencies = spark.createDataFrame([(1, "x"), (1, "y"), (4, "z")], "k int, subject string")
     query = upkeep.stale_subjects(stream_of(spark, tmp_path, "k int, v string, n int"), dependencies, "k", "subject", f"file://{tmp_path}/stale").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
     query.awaitTermination(60)
