@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental
+from tessera.operators.graph import cut
 from tessera.sources import segments
 
 #: Rows of the base table to (grp, value), both strings; each row of the result weighs one.
@@ -41,6 +42,7 @@ def apply(spark: SparkSession, path: str, epoch: int, changes: DataFrame, key: S
     else:
         both = new.withColumns({"old_seq": F.lit(None).cast("long"), "was_gone": F.lit(True), "old": F.lit(None).cast(rows.select(now.alias("s")).schema["s"].dataType)})
     both = both.withColumns({"old": F.when(~F.coalesce("was_gone", F.lit(True)), F.col("old")), "kept": F.when(~F.col("gone"), F.col("new"))})
+    both = cut(both)  # every view reads it twice
     side = lambda c: both.where(F.col(c).isNotNull() & ~F.col("old").eqNullSafe(F.col("kept"))).select(*key, f"{c}.*")
     signed = [_given(view, side(c)).select(F.lit(name).alias("view"), "grp", "value", F.lit(sign).alias("weight")) for name, view in views.items() for c, sign in (("old", -1), ("kept", 1))]
     for column in revised:
