@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import score_tier, search_tokens
 from tessera.operators import incremental
+from tessera.operators.graph import cut
 from tessera.operators.search import CONTEXT_SCORE, SEEDS, best
 from tessera.sources import segments
 
@@ -39,7 +40,7 @@ def apply(spark: SparkSession, path: str, epoch: int, changes: DataFrame) -> Non
     replaces; once segments are many or large, all of them and the batch are merged into one and the old postings go. A batch
     that runs again gives the same index; epochs must rise, but needn't start at 0 or be without gaps.
     """
-    last = incremental.latest(changes.withColumn("deleted", F.coalesce("deleted", F.lit(False))), KEY, ["seq", "deleted"])
+    last = cut(incremental.latest(changes.withColumn("deleted", F.coalesce("deleted", F.lit(False))), KEY, ["seq", "deleted"]))  # read by both parts, and again to find their ranges
     before = segments.listed(spark, path, before=epoch)
     new = postings(last.where("NOT deleted"))
     if segments.due(before):

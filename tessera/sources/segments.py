@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental
+from tessera.operators.graph import cut
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,7 @@ def upsert(spark: SparkSession, path: str, epoch: int, batch: DataFrame, key: Se
     if before:
         old = live(spark, path, "rows", before) if due(before) else of_keys(spark, path, "rows", before, rows.select(*key))
         rows = incremental.latest(old.unionByName(rows), key, order)
+    rows = cut(rows)
     commit(spark, path, epoch, {"rows": Part(rows, key), "ids": Part(rows.select(*key), key)}, [] if due(before) else before, "rows")
 
 
