@@ -56,6 +56,36 @@ def selected(rows: DataFrame, programs: DataFrame) -> DataFrame:
     return left.join(displaced, ["group", "program"], "left_anti").select("group", "program")
 
 
+def album_outcomes(checks: DataFrame, tracks: DataFrame, programs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(group, track, withheld, outcome, recording_status, recording) for each of tracks (group, track), decided for an album's tracks together.
+
+    checks are inspected() pairs with recording, occurrence (ids, null: none given) and p_key (the provider's title as a key); programs has group,
+    program, complete; chosen, the programmes of selected(), group and program. One incomplete programme withholds every track of its album: it could
+    hold a second mapping of any. Of the others, a track that one chosen programme maps twice is ambiguous, one that none maps has no confident match, one
+    with a contradicting identity is conflicting. Titles that differ with no exact one and no id that all mappings share are ambiguous too. A recording
+    is named only if all mappings give it, all occurrences are supported and no length speaks against it; a length doesn't where the title is exact and the
+    only such one, or the identity is trusted. Null flags count as false. Outcome and status names are fixed.
+    """
+    partial = programs.groupBy("group").agg(F.max(~F.coalesce("complete", F.lit(False))).alias("withheld"))
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    key = ["group", "program", "track"]
+    exact = checks.groupBy(*key).agg(F.sum(no("exact_title").cast("int")).alias("exacts"))
+    rows = mapped(checks.join(chosen.select("group", "program").distinct(), ["group", "program"], "left_semi")).join(exact, key)
+    blocked = no("duration_mismatch") & ~no("trusted") & ~((F.col("exacts") == 1) & no("exact_title"))
+    known = lambda c: [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.count(c).alias(f"{c}_n")]
+    per = rows.groupBy(*key).agg(F.count("*").alias("n"), F.max(no("identity_conflict")).alias("conflict"), F.max(blocked).alias("blocked"), F.min(no("occurrence_supported")).alias("supported"), F.max(no("exact_title")).alias("exact"), *known("recording"), *known("occurrence"), *known("p_key"))
+    joined = lambda c: [F.min(f"{c}_min").alias(f"{c}_min"), F.max(f"{c}_max").alias(f"{c}_max"), F.sum(f"{c}_n").alias(f"{c}_n")]
+    one = per.groupBy("group", "track").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.max("conflict").alias("conflict"), F.max("blocked").alias("blocked"), F.min("supported").alias("supported"), F.max("exact").alias("exact"), *joined("recording"), *joined("occurrence"), *joined("p_key"))
+    same = lambda c: F.coalesce((F.col(f"{c}_n") == F.col("n")) & (F.col(f"{c}_min") == F.col(f"{c}_max")), F.lit(False))
+    out = tracks.select("group", "track").distinct().join(one, ["group", "track"], "left").join(partial, "group", "left").withColumn("withheld", no("withheld"))
+    unclear = ~same("recording") & ~(same("occurrence") & F.col("supported")) & ~F.col("exact") & ~same("p_key")
+    outcome = F.when(F.col("withheld") | F.col("n").isNull(), "no_confident_match").when(F.col("most") > 1, "ambiguous").when(F.col("conflict"), "conflicting_identity").when(unclear, "ambiguous").otherwise("matched")
+    apart = F.coalesce(F.col("recording_min") != F.col("recording_max"), F.lit(False))
+    status = F.when(F.col("recording_n") == 0, "not_provided").when(apart | ~F.col("supported"), "ambiguous").when(F.col("blocked"), "duration_mismatch").when(same("recording"), "identified").otherwise("ambiguous")
+    out = out.withColumn("outcome", outcome).withColumn("recording_status", F.when(F.col("outcome") == "matched", status))
+    return out.select("group", "track", "withheld", "outcome", "recording_status", F.when(F.col("recording_status") == "identified", F.col("recording_min")).alias("recording"))
+
+
 def recording_certainty(rows: DataFrame) -> DataFrame:
     """(track, certainty, recording): rows are corresponding programme rows of a track: recording (null: none given), complete, context, artist_trusted, version, duration, conflict, known (array of the track's own). Observations of incomplete programmes count against, never for."""
     full = F.col("complete")

@@ -810,7 +810,7 @@ def _program_checks(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 _PROGRAMS = P + """, lo AS (SELECT album_id AS g, track_id AS tr, title, disc, number, qty * 1000 AS ms FROM tracks),
 li AS (SELECT album_id AS g, program, CASE WHEN program = 1 AND number % 3 = 0 THEN 'other' ELSE title END AS pt, disc AS pd, number AS pn, qty * 1000 + CASE WHEN program = 1 AND flag = 'R' THEN 5000 ELSE 0 END AS pms FROM tracks, (VALUES (0), (1)) v(program)),
-ch AS (SELECT lo.g, program, tr, (number = pn AND disc = pd) OR (disc = 1 AND number = pn) AS pos, abs(ms - pms) > 3000 AS mis FROM lo JOIN li ON lo.g = li.g AND title = pt),
+ch AS (SELECT lo.g, program, tr, (number = pn AND disc = pd) OR (disc = 1 AND number = pn) AS pos, abs(ms - pms) > 3000 AS mis, pn FROM lo JOIN li ON lo.g = li.g AND title = pt),
 mp AS (SELECT * FROM (SELECT *, max(pos) OVER (PARTITION BY g, program, tr) AS p FROM ch) WHERE pos OR NOT p),
 one AS (SELECT g, program, tr, any_value(pos) AS pos, any_value(mis) AS mis FROM mp GROUP BY 1, 2, 3 HAVING count(*) = 1),
 ag AS (SELECT lo.g, v.program, lo.tr, CASE WHEN pos IS NULL THEN 0 WHEN pos THEN 3 ELSE 1 END AS agreement, coalesce(mis, false) AS mismatch, coalesce(pos, false) AS exact_place FROM lo CROSS JOIN (VALUES (0), (1)) v(program) LEFT JOIN one ON one.g = lo.g AND one.tr = lo.tr AND one.program = v.program)
@@ -835,6 +835,25 @@ def program_selection(t: Tables) -> DataFrame:
     return programs.selected(programs.agreements(checks, tracks), known)
 
 
+@query(_PROGRAMS + """, fi AS (SELECT g, program, sum(mismatch::INT) AS mi, sum(exact_place::INT) AS ex FROM ag WHERE g % 5 <> 0 GROUP BY 1, 2),
+sel AS (SELECT g, program FROM fi a WHERE NOT EXISTS (SELECT 1 FROM fi b WHERE b.g = a.g AND b.program <> a.program AND b.ex >= 3 AND b.ex > a.ex AND b.mi <= a.mi
+  AND NOT EXISTS (SELECT 1 FROM ag x JOIN ag y ON x.g = y.g AND x.tr = y.tr WHERE x.g = a.g AND x.program = a.program AND y.program = b.program AND y.agreement < x.agreement))),
+mm AS (SELECT g, program, tr, mis, u, CASE WHEN pn % 4 <> 0 THEN pn * 10 + CASE WHEN pn % 5 = 0 THEN program ELSE 0 END END AS rec FROM mp JOIN sel USING (g, program) JOIN (SELECT g, program, tr, count(*) AS u FROM ch GROUP BY ALL) USING (g, program, tr)),
+pr AS (SELECT g, tr, max(n) AS n FROM (SELECT g, program, tr, count(*) AS n FROM mm GROUP BY ALL) GROUP BY 1, 2),
+fo AS (SELECT g, tr, count(DISTINCT rec) AS recs, count(rec) AS given, count(*) AS c, bool_or(mis AND u <> 1) AS blocked, min(rec) AS rec FROM mm GROUP BY 1, 2),
+oc AS (SELECT lo.g, lo.tr, lo.g % 5 = 0 AS withheld, CASE WHEN lo.g % 5 = 0 OR n IS NULL THEN 'no_confident_match' WHEN n > 1 THEN 'ambiguous' WHEN lo.tr % 11 = 0 THEN 'conflicting_identity' ELSE 'matched' END AS outcome,
+  CASE WHEN given = 0 THEN 'not_provided' WHEN recs > 1 THEN 'ambiguous' WHEN blocked THEN 'duration_mismatch' WHEN given = c THEN 'identified' ELSE 'ambiguous' END AS status, rec FROM lo LEFT JOIN pr USING (g, tr) LEFT JOIN fo USING (g, tr))
+SELECT g AS "group", tr AS track, withheld, outcome, CASE WHEN outcome = 'matched' THEN status END AS recording_status, CASE WHEN outcome = 'matched' AND status = 'identified' THEN rec END AS recording FROM oc""")
+def album_track_outcomes(t: Tables) -> DataFrame:
+    from tessera.operators import programs
+
+    checks, tracks, known = _program_checks(t)
+    chosen = programs.selected(programs.agreements(checks, tracks), known)
+    n = F.col("p_number").cast("long")
+    given = checks.withColumns({"recording": F.when(n % 4 != 0, n * 10 + F.when(n % 5 == 0, F.col("program")).otherwise(0)), "occurrence": F.lit(None).cast("long"), "p_key": F.col("p_title"), "identity_conflict": F.col("track") % 11 == 0})
+    return programs.album_outcomes(given, tracks, known, chosen)
+
+
 @query("""WITH r AS (SELECT l_partkey AS track, CASE WHEN l_tax > 0.02 THEN l_suppkey % 2 END AS recording, l_linenumber <> 4 AS complete, l_quantity > 1 AS context, l_discount < 0.1 AS artist, l_quantity = 50 AS version, l_quantity = 49 AS duration FROM lineitem),
 g AS (SELECT track, list_sort(list(DISTINCT recording) FILTER (recording IS NOT NULL)) AS ids, max(complete AND recording IS NULL) AS lacks, sum(complete::INT) AS support, max(NOT complete) AS sampled, min(NOT complete OR context) AS context, min(NOT complete OR artist) AS artist, max(complete AND version) AS version, max(complete AND duration) AS duration FROM r GROUP BY 1),
 c AS (SELECT track, ids, CASE WHEN track % 2 = 0 AND len(list_filter(coalesce(ids, []), lambda i: i <> 1)) > 0 THEN 'conflicting_identity' WHEN coalesce(len(ids), 0) > 1 OR lacks THEN 'recording_ambiguous' WHEN support = 0 THEN CASE WHEN sampled THEN 'incomplete_evidence' ELSE 'no_correspondence' END WHEN NOT context THEN 'insufficient_context' WHEN NOT artist THEN 'artist_untrusted'

@@ -77,3 +77,26 @@ def test_all_decisions_against_brute_force(spark):
     assert len({r[3] for r in rows}) == 11
     fits = {r.group_id: r.compatible for r in programs.compatible_programs(decisions, program).collect()}
     assert fits == {g: fit for g, (_, fit) in want.items()} and len(set(fits.values())) == 2
+
+
+def test_album_outcomes(spark):
+    from tessera.operators import programs
+
+    columns = "group int, program int, track int, considered boolean, trusted boolean, exact_title boolean, position boolean, identity_conflict boolean, duration_mismatch boolean, occurrence_supported boolean, recording int, occurrence int, p_key string"
+    row = lambda track, program=0, group=1, exact=True, at=True, conflict=False, off=False, supported=True, rec=None, occ=None, key="k", trusted=False: (group, program, track, True, trusted, exact, at, conflict, off, supported, rec, occ, key)
+    checks = [
+        row(1, rec=7), row(1, 1, rec=7), row(2, rec=7), row(2, 1, rec=8), row(3, rec=7), row(3), row(4, conflict=True, rec=7), row(5, rec=7), row(5, 1), row(6),
+        row(7, exact=False, key="a"), row(7, 1, exact=False, key="b"), row(8, exact=False, key="a", occ=3), row(8, 1, exact=False, key="b", occ=3), row(9, exact=False, off=True, rec=7), row(10, off=True, rec=7), row(11, supported=False, rec=7), row(12, 2, rec=7),
+        row(1, group=2, rec=7), row(2, 1, group=2, rec=7),
+    ]
+    tracks = spark.createDataFrame([(1, k) for k in range(1, 14)] + [(2, 1), (2, 2), (1, 1), (3, 1)], "group int, track int")
+    known = spark.createDataFrame([(1, 0, True), (1, 1, True), (1, 2, True), (2, 0, True), (2, 1, False)], "group int, program int, complete boolean")
+    chosen = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "group int, program int")
+    got = {(r.group, r.track): tuple(r)[2:] for r in programs.album_outcomes(spark.createDataFrame(checks, columns), tracks, known, chosen).collect()}
+    matched = lambda status, rec=None: (False, "matched", status, rec)
+    none = (False, "no_confident_match", None, None)
+    assert got == {
+        (1, 1): matched("identified", 7), (1, 2): matched("ambiguous"), (1, 3): (False, "ambiguous", None, None), (1, 4): (False, "conflicting_identity", None, None), (1, 5): matched("ambiguous"), (1, 6): matched("not_provided"),
+        (1, 7): (False, "ambiguous", None, None), (1, 8): matched("not_provided"), (1, 9): matched("duration_mismatch"), (1, 10): matched("identified", 7), (1, 11): matched("ambiguous"), (1, 12): none, (1, 13): none,
+        (2, 1): (True, "no_confident_match", None, None), (2, 2): (True, "no_confident_match", None, None), (3, 1): none,
+    }
