@@ -33,16 +33,19 @@ def postings(rows: DataFrame) -> DataFrame:
     return words.select(columns).unionByName(terms.where("token IS NOT NULL").select(columns))
 
 
-def apply(spark: SparkSession, path: str, epoch: int, changes: DataFrame) -> None:
+def apply(spark: SparkSession, path: str, epoch: int, changes: DataFrame, links: DataFrame | None = None) -> None:
     """Takes a batch of changes (kind, id, title, text, terms, seq, deleted) into the index at path; into an empty one, the batch is its base.
 
     Of several changes of one (kind, id) the last by seq counts; null deleted is false. The batch becomes a segment with the ids it
-    replaces; once segments are many or large, all of them and the batch are merged into one and the old postings go. A batch
+    replaces; links (kind, id, field, token) are more terms of the batch's rows, for rows that have too many for an array; once segments are many or large, all of them and the batch are merged into one and the old postings go. A batch
     that runs again gives the same index; epochs must rise, but needn't start at 0 or be without gaps.
     """
     last = cut(incremental.latest(changes.withColumn("deleted", F.coalesce("deleted", F.lit(False))), KEY, ["seq", "deleted"]))  # read by both parts, and again to find their ranges
     before = segments.listed(spark, path, before=epoch)
     new = postings(last.where("NOT deleted"))
+    if links is not None:
+        named = links.where("token IS NOT NULL").select(*KEY, "field", "token").distinct().join(last.where("NOT deleted").select(*KEY, "title"), KEY)
+        new = new.unionByName(named.withColumn("position", F.lit(0)).select(new.columns))
     if segments.due(before):
         replaced = last.select(KEY)
         new = new.unionByName(segments.live(spark, path, "postings", before).join(replaced, KEY, "left_anti").select(new.columns))

@@ -1364,25 +1364,26 @@ def _reevaluation(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 # The sorted prefix index. A query writes the index of its tables to the shared folder, then reads it.
 
 
-def _indexed(t: Tables) -> DataFrame:
-    """Saved songs, their albums and artists with the links between them."""
+def _indexed(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Saved songs, their albums and artists, and the links between them, a row each: no list of an album's or artist's links is gathered."""
     saved = sets.having(t.tracks, t.saved, ["track_id"])
     credits = t.credits.join(saved.select("track_id", "album_id"), "track_id")
-    term = lambda field, c: F.struct(F.lit(field).alias("field"), F.col(c).cast("string").alias("token"))
-    linked = lambda by: credits.select(by, "artist_id").distinct().groupBy(by).agg(F.collect_set(term("artist", "artist_id")).alias("terms"))
     row = lambda kind, c, title: [F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"), F.col(title).alias("title"), F.col(title).alias("text")]
-    songs = saved.join(linked("track_id"), "track_id", "left").select(*row("song", "track_id", "title"), F.concat(F.coalesce("terms", F.array().cast("array<struct<field:string,token:string>>")), F.array(term("album", "album_id"))).alias("terms"))
-    albums = t.albums.join(saved.select("album_id").distinct(), "album_id", "left_semi").join(linked("album_id"), "album_id", "left").select(*row("album", "album_id", "title"), "terms")
-    artists = t.artists.join(credits.select("artist_id"), "artist_id", "left_semi").select(*row("artist", "artist_id", "name"), F.array().cast("array<struct<field:string,token:string>>").alias("terms"))
-    return songs.unionByName(albums).unionByName(artists).withColumns({"seq": F.lit(0), "deleted": F.lit(False)})
+    link = lambda rows, kind, c, field, to: rows.select(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"), F.lit(field).alias("field"), F.col(to).cast("string").alias("token"))
+    songs = saved.select(*row("song", "track_id", "title"))
+    albums = t.albums.join(saved.select("album_id"), "album_id", "left_semi").select(*row("album", "album_id", "title"))
+    artists = t.artists.join(credits.select("artist_id"), "artist_id", "left_semi").select(*row("artist", "artist_id", "name"))
+    links = link(saved, "song", "track_id", "album", "album_id").unionByName(link(credits, "song", "track_id", "artist", "artist_id")).unionByName(link(credits, "album", "album_id", "artist", "artist_id"))
+    none = F.array().cast("array<struct<field:string,token:string>>")
+    return songs.unionByName(albums).unionByName(artists).withColumns({"terms": none, "seq": F.lit(0), "deleted": F.lit(False)}), links
 
 
-def _index(t: Tables, *batches: DataFrame) -> str:
+def _index(t: Tables, *batches: DataFrame, links: DataFrame | None = None) -> str:
     from tessera.operators import postings
 
     path = f"{graph.shared_dir(t.spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     for epoch, batch in enumerate(batches):
-        postings.apply(t.spark, path, epoch, batch)
+        postings.apply(t.spark, path, epoch, batch, links if epoch == 0 else None)
     return path
 
 
@@ -1390,7 +1391,8 @@ def _index(t: Tables, *batches: DataFrame) -> str:
 def indexed_sections(t: Tables) -> DataFrame:
     from tessera.operators import postings
 
-    return postings.sections(t.spark, _index(t, _indexed(t)), "Supplier 0000")
+    rows, links = _indexed(t)
+    return postings.sections(t.spark, _index(t, rows, links=links), "Supplier 0000")
 
 
 def _beside(column: str, first: str, last: str) -> str:

@@ -63,7 +63,10 @@ def test_no_rows_no_index_and_links(spark, tmp_path):
     assert ids(spark, path, "a") == [] and postings.sections(spark, path, "a").count() == 0
     postings.apply(spark, path, 1, spark.createDataFrame([change(1, "a", terms=[("artist", "7"), ("artist", "7"), ("artist", None)]), change(2, None, terms=[("artist", "70")])], CHANGES))
     assert [r.id for r in postings.linked(spark, path, "artist", [7], "song").collect()] == [1]
-    postings.apply(spark, path, 2, spark.createDataFrame([change(1, "a", deleted=True)], CHANGES))
+    more = spark.createDataFrame([("song", 3, "artist", "7"), ("song", 3, "artist", "7"), ("song", 3, "artist", None), ("song", 1, "artist", "7"), ("song", 4, "artist", "7")], "kind string, id long, field string, token string")
+    postings.apply(spark, path, 2, spark.createDataFrame([change(1, "a", deleted=True), change(3, "c")], CHANGES), more)
+    assert postings.linked(spark, path, "artist", [7], "song").collect() == [(3, "c")]
+    postings.apply(spark, path, 3, spark.createDataFrame([change(3, "c", deleted=True)], CHANGES))
     assert postings.linked(spark, path, "artist", [7, 70], "song").collect() == [(2, None)]
 
 
