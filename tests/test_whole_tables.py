@@ -1,7 +1,9 @@
 """Registered queries on small tables whose answer needs every row."""
 
 import random
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 
 from tessera.operators import catalog, graph
@@ -73,3 +75,13 @@ def test_long_chains_are_closed(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long")
     got = graph.reachable(edges, spark.createDataFrame([(0,), (1001,), (5000,), (0,)], "seed long")).collect()
     assert sorted((r.seed, r.node) for r in got) == [(0, k) for k in range(301)] + [(1001, 1000), (1001, 1001), (5000, 5000)]
+
+
+def test_fresh_observations_round_seconds_as_the_twin(spark, tmp_path):
+    now, day = datetime(2024, 1, 30, 23, 59, 25, 500_000), timedelta(days=1)
+    seen = [now] + [now - day + timedelta(microseconds=u) for u in range(-2_500_000, 2_500_001, 250_000)] + [None]
+    spark.createDataFrame(list(enumerate(seen)), "event_id long, ts timestamp_ntz").write.parquet(f"file://{tmp_path}/events.parquet")
+    got = queries.QUERIES["fresh_observations"](spark, f"file://{tmp_path}").orderBy("event_id").collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    assert [tuple(r) for r in got] == con.execute(f"SELECT event_id, fresh FROM ({queries.ORACLES['fresh_observations']}) ORDER BY 1").fetchall()
