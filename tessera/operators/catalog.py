@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import sets
+from tessera.operators import graph, sets
 from tessera.operators.graph import cut
 
 IDENTITY = ["provider", "kind", "external_id"]
@@ -56,29 +56,35 @@ def saved_positions(wanted: DataFrame, tracks: DataFrame, saved: DataFrame, by_i
     return sets.distinct_union(wanted.join(mine, ["disc", "number"], "left_semi").select("disc", "number"), wanted.join(known, ["external_id"], "left_semi").select("disc", "number"))
 
 
-def mergeable(identities: DataFrame, owner: str) -> DataFrame:
+def mergeable(identities: DataFrame, owner: str, first: int = 512) -> DataFrame:
     """(owner, into): owners that share an identity and are merged into the smallest; a pair whose identities of some namespace differ without one in common is vetoed.
 
-    For each identity an owner is tried with the identity's owners from the smallest on and stops at the
-    first without a veto, or where a smaller one is known, so a hot identity costs a try for each owner and
-    not all pairs. A round tries one owner of each identity that is still open.
+    Owners are numbered in order and cut into blocks that double in size. A round joins the identities of the
+    owners not merged yet with those of one block, which gives all that a pair shares at once; owners that a
+    round merges need no later block, as those only hold larger ones. So each shared identity of a pair is met
+    once at most, and the rounds are as many as owners have binary digits.
     """
-    ids = cut(identities.select(F.col(owner).alias("x"), *IDENTITY).distinct().withColumn("place", F.row_number().over(Window.partitionBy(*IDENTITY).orderBy("x"))))
-    spaces = ids.select("x", "provider", "kind").distinct()
-    known, open_ = None, ids.where("place > 1").withColumn("at", F.lit(1))
-    while True:
-        tried = cut(open_.join(ids.select(F.col("x").alias("y"), *IDENTITY, F.col("place").alias("at")), [*IDENTITY, "at"]))
-        pairs = tried.select("x", "y").distinct()
-        both = pairs.join(spaces, "x").join(spaces.withColumnRenamed("x", "y"), ["y", "provider", "kind"])
-        shared = pairs.join(ids.drop("place"), "x").join(ids.select(F.col("x").alias("y"), *IDENTITY), ["y", *IDENTITY]).select("x", "y", "provider", "kind").distinct()
-        veto = both.join(shared, ["x", "y", "provider", "kind"], "left_anti").select("x", "y").distinct().withColumn("vetoed", F.lit(True))
-        judged = cut(tried.join(veto, ["x", "y"], "left"))
-        found = judged.where("vetoed is null").select("x", "y")
-        known = cut((found if known is None else known.unionByName(found)).groupBy("x").agg(F.min("y").alias("y")))
-        onward = judged.where("vetoed").join(known.withColumnRenamed("y", "best"), "x", "left").where("place > at + 1 and (best is null or y < best)")
-        open_ = onward.select("x", *IDENTITY, "place", (F.col("at") + 1).alias("at"))
-        if open_.isEmpty():
-            return known.select(F.col("x").alias(owner), F.col("y").alias("into"))
+    ids = identities.select(F.col(owner).alias("x"), *IDENTITY).where(F.col("x").isNotNull()).distinct()
+    numbers = graph.numbered(ids.select("x").distinct(), "x", "n")
+    # Blocks 1, 2, 3, ...: the first owners, as many again, twice as many and so on.
+    ids = cut(ids.join(numbers.withColumn("block", F.length(F.bin((F.col("n") / first).cast("long"))) + (F.col("n") >= first).cast("int")), "x").drop("x"))
+    spaces = cut(ids.where("provider is not null and kind is not null").groupBy("n").agg(F.collect_set(F.struct("provider", "kind")).alias("spaces")))
+    last = ids.agg(F.max("block")).first()[0] or 0
+    known = []
+    for block in range(1, last + 1):
+        open_ = ids.where(F.col("block") >= block)
+        for done in known:
+            open_ = open_.join(done, "n", "left_anti")
+        smaller = ids.where(F.col("block") == block).select(F.col("n").alias("m"), *IDENTITY)
+        pairs = open_.join(smaller, IDENTITY).where("m < n").groupBy("n", "m").agg(F.countDistinct("provider", "kind").alias("shared"))
+        common = F.size(F.array_intersect("spaces", "m_spaces"))
+        judged = pairs.join(spaces, "n").join(spaces.select(F.col("n").alias("m"), F.col("spaces").alias("m_spaces")), "m").where(common == F.col("shared"))
+        known.append(cut(judged.groupBy("n").agg(F.min("m").alias("m"))))
+    found = known[0] if known else ids.select("n", F.col("n").alias("m")).limit(0)
+    for more in known[1:]:
+        found = found.unionByName(more)
+    names = lambda n, name: numbers.select(F.col("n").alias(n), F.col("x").alias(name))
+    return found.join(names("n", owner), "n").join(names("m", "into"), "m").select(owner, "into")
 
 
 def fallback(attempts: DataFrame, subject: str) -> DataFrame:

@@ -68,9 +68,20 @@ def test_merging_against_all_pairs(spark):
         rows = [(rng.randrange(n), rng.choice("pqr"), "artist", rng.randrange(values)) for _ in range(3 * n)]
         table = spark.createDataFrame(rows + rows[:3], "owner long, provider string, kind string, external_id long")
         assert sorted(map(tuple, catalog.mergeable(table, "owner").collect())) == brute_merges(rows)
+        assert sorted(map(tuple, catalog.mergeable(table, "owner", first=4).collect())) == brute_merges(rows)
     assert catalog.mergeable(table.limit(0), "owner").count() == 0
 
 
+def test_a_veto_costs_no_round(spark, monkeypatch):
+    """Fifty owners of one identity, of which only the last two share another namespace: it doesn't take a round for each."""
+    rows = [(k, "p", "artist", 1) for k in range(50)] + [(k, "q", "artist", min(k, 48)) for k in range(50)]
+    calls, cut = [], graph.cut
+    for module in (catalog, graph):
+        monkeypatch.setattr(module, "cut", lambda df: calls.append(1) or cut(df))
+    got = catalog.mergeable(spark.createDataFrame(rows, "owner long, provider string, kind string, external_id long"), "owner").collect()
+    assert sorted(map(tuple, got)) == brute_merges(rows) == [(49, 48)] and len(calls) < 12
+
+
 def test_long_chains_are_closed(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001)], "a long, b long")
     got = graph.reachable(edges, spark.createDataFrame([(0,), (1001,), (5000,), (0,)], "seed long")).collect()
