@@ -60,3 +60,21 @@ def test_a_chain_and_no_tracks(spark):
     assert {r.track_id: r.round for r in got.collect()} == {0: None, **{k: k for k in range(1, 8)}}
     assert [(r.evaluated, r.accepted) for r in rounds.orderBy("round").collect()] == [(7, 1)] + [(1 + (k % 2 == 0), 1) for k in range(2, 8)] + [(0, 0)]
     assert fixpoint.reevaluate(tracks.limit(0), credits, programs)[0].count() == 0
+
+
+def test_rounds_only_read_what_was_kept_once(spark, monkeypatch):
+    """What a round writes is no larger than what it accepts and establishes: the pending tracks aren't rewritten."""
+    tracks = spark.createDataFrame([(k, k // 2, k == 0, False, k % 2 == 0, k % 2 == 1) for k in range(8)] + [(100 + k, 100 + k, False, False, True, False) for k in range(500)], TRACKS)
+    credits = spark.createDataFrame([(k, (k + 1) // 2) for k in range(8)], "track_id long, artist_id long")
+    programs = spark.createDataFrame([(a, 1) for a in range(4)], "album_id long, needed int")
+    sizes, name = [], next(n for n in ("kept", "cut") if hasattr(fixpoint, n))
+    keep = getattr(fixpoint, name)
+
+    def counted(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(fixpoint, name, counted)
+    got, _ = fixpoint.reevaluate(tracks, credits, programs)
+    assert got.where("state = 'accepted'").count() == 7 and sum(s >= 500 for s in sizes) == 1
