@@ -3,7 +3,10 @@
 import random
 from collections import Counter
 
+import pytest
+
 from tessera.operators import programs
+from tessera.plans import queries
 
 LOCAL = "group_id long, index int, title_key string, version string, duration_ms long, disc int, number int, identity string"
 
@@ -100,3 +103,10 @@ def test_album_outcomes(spark):
         (1, 7): (False, "ambiguous", None, None), (1, 8): matched("not_provided"), (1, 9): matched("duration_mismatch"), (1, 10): matched("identified", 7), (1, 11): matched("ambiguous"), (1, 12): none, (1, 13): none,
         (2, 1): (True, "no_confident_match", None, None), (2, 2): (True, "no_confident_match", None, None), (3, 1): none,
     }
+
+
+@pytest.mark.parametrize("name", ["positioned_program", "program_selection"])
+def test_sales_tables_are_read_once(spark, sf, name):
+    """All sides of a programme come from rows written once; lineitem isn't aggregated anew for each."""
+    files = queries.QUERIES[name](spark, sf).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
