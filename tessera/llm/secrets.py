@@ -3,7 +3,7 @@
 Candidates are long runs of token characters and quoted values after a secret's usual names. Features of
 a candidate: its length and characters, how likely its letters' transitions are in the texts, how much of
 it the texts' words cover, the path it lies under and the words around it. Transitions and words are learnt
-from a bounded sample of the texts; the forest is trained from labelled findings.
+from all texts; the forest is trained from labelled findings.
 """
 
 from __future__ import annotations
@@ -51,18 +51,15 @@ class Statistics:
     others: tuple[str, ...]
 
 
-def learn(docs: DataFrame, text_col: str = "text", sample_docs: int = 2000, most_words: int = 2000) -> Statistics:
-    """Statistics of about sample_docs different texts, chosen by hash and read whole; the driver gets 676 counts and most_words words at most.
+def learn(docs: DataFrame, text_col: str = "text", most_words: int = 2000) -> Statistics:
+    """Statistics of all different texts, each whole and counted once; the driver gets 676 counts and most_words words at most.
 
     Each of PAIRS counts as seen 20 times before any text; without texts no word is known. The words of CODE_WORDS are never in the dictionary.
     """
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
-    texts = rows.groupBy().agg(F.approx_count_distinct("key")).first()[0]
-    share = min(1.0, sample_docs / max(1, texts))
-    sample = rows.where(F.pmod(F.col("key"), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["key"])
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text")).distinct()
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     words = cut(words.where(F.length("word") > 1))
-    steps = words.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substr("word", i, F.lit(2)))).alias("step"))
+    steps = words.select("n", F.explode(F.regexp_extract_all("word", F.lit("(?=([a-z]{2}))"), F.lit(1))).alias("step"))
     counts = {r["step"]: r["n"] for r in steps.groupBy("step").agg(F.sum("n").alias("n")).collect()}  # 676 at most
     letters = [chr(97 + k) for k in range(_LETTERS)]
     seen = {a + b: counts.get(a + b, 0) + 20 * (a + b in PAIRS) + 0.5 for a in letters for b in letters}

@@ -101,6 +101,19 @@ def test_learning(spark):
     assert len(nothing.transitions) == 676 and not nothing.dictionary
 
 
+def test_learning_counts_every_text(spark):
+    """5,000 different texts, twice each, and a word of 300,000 letters: no text is left out, and long words take time as their length."""
+    numbers = [f"zebra{'q' * (k % 50)} {k}" for k in range(5000)]
+    texts = [*numbers, "xy" * 150_000]
+    began = time.time()
+    got = secrets.learn(documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts * 2)]))
+    assert time.time() - began < 60
+    prior = {c: 20 * ("z" + c in secrets.PAIRS) + 0.5 for c in map(chr, range(97, 123))}
+    assert got.transitions[25 * 26 + 4] == pytest.approx(math.log((5000 + prior["e"]) / (5000 + sum(prior.values()))))
+    x = {c: 20 * ("x" + c in secrets.PAIRS) + 0.5 for c in map(chr, range(97, 123))}
+    assert got.transitions[23 * 26 + 24] == pytest.approx(math.log((150_000 + x["y"]) / (150_000 + sum(x.values()))))
+
+
 def test_scores_are_the_trees(spark, known):
     labelled = secrets.labelled_findings(spark, 600)
     model = secrets.train(labelled, known, trees=5, depth=4)
