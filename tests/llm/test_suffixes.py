@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tessera.llm import suffixes
-from tessera.llm.induced import Minima, Queue, Scratch, suffix_array
+from tessera.llm.induced import Minima, Queue, Scratch, doubled, suffix_array
 from tests.llm.helpers import DOCS, documents, odd_documents
 
 
@@ -41,6 +41,28 @@ def test_names_recur_on_disk():
         assert (order.tolist(), shares.tolist()) == plain(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=50), st.integers(1, 6))
+def test_doubled(part, times):
+    text = part * times + [0]
+    order, shares = doubled(np.array(text, np.int32))
+    assert (order.tolist(), shares.tolist()) == plain(text)
+
+
+def test_rare_names_take_few_batches(monkeypatch):
+    """Changed copies of prose: their names are many and rare, and induction among them went in thousands of small batches."""
+    rng, batches, head = random.Random(4), [], Queue.head
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    prose = " ".join(rng.choice(words) for _ in range(20_000))
+    text = np.array([*(prose + prose[:50_000] + "x" + prose[50_000:]).encode(), 0], np.uint16)
+    monkeypatch.setattr(Queue, "head", lambda self, size: batches.append(1) or head(self, size))
+    with Scratch() as scratch:
+        order, shares = suffix_array(text, scratch)
+        assert len(batches) < 500
+        recursive = suffix_array(text, scratch, most=1 << 14)
+        assert np.array_equal(order, recursive[0]) and np.array_equal(shares, recursive[1])
+
+
 def test_queue_gives_records_in_order_whatever_goes_in_between():
     rng = np.random.default_rng(1)
     with Scratch(128) as scratch:
