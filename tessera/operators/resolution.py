@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import cut
+from tessera.operators.graph import released, together
 
 #: So many candidates of a page have their programmes examined.
 MOST_EXAMINED = 4
@@ -73,15 +73,23 @@ def related_programs(candidates: DataFrame, programs: DataFrame, tracks: DataFra
     """
     one = programs.groupBy(*_KEY).agg(F.count("*").alias("n"), F.min("complete").alias("whole"), F.min("program").alias("program")).where("n = 1 AND whole").select(*_KEY, "program")
     lists = tracks.join(one, [*_KEY, "program"])
-    place = Window.partitionBy("group", "candidate").orderBy("index")
-    lists = lists.withColumn("place", F.row_number().over(place))
+    own = Window.partitionBy("group", "candidate")
+    in_order = own.orderBy("index", "disc", "number", "title_key")
+    lists = lists.withColumn("place", F.row_number().over(in_order))
     mark = lambda *seed: F.sum(F.xxhash64(*seed, "place", "disc", "number", "title_key").cast("decimal(20,0)"))
-    signed = lists.groupBy(*_KEY).agg(
-        F.count("*").alias("size"), mark().alias("sign"), mark(F.lit("second")).alias("sign_2"), F.countDistinct("title_key").alias("titles"), F.countDistinct("disc", "number").alias("places"),
+    # Distinct values as ranks in the candidate's own order, nulls first and not counted: no rows are dealt again for them.
+    position = F.when(F.col("disc").isNotNull() & F.col("number").isNotNull(), F.struct("disc", "number"))
+    ranked = lists.withColumns({"position": position, "title_rank": F.dense_rank().over(own.orderBy("title_key"))}).withColumn("position_rank", F.dense_rank().over(own.orderBy("position")))
+    distinct = lambda rank, value: (F.max(rank) - F.max(F.col(value).isNull().cast("int"))).cast("long")
+    signed = ranked.groupBy(*_KEY, "program").agg(
+        F.count("*").alias("size"), mark().alias("sign"), mark(F.lit("second")).alias("sign_2"), distinct("title_rank", "title_key").alias("titles"), distinct("position_rank", "position").alias("places"),
         F.min(F.coalesce(F.col("number") > 0, F.lit(False))).alias("placed"), F.min(F.col("track_id").isNotNull()).alias("identified"), F.min(F.col("known_credits") & (F.col("credits") > 0)).alias("credited"), F.min(F.col("title_key") != "").alias("titled"),
         F.min(~F.col("approximate") & F.coalesce(F.col("duration_ms") > 0, F.lit(False))).alias("timed"))
     block = ["group", "size", "sign", "sign_2"]
-    sides = [lists.join(signed, _KEY).select(*block, F.col("candidate").alias(p), "place", *(F.col(c).alias(f"{p}_{c}") for c in ("disc", "number", "title_key", "track_id", "artist_ids", "lead_ids", "recordings", "isrcs", "duration_ms"))) for p in ("a", "b")]
+    met = F.count("*").over(Window.partitionBy(*block))
+    signed = released(signed.withColumn("met", met).where("met > 1").drop("met")).repartition("group")  # only these meet another
+    lists = tracks.join(signed.select(*block, "candidate", "program"), [*_KEY, "program"]).withColumn("place", F.row_number().over(in_order))
+    sides = [lists.select(*block, F.col("candidate").alias(p), "place", *(F.col(c).alias(f"{p}_{c}") for c in ("disc", "number", "title_key", "track_id", "artist_ids", "lead_ids", "recordings", "isrcs", "duration_ms"))) for p in ("a", "b")]
     pairs = sides[0].join(sides[1], [*block, "place"]).where("a < b")
     a, b = (lambda c, p=p: F.col(f"{p}_{c}") for p in "ab")
     equal = lambda c: a(c).eqNullSafe(b(c))
@@ -127,15 +135,21 @@ def resolve(candidates: DataFrame, programs: DataFrame, tracks: DataFrame) -> Da
     only compatible edition stands in where nothing else is left; programmes are examined (of four candidates at most, as the
     rule is); a fully matching programme rejects foreign ones; single credits beat the same programme with more credits; of
     comparable programmes those with fewer credits stay; equivalent ones collapse; dates decide between what remains. A page
-    with more to come vetoes all but a fully matching programme. Verdicts that several later steps read are cut off
-    by checkpoints, as each step would otherwise repeat all before it for each of its inputs.
+    with more to come vetoes all but a fully matching programme. Verdicts that several later steps read are written once, with what
+    these steps need, and dealt by group once for all of a step's windows and joins; so is the result, which is computed at once.
     """
+    with together(candidates.sparkSession):
+        return _resolved(candidates, programs, tracks)
+
+
+def _resolved(candidates: DataFrame, programs: DataFrame, tracks: DataFrame) -> DataFrame:
     c, no = F.col, F.lit(False)
     group = Window.partitionBy("group")
     count = lambda flag: F.sum(F.coalesce(flag, no).cast("int")).over(group)
-    pairs = cut(related_programs(candidates, programs, tracks))
-    both_ways = pairs.select("group", c("a").alias("candidate"), c("b").alias("other"), "same", "comparable", "equivalent").unionByName(pairs.select("group", c("b").alias("candidate"), c("a").alias("other"), "same", "comparable", "equivalent"))
-    rows = candidates.withColumns({"artist_ids": F.array_sort("artist_ids"), "reasons": _listed(_flags())})
+    candidates = candidates.withColumns({"artist_ids": F.array_sort("artist_ids"), "agreement": date_agreement(*(c(d) for d in _DATES))})
+    pairs = released(related_programs(*(x.repartition("group") for x in (candidates, programs, tracks))))
+    both_ways = pairs.select("group", c("a").alias("candidate"), c("b").alias("other"), "same", "comparable", "equivalent").unionByName(pairs.select("group", c("b").alias("candidate"), c("a").alias("other"), "same", "comparable", "equivalent")).repartition("group")
+    rows = candidates.drop(*_DATES).repartition("group").withColumn("reasons", _listed(_flags())).drop("kind", "title_key", "tracks", "type_conflict")
 
     # Credit order alone: the first accepted candidate with the same credits must be equivalent.
     free = rows.where(c("artist_accepted") & (F.size("reasons") == 0)).groupBy("group", "artist_ids").agg(F.min("candidate").alias("other"))
@@ -156,7 +170,7 @@ def resolve(candidates: DataFrame, programs: DataFrame, tracks: DataFrame) -> Da
     rows = rows.withColumn("stopped", stopped)
 
     # Programmes.
-    facts = _program_verdicts(programs.join(candidates.select(*_KEY, "required", "local_tracks"), _KEY))
+    facts = _program_verdicts(programs.repartition("group").join(candidates.select(*_KEY, "required", "local_tracks").repartition("group"), _KEY))
     rows = rows.join(facts, _KEY, "left").withColumn("seen", c("viable") & c("stopped").isNull())
     needed = F.when(c("title_class").isin("exact", "typography"), 0).when(c("title_class") == "playable_edition", 3).otherwise(F.greatest(F.lit(3), c("required") - 1))
     compatible = c("against").isNotNull() & (F.size("against") == 0)
@@ -177,22 +191,22 @@ def resolve(candidates: DataFrame, programs: DataFrame, tracks: DataFrame) -> Da
     rows = rows.withColumn("foreign", won & c("examined") & (F.size("reasons") > 0) & F.coalesce("foreign", no))
     rows = rows.withColumns({"reasons": F.when(c("foreign"), F.array(F.lit("track_title_mismatch"))).otherwise(c("reasons")), "decision": F.when(c("foreign"), "rejected").otherwise(c("decision")), "examined": c("examined") & ~c("foreign")})
 
-    rows = cut(rows)
+    rows = released(rows.select(*_KEY, "title_class", "artist_accepted", "artist_ids", "more_pages", "local_tracks", "agreement", "reasons", "decision", "examined", "stopped", "winning", "least_anchors", "most_anchors")).repartition("group")
 
     # Single credits beat the same programme with more; then fewer credits beat comparable programmes.
     single = rows.where(c("examined") & (F.size("reasons") == 0) & (F.size("artist_ids") == 1)).select("group", c("candidate").alias("other"))
     beaten = both_ways.where("same").join(single, ["group", "other"]).select(*_KEY).distinct().withColumn("beaten", F.lit(True))
     rows = rows.join(beaten, _KEY, "left").withColumn("examined", c("examined") & ((F.size("artist_ids") == 1) | F.coalesce(~c("beaten"), F.lit(True))))
     extra = tracks.groupBy(*_KEY).agg(F.sum(F.greatest(c("credits") - 1, F.lit(0))).alias("extra"))
-    rows = rows.join(extra, _KEY, "left").na.fill({"extra": 0})
-    rows = cut(rows)
+    rows = rows.join(extra.repartition("group"), _KEY, "left").na.fill({"extra": 0}).drop("beaten")
+    rows = released(rows).repartition("group")
     live = rows.where(c("examined") & (F.size("reasons") == 0)).select("group", c("candidate").alias("other"), c("artist_ids").alias("o_ids"), c("extra").alias("o_extra"), c("most_anchors").alias("o_anchors"))
     weaker = rows.where(c("examined") & (F.size("reasons") == 0)).join(both_ways.where("comparable"), _KEY).join(live, ["group", "other"])
     weaker = weaker.where((c("o_ids") == c("artist_ids")) & (c("o_extra") < c("extra")) & (c("o_anchors") >= c("most_anchors"))).select(*_KEY).distinct().withColumn("weaker", F.lit(True))
     rows = rows.join(weaker, _KEY, "left").na.fill({"weaker": False})
     rows = rows.withColumns({"reasons": F.when(c("weaker"), F.array(F.lit("weaker_artist_credit"))).otherwise(c("reasons")), "decision": F.when(c("weaker"), "rejected").otherwise(c("decision")), "examined": c("examined") & ~c("weaker")})
 
-    rows = cut(rows)
+    rows = released(rows.drop("extra", "most_anchors", "weaker")).repartition("group")
 
     # Equivalent ones collapse: each joins the first class all of whose members it is equivalent to. At most four a group are left.
     links = both_ways.where("equivalent").groupBy(*_KEY).agg(F.collect_set("other").alias("alike"))
@@ -205,7 +219,7 @@ def resolve(candidates: DataFrame, programs: DataFrame, tracks: DataFrame) -> Da
         return F.concat(done, F.array(F.struct(x["candidate"].alias("candidate"), F.coalesce(F.get(fits, F.lit(0)), x["candidate"]).alias("class"))))
 
     classes = left.select("group", F.explode(F.aggregate("all", F.array().cast(kind), place)).alias("x")).select("group", "x.candidate", "x.class")
-    rows = rows.join(classes, _KEY, "left").withColumn("agreement", date_agreement(*(c(d) for d in _DATES)))
+    rows = rows.join(classes, _KEY, "left")
     mine = Window.partitionBy("group", "class")
     first = F.row_number().over(mine.orderBy(c("agreement").desc(), "candidate")) == 1
     rows = rows.withColumns({"leads": c("examined") & first, "members": F.count("*").over(mine), "class_agreement": F.max("agreement").over(mine)})
@@ -233,6 +247,6 @@ def resolve(candidates: DataFrame, programs: DataFrame, tracks: DataFrame) -> Da
         .when((c("kept") == 0) | ((c("kept") == 1) & ~c("supported")), "no_confident_match").otherwise("ambiguous"))
     settled = c("examined") & ~c("veto")
     reasons = F.when(c("wins"), F.array(accepted)).when(settled & (c("won") | (F.size("reasons") == 0)), F.array(F.lit("competing_candidates"))).otherwise(c("reasons"))
-    return rows.select(
+    return released(rows.select(
         *_KEY, "title_class", F.when(c("wins"), "accepted").when(c("won") & c("examined"), "withheld").otherwise(c("decision")).alias("decision"), reasons.alias("reasons"),
-        F.when(c("wins") & (c("candidate") != c("chosen")), c("chosen")).alias("equivalent_to"), outcome.alias("outcome"), outcome_reason.alias("outcome_reason"))
+        F.when(c("wins") & (c("candidate") != c("chosen")), c("chosen")).alias("equivalent_to"), outcome.alias("outcome"), outcome_reason.alias("outcome_reason")))

@@ -251,3 +251,20 @@ def test_the_query_takes_all_steps(spark, sf):
         candidates, programs, tracks = groups[g]
         want += sorted(brute(sorted(candidates, key=lambda r: r["candidate"]), programs, tracks))
     assert [tuple(r)[1:] for r in got] == want and len({r.outcome_reason for r in got}) > 8
+
+
+def test_rows_are_dealt_once_a_step(spark):
+    """The query's shuffles write few rows for each line: nothing is dealt again for each of a step's joins and windows, nor track lists that meet no other."""
+    from tessera.plans import queries
+
+    def stages():
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None).iterator()
+        while found.hasNext():
+            yield found.next()
+
+    last = max((s.stageId() for s in stages()), default=-1)
+    queries.QUERIES["representation_resolution"](spark, "/root/testdata/sf0.01").count()
+    lines = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    assert 0 < sum(s.shuffleWriteRecords() for s in stages() if s.stageId() > last) < 8 * lines
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
