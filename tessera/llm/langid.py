@@ -1,22 +1,23 @@
 """Language identification: the family first, then one-versus-one linear support vector machines within it.
 
 All models are linear in the relative frequencies of hashed byte trigrams of the lower-cased text, so a
-text's margin is the mean of its trigrams' weights. They are fitted on a bounded sample; every text is
-read whole, in training and in prediction.
+text's margin is the mean of its trigrams' weights. They are fitted on all labelled texts: these are counted
+once, and each step of the descent sums gradients over all counts. Every text is read whole, in training and
+in prediction.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bound_batches
+from tessera.llm.common import bound_batches, shared_dir
 
 #: Families of language codes. A code that isn't listed is a family of its own.
 FAMILIES = {
@@ -50,37 +51,21 @@ def cleaned(text: str | None) -> bytes:
     return b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(_CLEAN).split()) + b" "
 
 
-def svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 150) -> tuple[np.ndarray, float]:
-    """Linear support vector machine with squared hinge loss, classes weighted alike, by accelerated gradient steps."""
-    z = np.hstack((x, np.ones((len(x), 1), x.dtype)))
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    step = 1 / (2 * float((weight * (z * z).sum(1)).sum()) + penalty)
-    w = v = np.zeros(z.shape[1], x.dtype)
-    for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (z @ v))
-        new = v - step * (penalty * v - 2 * (z.T @ (weight * slack * y)))
-        w, v = new, new + (k / (k + 3)) * (new - w)
-    return w[:-1], float(w[-1])
-
-
 class Model:
-    """Margins of a text for each family against the others and for each pair of languages of a family."""
+    """Margins of a text for each family against the others and for each pair of languages of a family: weights and bias, a row each."""
 
-    def __init__(self, features: np.ndarray, langs: list[str]) -> None:
-        self.langs = sorted(set(langs))
+    def __init__(self, langs: list[str], weights: np.ndarray | None = None, bias: np.ndarray | None = None) -> None:
+        self.langs = sorted(langs)
         self.families = sorted({family(x) for x in self.langs})
-        scale = 1 / (features.std(axis=0) + 1e-4) if len(features) else np.ones(features.shape[1], np.float32)
-        x = features * scale
-        norm = max(1e-9, float(np.median(np.linalg.norm(x, axis=1)))) if len(x) else 1.0
-        x = (x / norm).astype(np.float32)
-        own = np.array(langs)
-        of = np.array([family(v) for v in langs])
-        tasks = [(of == f, np.ones(len(of), bool)) for f in self.families] if len(self.families) > 1 else []
         self.pairs = [(a, b) for a, b in combinations(self.langs, 2) if family(a) == family(b)]
-        tasks += [(own == a, (own == a) | (own == b)) for a, b in self.pairs]
-        fitted = [svm(x[rows], np.where(yes[rows], 1, -1).astype(np.float32)) for yes, rows in tasks]
-        self.weights = np.array([w * scale / norm for w, _ in fitted], np.float32).reshape(len(fitted), features.shape[1])
-        self.bias = np.array([b for _, b in fitted])
+        self.weights = np.zeros((0, 1 << BITS), np.float32) if weights is None else weights
+        self.bias = np.zeros(0) if bias is None else bias
+
+    def sides(self) -> np.ndarray:
+        """For each task and language 1, -1 or, where the task doesn't concern it, 0."""
+        own = [[1 if family(x) == f else -1 for x in self.langs] for f in self.families] if len(self.families) > 1 else []
+        own += [[1 if x == a else -1 if x == b else 0 for x in self.langs] for a, b in self.pairs]
+        return np.array(own, np.float32).reshape(len(own), len(self.langs))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         clean = [cleaned(t) for t in texts]
@@ -117,32 +102,101 @@ class Model:
         return lang, float(min([least, *of[lang]]))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_a_language: int = 500, folds: int = 5) -> Model:
-    """Fits on at most docs_a_language documents of each language, those with the smallest hashes of their ids, of the folds that aren't held out. The sample (16 kB a document) is fitted in one task; the driver gets the weights and the list of languages, which are few."""
-    bound_batches(docs.sparkSession)
-    key = F.xxhash64(F.col(id_col).cast("string"))
-    taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
-    counts = {r[0]: r[1] for r in taught.groupBy(lang_col).count().collect()}
-    if not counts:
-        return Model(np.zeros((0, 1 << BITS), np.float32), [])
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, (2 * docs_a_language + 100) / n)))])
-    sample = taught.where(F.pmod(key, F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
-    sample = sample.select(key.alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    first = Window.partitionBy("lang").orderBy("key", "text")
-    sample = sample.withColumn("k", F.row_number().over(first)).where(F.col("k") <= docs_a_language).drop("k")
+def _frequencies(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The languages and trigrams' relative frequencies of the texts of each row."""
+    for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        langs, sizes, uses, at, counts = (np.frombuffer(x, t) for x, t in zip(row, (np.int32, np.int64, np.int32, np.uint16, np.int32), strict=True))
+        x = np.zeros((len(langs), 1 << BITS), np.float32)
+        x[np.repeat(np.arange(len(langs)), uses), at] = counts / np.repeat(sizes, uses)
+        yield langs, x
+
 
+def _summed(rows: DataFrame, add: Callable[[np.ndarray, np.ndarray, np.ndarray], None], size: int, groups: int = 16) -> np.ndarray:
+    """What add(total, langs, frequencies) adds up to over all rows: a total a task, then a few groups of tasks; the driver gets one total a group."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(size)
         for batch in batches:
-            rows = [np.bincount(trigram_codes(c), minlength=1 << BITS).astype(np.float32) / max(1, len(c) - 2) if len(c := cleaned(t)) > 2 else np.zeros(1 << BITS, np.float32) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["key", "lang", "f"])
+            for langs, x in _frequencies(batch):
+                add(total, langs, x)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())], ["task", "total"])
+
+    def join(table: pa.Table) -> pa.Table:
+        got = sorted(table.to_pylist(), key=lambda r: r["task"])
+        return pa.table({"task": pa.array([got[0]["task"]]), "total": pa.array([sum(np.frombuffer(r["total"]) for r in got).tobytes()], pa.binary())})
+
+    totals = rows.mapInArrow(run, "task long, total binary").groupBy(F.col("task") % groups).applyInArrow(join, "task long, total binary").collect()
+    return sum((np.frombuffer(r["total"]) for r in sorted(totals, key=lambda r: r["task"])), np.zeros(size))
 
-    def train(table: pa.Table) -> pa.Table:
-        got = sorted(table.to_pylist(), key=lambda r: (r["lang"], r["key"], r["f"]))
-        model = Model(np.array([np.frombuffer(r["f"], np.float32) for r in got]).reshape(len(got), 1 << BITS), [r["lang"] for r in got])
-        return pa.table({"model": pa.array([cloudpickle.dumps(model)], pa.binary())})
 
-    fitted = sample.mapInArrow(run, "key long, lang string, f binary").groupBy().applyInArrow(train, "model binary").collect()
-    return cloudpickle.loads(fitted[0][0]) if fitted else Model(np.zeros((0, 1 << BITS), np.float32), [])
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, penalty: float = 1e-4, rounds: int = 150, least_gain: float = 1e-3) -> Model:
+    """Fits on every labelled text of the folds that aren't held out: support vector machines with squared hinge loss, classes weighted alike, all at once by accelerated gradient steps.
+
+    Each round reads the texts' trigram counts, which are written once to the shared folder. Rounds end when one lowers the
+    mean loss by less than least_gain of that of zero weights. The driver gets sums (32 kB a task or language, 16 times a round at
+    most), the weights and the list of languages, which are few.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    taught = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col, folds) != 0))
+    counts = {r[0]: r[1] for r in taught.groupBy(lang_col).count().collect()}
+    model = Model(list(counts))
+    sides, dims = model.sides(), 1 << BITS
+    tasks, number = len(sides), {x: k for k, x in enumerate(model.langs)}
+    if not tasks:
+        return model
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                clean = [cleaned(t) for t in batch.column(1).to_pylist()]
+                found = [np.bincount(trigram_codes(c), minlength=dims) if len(c) > 2 else np.zeros(dims, np.int64) for c in clean]
+                places = [np.flatnonzero(f) for f in found]
+                columns = [[number[x] for x in batch.column(0).to_pylist()], [max(1, len(c) - 2) for c in clean], [len(p) for p in places], np.concatenate(places), np.concatenate([f[p] for f, p in zip(found, places, strict=True)])]
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(x, t).tobytes()], pa.binary()) for x, t in zip(columns, (np.int32, np.int64, np.int32, np.uint16, np.int32), strict=True)], ["langs", "sizes", "uses", "at", "counts"])
+
+    folder = f"{shared_dir(spark).rstrip('/')}/trigrams-{uuid.uuid4().hex}"
+    schema = "langs binary, sizes binary, uses binary, at binary, counts binary"
+    taught.select(lang_col, text_col).mapInArrow(count, schema).write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.schema(schema).parquet(folder)
+
+    def moments(total: np.ndarray, langs: np.ndarray, x: np.ndarray) -> None:
+        own = np.eye(len(number), dtype=np.float32)[langs].T
+        total += np.stack((own @ x, own @ (x * x))).ravel()
+
+    first, second = _summed(rows, moments, 2 * len(number) * dims).reshape(2, len(number), dims)
+    n = np.array([counts[x] for x in model.langs], np.float64)
+    mean = first.sum(0) / n.sum()
+    scale = 1 / (np.sqrt(np.maximum(0, second.sum(0) / n.sum() - mean * mean)) + 1e-4)
+    squares = second @ (scale * scale)
+    norm = max(1e-9, float(np.sqrt(squares.sum() / n.sum())))
+    weight = np.where(sides > 0, 0.5 / np.maximum(1, (n * (sides > 0)).sum(1, keepdims=True)), 0.5 / np.maximum(1, (n * (sides < 0)).sum(1, keepdims=True))) * (sides != 0)
+    step = 1 / (2 * (weight * (squares / norm**2 + n)).sum(1) + penalty)
+    w = v = np.zeros((tasks, dims + 1))
+    before = 1.0
+    for k in range(rounds):
+        at, offset = np.ascontiguousarray((v[:, :-1] * scale / norm).T, np.float32), v[:, -1].astype(np.float32)
+
+        def gradients(total: np.ndarray, langs: np.ndarray, x: np.ndarray, at: np.ndarray = at, offset: np.ndarray = offset) -> None:
+            y = sides.T[langs]
+            slack = np.maximum(0, 1 - y * (x @ at + offset))
+            pull = (weight.T[langs] * slack).astype(np.float32)
+            total[-1] += (pull * slack).sum() / tasks
+            pull *= y
+            total[:-1] += np.vstack((x.T @ pull, pull.sum(0))).ravel()
+
+        total = _summed(rows, gradients, (dims + 1) * tasks + 1)
+        pulls = total[:-1].reshape(dims + 1, tasks).T * np.append(scale / norm, 1.0)
+        new = v - step[:, None] * (penalty * v - 2 * pulls)
+        w, v = new, new + (k / (k + 3)) * (new - w)
+        if k and before - total[-1] < least_gain:
+            break
+        before = total[-1]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return Model(model.langs, (w[:, :-1] * scale / norm).astype(np.float32), w[:, -1])
 
 
 def fold(id_col: str, folds: int = 5):

@@ -40,6 +40,17 @@ def test_held_out_accuracy(spark):
     assert sum(r.lang_pred == true[r.doc_id] for r in held) >= 0.98 * len(held) > 100
 
 
+def test_every_labelled_text_is_learnt_from(spark):
+    """Ten English texts, each in letters of its own, among 4,000: a few hundred a language would leave most of them out."""
+    rare = ["".join(chr(0x4E00 + 50 * k + j) for j in range(40)) for k in range(10)]
+    rows = [(k, EN[k % 50 :], "en", "a") if k % 2 else (k, DE[k % 50 :], "de", "a") for k in range(4000)] + [(5000 + k, t, "en", "a") for k, t in enumerate(rare)]
+    taught = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    model = langid.fit(documents(spark, rows))
+    codes = lambda texts: {c for t in texts for c in langid.trigram_codes(langid.cleaned(t)).tolist()}
+    own = codes(t for d, t, *_ in taught if d >= 5000) - codes(t for d, t, *_ in taught if d < 5000)
+    assert len(own) > 100 and all(model.weights[0][c] < 0 for c in own)  # de against en
+
+
 def test_nothing_to_learn_from(spark):
     assert langid.identify(spark.createDataFrame([], DOCS)).count() == 0
     assert {r.lang_pred for r in langid.identify(documents(spark, [(1, EN, None, "a"), (2, None, "en", "b")])).collect()} == {"und"}
