@@ -149,5 +149,17 @@ def test_spans_and_text(spark):
     assert [(s.start, s.stop) for s in got[1].spans] == [(1, 81)] and bytes(got[2].kept) == b"()"
 
 
+def test_planted_passages_go_from_400_bytes_on(spark):
+    """Passages of over 50 words are often shorter: these stay, in both of their documents."""
+    rng = random.Random(12)
+    words = lambda n: " ".join("".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 11))) for _ in range(n))
+    passages = [words(rng.randrange(51, 66)) for _ in range(40)] + [words(100)[:n] for n in (399, 400)]
+    rows = [(2 * k + j, f"{words(90)} {'<('[j]}{p}{'>)'[j]} {words(90)}", "en", "a") for k, p in enumerate(passages) for j in (0, 1)]
+    got = {r.doc_id: r.n_removed for r in check(spark, [*rows, (99, words(600), "en", "a")], 400)}
+    sizes = [len(p) for p in passages]
+    assert all(len(p.split()) > 50 for p in passages) and sum(n < 400 for n in sizes) > 10 and sum(n >= 400 for n in sizes) > 10
+    assert got == {2 * k + j: n if n >= 400 else 0 for k, n in enumerate(sizes) for j in (0, 1)} | {99: 0}
+
+
 def test_empty(spark):
     assert suffixes.dedup_bytes(spark.createDataFrame([], DOCS)).count() == 0
