@@ -5,8 +5,9 @@ from collections import Counter
 
 import pytest
 
-from tessera.operators import programs
+from tessera.operators import graph, programs
 from tessera.plans import queries
+from tessera.plans.tables import Tables
 
 LOCAL = "group_id long, index int, title_key string, version string, duration_ms long, disc int, number int, identity string"
 
@@ -110,3 +111,27 @@ def test_sales_tables_are_read_once(spark, sf, name):
     """All sides of a programme come from rows written once; lineitem isn't aggregated anew for each."""
     files = queries.QUERIES[name](spark, sf).inputFiles()
     assert files and not any("lineitem" in f for f in files)
+
+
+@pytest.fixture
+def shuffles(spark):
+    """Counts the shuffles that a plan has where nothing is broadcast."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_positions_are_decided_where_albums_lie(spark, sf, shuffles):
+    """Tracks are dealt by album once; what is decided from them isn't shuffled again."""
+    with graph.together(spark):
+        assert shuffles(queries._positioned(Tables(spark, sf))[0]) == 0
+
+
+def test_a_pair_of_equal_title_and_identity_counts_once(spark):
+    """Three pairs by title, two of them by identity as well, one by identity alone; a fifth by title has another identity."""
+    rows = [(1, i, f"t{i}", "", 1000, 1, i + 1, x) for i, x in enumerate(["a", "b", None, "c", "d"])]
+    listed = [(*r[:2], "u" if r[1] == 3 else r[2], *r[3:7], "y" if r[1] == 4 else r[7], True) for r in rows]
+    got = programs.positioned_program(spark.createDataFrame(rows, LOCAL), spark.createDataFrame(listed, LOCAL + ", complete boolean")).collect()
+    decisions = ["exact_anchor"] * 3 + ["corroborated_position", "trusted_identity_conflict"]
+    assert sorted((r.local_index, r.provider_index, r.decision, r.anchors, r.strong) for r in got) == [(i, None if i == 4 else i, d, 4, True) for i, d in enumerate(decisions)]
