@@ -128,6 +128,14 @@ def test_positions_are_decided_where_albums_lie(spark, sf, shuffles):
         assert shuffles(queries._positioned(Tables(spark, sf))[0]) == 0
 
 
+def test_compatibility_is_decided_where_albums_lie(spark, sf, shuffles, monkeypatch):
+    """What the query writes comes from the dealt tracks unshuffled."""
+    released, found = graph.released, []
+    monkeypatch.setattr(graph, "released", lambda df: found.append(shuffles(df)) or released(df))
+    queries.QUERIES["compatible_programs"](spark, sf)
+    assert found[-1:] == [0]
+
+
 def test_a_pair_of_equal_title_and_identity_counts_once(spark):
     """Three pairs by title, two of them by identity as well, one by identity alone; a fifth by title has another identity."""
     rows = [(1, i, f"t{i}", "", 1000, 1, i + 1, x) for i, x in enumerate(["a", "b", None, "c", "d"])]
