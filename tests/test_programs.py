@@ -128,11 +128,12 @@ def test_positions_are_decided_where_albums_lie(spark, sf, shuffles):
         assert shuffles(queries._positioned(Tables(spark, sf))[0]) == 0
 
 
-def test_compatibility_is_decided_where_albums_lie(spark, sf, shuffles, monkeypatch):
+@pytest.mark.parametrize("name", ["compatible_programs", "album_track_outcomes"])
+def test_results_are_decided_where_albums_lie(spark, sf, shuffles, monkeypatch, name):
     """What the query writes comes from the dealt tracks unshuffled."""
     released, found = graph.released, []
     monkeypatch.setattr(graph, "released", lambda df: found.append(shuffles(df)) or released(df))
-    queries.QUERIES["compatible_programs"](spark, sf)
+    queries.QUERIES[name](spark, sf)
     assert found[-1:] == [0]
 
 
